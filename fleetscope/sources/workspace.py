@@ -83,9 +83,10 @@ def workspace_members(
         bare = F.regexp_replace(pattern, "/+$", "")
         regex = F.regexp_replace(bare, r"([.^$+{}()|\\])", r"\\$1")
         regex = F.replace(regex, F.lit("[!"), F.lit("[^"))
-        regex = F.regexp_replace(regex, r"\*\*/", "\u0001")
+        regex = F.regexp_replace(F.regexp_replace(regex, r"\*\*/", "\u0001"), r"/\*\*$", "\u0002")
         regex = F.regexp_replace(regex, r"\*", "[^/]*")
         regex = F.replace(F.replace(regex, F.lit("?"), F.lit("[^/]")), F.lit("\u0001"), F.lit("(?:[^/]+/)*"))
+        regex = F.replace(regex, F.lit("\u0002"), F.lit("(?:/.+)?"))
         return F.rlike(F.col("folder"), F.concat(F.lit("^"), regex, F.lit("$")))
 
     hits = (
