@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions import labels, paths
 from fleetscope.functions.labels import quote_regex
+from fleetscope.functions.moments import epoch_micros
 from fleetscope.operators.packages import lookup
 
 # Fixed values: (word in documentation, family, display name).
@@ -386,7 +387,7 @@ def recency(
         F.count_distinct(F.when(F.col(ts) >= since, F.col(commit))).alias("__recent"),
     )
     grace = F.when(F.col("__recent") >= active_commits, F.lit(float(active_days))).otherwise(float(quiet_days))
-    lag = F.greatest(F.lit(0.0), (F.unix_micros("__code") - F.unix_micros("__doc")) / 86_400_000_000)
+    lag = F.greatest(F.lit(0.0), (epoch_micros(latest, "__code") - epoch_micros(latest, "__doc")) / 86_400_000_000)
     decayed = F.when(lag <= grace, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - (lag - grace) / grace))
     return latest.select(*keys, F.coalesce(F.bround(decayed, 4), F.lit(1.0)).alias("recency_ratio"))
 

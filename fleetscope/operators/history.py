@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions import labels, paths
+from fleetscope.functions.moments import epoch_micros
 from fleetscope.operators.ordered import top_k, with_previous, with_running_sum
 
 # Fixed values.
@@ -209,7 +210,7 @@ def bursts(
     slot ever needs more than its ``minimum`` first events; sparser slots are kept whole and compared
     with the following slot. Groups are bounded by that, whatever a key holds.
     """
-    epoch = F.unix_micros(F.col(ts))
+    epoch = epoch_micros(events, ts)
     width = seconds * 1_000_000
     slotted = events.select(*keys, epoch.alias("__t")).withColumn("__slot", F.floor(F.col("__t") / width))
     first = top_k(slotted, [*keys, "__slot"], ["__t"], minimum)

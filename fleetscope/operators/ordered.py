@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BLOCK = "__block"
+_BLOCK = "__o_block"
 
 
 def _ordering(order: Sequence[str]) -> Column:
@@ -43,12 +43,12 @@ def with_previous(
     rows = df.withColumn(_BLOCK, block)
     window = _within(keys, order, block)
     pack = F.struct(*[F.col(col).alias(out) for out, col in values.items()])
-    tails = rows.groupBy(*keys, _BLOCK).agg(F.max_by(pack, _ordering(order)).alias("__tail"))
-    before = tails.select(*keys, _BLOCK, F.lag("__tail").over(_across(keys)).alias("__before"))
+    tails = rows.groupBy(*keys, _BLOCK).agg(F.max_by(pack, _ordering(order)).alias("__o_tail"))
+    before = tails.select(*keys, _BLOCK, F.lag("__o_tail").over(_across(keys)).alias("__o_before"))
     joined = rows.select(
-        "*", F.lag(pack).over(window).alias("__prev"), F.row_number().over(window).alias("__n")
+        "*", F.lag(pack).over(window).alias("__o_prev"), F.row_number().over(window).alias("__o_n")
     ).join(before, [*keys, _BLOCK], "left")
-    chosen = F.when(F.col("__n") == 1, F.col("__before")).otherwise(F.col("__prev"))
+    chosen = F.when(F.col("__o_n") == 1, F.col("__o_before")).otherwise(F.col("__o_prev"))
     return joined.select(*df.columns, *[chosen[out].alias(out) for out in values])
 
 
@@ -69,19 +69,19 @@ def with_running_last(
     window = _within(keys, order, block).rowsBetween(*upto)
     tails = rows.groupBy(*keys, _BLOCK).agg(
         *[
-            F.max_by(c, F.when(F.col(c).isNotNull(), _ordering(order))).alias(f"__t_{o}")
+            F.max_by(c, F.when(F.col(c).isNotNull(), _ordering(order))).alias(f"__o_t_{o}")
             for o, c in values.items()
         ]
     )
     earlier = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     before = tails.select(
-        *keys, _BLOCK, *[F.last(f"__t_{o}", ignorenulls=True).over(earlier).alias(f"__b_{o}") for o in values]
+        *keys, _BLOCK, *[F.last(f"__o_t_{o}", ignorenulls=True).over(earlier).alias(f"__o_b_{o}") for o in values]
     )
     joined = rows.select(
-        "*", *[F.last(c, ignorenulls=True).over(window).alias(f"__w_{o}") for o, c in values.items()]
+        "*", *[F.last(c, ignorenulls=True).over(window).alias(f"__o_w_{o}") for o, c in values.items()]
     ).join(before, [*keys, _BLOCK], "left")
     return joined.select(
-        *df.columns, *[F.coalesce(F.col(f"__w_{o}"), F.col(f"__b_{o}")).alias(o) for o in values]
+        *df.columns, *[F.coalesce(F.col(f"__o_w_{o}"), F.col(f"__o_b_{o}")).alias(o) for o in values]
     )
 
 
@@ -102,11 +102,11 @@ def with_running_sum(
     earlier = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     before = (
         rows.groupBy(*keys, _BLOCK)
-        .agg(F.sum(value).alias("__sum"))
-        .select(*keys, _BLOCK, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+        .agg(F.sum(value).alias("__o_sum"))
+        .select(*keys, _BLOCK, F.coalesce(F.sum("__o_sum").over(earlier), F.lit(0)).alias("__o_before"))
     )
-    joined = rows.select("*", F.sum(value).over(window).alias("__within")).join(before, [*keys, _BLOCK], "left")
-    return joined.select(*df.columns, (F.col("__within") + F.col("__before")).alias(out))
+    joined = rows.select("*", F.sum(value).over(window).alias("__o_within")).join(before, [*keys, _BLOCK], "left")
+    return joined.select(*df.columns, (F.col("__o_within") + F.col("__o_before")).alias(out))
 
 
 def top_k(
