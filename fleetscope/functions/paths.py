@@ -127,34 +127,43 @@ def depth(path: Column) -> Column:
     return F.size(segments(path)) - 1
 
 
-def glob_regex(pattern: Column) -> Column:
-    """Anchored Java regex of a shell glob: ``*`` crosses ``/``, ``?`` is one character, ``[!x]`` negates."""
+def _glob_body(pattern: Column, star: str, single: str) -> Column:
     quoted = F.regexp_replace(pattern, r"([.^$+{}()|\\])", r"\\$1")
     quoted = F.regexp_replace(quoted, r"\[(?![^\[\]]+\])", r"\\[")
     quoted = F.replace(quoted, F.lit("[!"), F.lit("[^"))
-    quoted = F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
-    return F.concat(F.lit("(?s)^"), quoted, F.lit(r"\z"))
+    return F.replace(F.replace(quoted, F.lit("*"), F.lit(star)), F.lit("?"), F.lit(single))
+
+
+def glob_regex(pattern: Column) -> Column:
+    """Anchored Java regex of a shell glob: ``*`` crosses ``/``, ``?`` is one character, ``[!x]`` negates."""
+    return F.concat(F.lit("(?s)^"), _glob_body(pattern, ".*", "."), F.lit(r"\z"))
 
 
-def pattern_hits(path: Column, pattern: Column) -> Column:
-    """One ignore pattern against one file path: ``dir/`` anywhere, else a glob on path or name."""
-    folder = F.regexp_replace(pattern, "/$", "")
-    inside = F.startswith(path, F.concat(folder, F.lit("/"))) | F.contains(
-        path, F.concat(F.lit("/"), folder, F.lit("/"))
+def ignore_regex(pattern: Column) -> Column:
+    """Unanchored alternative for one ignore pattern on a file path: ``dir/`` at any depth, else a glob
+    on the whole path or on the file name."""
+    folder = F.concat(
+        F.lit(r"(?:.*/)?\Q"), F.regexp_replace(pattern, "/$", ""), F.lit(r"\E/.*")
     )
-    glob = glob_regex(pattern)
-    return F.when(F.endswith(pattern, F.lit("/")), inside).otherwise(
-        F.rlike(path, glob) | F.rlike(basename(path), glob)
+    name = F.concat(F.lit("(?:.*/)?"), _glob_body(pattern, "[^/]*", "[^/]"))
+    return F.when(F.endswith(pattern, F.lit("/")), folder).otherwise(
+        F.concat(_glob_body(pattern, ".*", "."), F.lit("|"), name)
     )
 
 
+def any_ignore_regex(patterns: Column) -> Column:
+    """One regex for an ``array<string>`` of ignore patterns."""
+    return F.concat(F.lit("(?s)^(?:"), F.array_join(F.transform(patterns, ignore_regex), "|"), F.lit(r")\z"))
+
+
 def ignored(path: Column, patterns: Sequence[str] = ()) -> Column:
     """Default ignore rules plus literal user patterns."""
     clean = posix(path)
     closed = F.concat(clean, F.lit("/"))
     rules = [F.arrays_overlap(F.split(clean, "/"), literals(IGNORED_FOLDERS))]
     rules += [F.contains(closed, F.lit(fragment)) for fragment in IGNORED_FRAGMENTS]
-    rules += [pattern_hits(clean, F.lit(pattern)) for pattern in patterns]
+    if patterns:
+        rules.append(F.rlike(clean, any_ignore_regex(literals(patterns))))
     return any_of(rules)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ PREVIEW_LINES = 10
 FULL_TEXT_BELOW_LINES = 200
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once. Keeps expressions that use an intermediate result
+    many times small enough to be compiled."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def lines(text: Column) -> Column:
     """``array<string>`` of the text's lines; a final line break opens no further line."""
     parts = F.split(text, LINE_BREAK)

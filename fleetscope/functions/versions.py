@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetscope.functions.text import strip
+from fleetscope.functions.text import let, strip
 
 # Specifications that name no version.
 UNVERSIONED = ["*", "latest", "x", "X"]
@@ -39,85 +39,113 @@ def _spec(name: Column, version: Column, ecosystem: str, exact: Column, spec: Co
 
 def _ranged(name: Column, spec: Column, ecosystem: str, operators: str) -> Column:
     """npm-like specs: a digit pins, one of ``operators`` opens a range, anything else is no version."""
-    text = strip(spec)
-    opened = text.rlike(f"^(?:{operators})")
-    pinned = text.rlike(r"(?U)^\d")
-    version = bare_version(F.when(opened, strip(F.regexp_replace(text, f"^(?:{operators})", ""))).otherwise(text))
-    usable = ~unversioned(spec) & (opened | pinned) & (version != "")
-    return F.when(usable, _spec(name, version, ecosystem, ~opened, text)), version
+
+    def parsed(text: Column) -> Column:
+        opened = text.rlike(f"^(?:{operators})")
+        version = bare_version(
+            F.when(opened, strip(F.regexp_replace(text, f"^(?:{operators})", ""))).otherwise(text)
+        )
+        usable = ~unversioned(text) & (opened | text.rlike(r"(?U)^\d"))
+        spec_of = let(version, lambda v: F.when(v != "", _spec(name, v, ecosystem, ~opened, text)))
+        return F.when(usable, spec_of)
+
+    return let(strip(spec), parsed)
 
 
 def npm_spec(name: Column, spec: Column) -> Column:
-    out, version = _ranged(name, spec, "npm", r"\^|~|>=|>")
-    return F.when(~unversioned(version), out)
+    return let(_ranged(name, spec, "npm", r"\^|~|>=|>"), lambda p: F.when(~unversioned(p["version"]), p))
 
 
 def packagist_spec(name: Column, spec: Column) -> Column:
-    out, _ = _ranged(name, spec, "Packagist", r"\^|~|>=")
     platform = F.lower(name).rlike("^(?:php$|ext-)")
-    return F.when((name != "") & ~platform, out)
+    return F.when((name != "") & ~platform, _ranged(name, spec, "Packagist", r"\^|~|>="))
+
+
+def pypi_name(requirement: Column) -> Column:
+    return F.regexp_extract(strip(requirement), r"^([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)", 1)
 
 
 def pypi_spec(requirement: Column) -> Column:
     """One requirement line, name included."""
-    text = strip(requirement)
-    name = F.regexp_extract(text, r"^([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)", 1)
-    rest = strip(F.substring(text, F.length(name) + 1, F.length(text)))
-    version = bare_version(
-        F.when(rest.startswith("="), F.regexp_extract(rest, r"(?U)^==?\s*([^\s,;]+)", 1))
-        .when(rest.startswith(">="), F.regexp_extract(rest, r"(?U)^>=\s*([^\s,;]+)", 1))
-        .otherwise(F.regexp_extract(rest, r"(?U)(?:==|>=|<=|>|<|!=|~=)\s*([^\s,;]+)", 1))
-    )
-    usable = (name != "") & (version != "")
-    return F.when(usable, _spec(name, version, "PyPI", rest.startswith("="), text))
+
+    def parsed(r: Column) -> Column:
+        text, name = r["text"], r["name"]
+        rest = strip(F.substring(text, F.length(name) + 1, F.length(text)))
+        return let(rest, lambda tail: versioned(text, name, tail))
+
+    def versioned(text: Column, name: Column, rest: Column) -> Column:
+        version = bare_version(
+            F.when(rest.startswith("="), F.regexp_extract(rest, r"(?U)^==?\s*([^\s,;]+)", 1))
+            .when(rest.startswith(">="), F.regexp_extract(rest, r"(?U)^>=\s*([^\s,;]+)", 1))
+            .otherwise(F.regexp_extract(rest, r"(?U)(?:==|>=|<=|>|<|!=|~=)\s*([^\s,;]+)", 1))
+        )
+        exact = rest.startswith("=")
+        return let(version, lambda v: F.when((name != "") & (v != ""), _spec(name, v, "PyPI", exact, text)))
+
+    return let(F.struct(strip(requirement).alias("text"), pypi_name(requirement).alias("name")), parsed)
 
 
 def go_spec(name: Column, version: Column) -> Column:
-    bare = bare_version(version)
-    usable = (name != "") & (bare != "") & ~bare.isin(UNVERSIONED)
-    return F.when(usable, _spec(name, bare, "Go", F.lit(True), F.concat_ws(" ", name, version)))
+    spec = F.concat_ws(" ", name, version)
+    return let(
+        bare_version(version),
+        lambda v: F.when((name != "") & (v != "") & ~v.isin(UNVERSIONED), _spec(name, v, "Go", F.lit(True), spec)),
+    )
 
 
 def cargo_spec(name: Column, spec: Column) -> Column:
     """A version string, or an inline table holding one."""
-    text = strip(spec)
-    inline = F.regexp_extract(text, r'version\s*=\s*"([^"]+)"', 1)
-    quoted = F.regexp_replace(text, '^"+|"+$', "")
-    bare = bare_version(F.when(text.startswith("{"), inline).otherwise(quoted))
-    usable = (name != "") & (spec != "") & (bare != "")
-    return F.when(usable, _spec(name, bare, "crates.io", bare.rlike(r"^\d+\.\d+\.\d+"), text))
+
+    def parsed(text: Column) -> Column:
+        inline = F.regexp_extract(text, r'version\s*=\s*"([^"]+)"', 1)
+        quoted = F.regexp_replace(text, '^"+|"+$', "")
+        version = bare_version(F.when(text.startswith("{"), inline).otherwise(quoted))
+        return let(
+            version,
+            lambda v: F.when((name != "") & (v != ""), _spec(name, v, "crates.io", v.rlike(r"^\d+\.\d+\.\d+"), text)),
+        )
+
+    return F.when(spec != "", let(strip(spec), parsed))
 
 
-def maven_spec(group: Column, artifact: Column, version: Column) -> Column:
-    name = F.concat_ws(":", group, artifact)
-    bare = bare_version(strip(version))
-    usable = (group != "") & (artifact != "") & (bare != "") & ~version.startswith("${")
-    return F.when(usable, _spec(name, bare, "Maven", F.lit(True), F.concat_ws(":", name, version)))
+def maven_spec(name: Column, version: Column) -> Column:
+    """``name`` is ``group:artifact``, both parts given."""
+    usable = name.rlike("(?s)^[^:]+:.+$") & ~version.startswith("${")
+    spec = F.concat_ws(":", name, version)
+    return F.when(
+        usable, let(bare_version(strip(version)), lambda v: F.when(v != "", _spec(name, v, "Maven", F.lit(True), spec)))
+    )
 
 
 def gradle_spec(coordinate: Column) -> Column:
-    parts = F.split(coordinate, ":")
-    part = [F.coalesce(F.get(parts, n), F.lit("")) for n in range(3)]
-    return maven_spec(*part)
+    """``group:artifact:version``; what follows a third colon is left out."""
+    return let(
+        F.split(coordinate, ":"),
+        lambda p: F.when(F.size(p) >= 3, maven_spec(F.concat_ws(":", F.get(p, 0), F.get(p, 1)), F.get(p, 2))),
+    )
 
 
 def gem_spec(name: Column, version: Column) -> Column:
+    spec = F.concat_ws(" ", name, version)
     bare = bare_version(F.regexp_replace(strip(version), "^['\"]+|['\"]+$", ""))
-    usable = (name != "") & (version != "") & (bare != "")
-    return F.when(usable, _spec(name, bare, "RubyGems", F.lit(True), F.concat_ws(" ", name, version)))
+    return let(bare, lambda v: F.when((name != "") & (v != ""), _spec(name, v, "RubyGems", F.lit(True), spec)))
 
 
 def package_spec(ecosystem: Column, name: Column, spec: Column) -> Column:
     """Dispatch on the ecosystem column. PyPI requirements carry the name in ``spec``, Gradle the
     whole coordinate; Maven names are ``group:artifact``."""
-    group, artifact = F.substring_index(name, ":", 1), F.substring_index(name, ":", -1)
-    return (
-        F.when(ecosystem == "npm", npm_spec(name, spec))
-        .when(ecosystem == "PyPI", pypi_spec(spec))
-        .when(ecosystem == "Go", go_spec(name, spec))
-        .when(ecosystem == "crates.io", cargo_spec(name, spec))
-        .when(ecosystem == "Packagist", packagist_spec(name, spec))
-        .when(ecosystem == "Maven", maven_spec(group, artifact, spec))
-        .when(ecosystem == "Gradle", gradle_spec(spec))
-        .when(ecosystem == "RubyGems", gem_spec(name, spec))
-    )
+
+    def parsed(row: Column) -> Column:
+        kind, who, text = row["e"], row["n"], row["s"]
+        return (
+            F.when(kind == "npm", npm_spec(who, text))
+            .when(kind == "PyPI", pypi_spec(text))
+            .when(kind == "Go", go_spec(who, text))
+            .when(kind == "crates.io", cargo_spec(who, text))
+            .when(kind == "Packagist", packagist_spec(who, text))
+            .when(kind == "Maven", maven_spec(who, text))
+            .when(kind == "Gradle", gradle_spec(text))
+            .when(kind == "RubyGems", gem_spec(who, text))
+        )
+
+    return let(F.struct(ecosystem.alias("e"), name.alias("n"), spec.alias("s")), parsed)

@@ -12,9 +12,10 @@ from fleetscope.functions.text import lines, strip
 
 
 def ignore_rules(files: DataFrame, repo: str = "repo", path: str = "path", text: str = "content") -> DataFrame:
-    """``(repo, patterns)``: the patterns of each repository's root ignore files, comments dropped.
+    """``(repo, regex)``: the patterns of each repository's root ignore files as one regex.
 
-    The list of a repository is as long as its ignore files, which are three cells of the input.
+    The patterns of a repository are as many as the lines of its three ignore files, which are three
+    cells of the input.
     """
     kept = F.filter(
         F.transform(lines(F.col(text)), lambda row: strip(row)), lambda row: (row != "") & ~row.startswith("#")
@@ -22,7 +23,9 @@ def ignore_rules(files: DataFrame, repo: str = "repo", path: str = "path", text:
     return (
         files.filter(F.col(path).isin(paths.IGNORE_FILES))
         .groupBy(repo)
-        .agg(F.array_distinct(F.flatten(F.collect_list(kept))).alias("patterns"))
+        .agg(F.array_distinct(F.flatten(F.collect_list(kept))).alias("__patterns"))
+        .filter(F.size("__patterns") > 0)
+        .select(repo, paths.any_ignore_regex(F.col("__patterns")).alias("regex"))
     )
 
 
@@ -35,13 +38,14 @@ def drop_ignored(
 ) -> DataFrame:
     """Files under no default rule, literal pattern, or pattern of their own repository.
 
-    ``rules`` has one row per repository, so the join adds a column to a file row and never fans out.
+    ``rules`` has one row per repository, so the join adds a column to a file row and never fans out;
+    rows of one repository arrive together and share the compiled regex.
     """
     kept = files.filter(~paths.ignored(F.col(path), patterns))
     if rules is None:
         return kept
-    hit = F.exists(F.coalesce("patterns", F.array().cast("array<string>")), lambda p: paths.pattern_hits(F.col(path), p))
-    return kept.join(rules.select(repo, "patterns"), repo, "left").filter(~hit).drop("patterns")
+    hit = F.coalesce(F.rlike(paths.posix(F.col(path)), F.col("regex")), F.lit(False))
+    return kept.join(rules.select(repo, "regex"), repo, "left").filter(~hit).drop("regex")
 
 
 def text_files(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

@@ -160,6 +160,7 @@ def version_specs(t: Tables) -> DataFrame:
             fields[field] = (F if fields[field] is None else fields[field]).when(style == n, text)
     rows = t("part").select("p_partkey", *[column.alias(field) for field, column in fields.items()])
     parsed = versions.package_spec(F.col("ecosystem"), F.col("name"), F.col("spec"))
-    return rows.withColumn("p", parsed).select(
+    shown = rows.select("p_partkey", "ecosystem", "spec", F.explode(F.array(parsed)).alias("p"))
+    return shown.select(
         "p_partkey", "ecosystem", "spec", F.coalesce("p.version", F.lit("none")).alias("version"), F.coalesce("p.exact", F.lit(False)).alias("exact")
     )

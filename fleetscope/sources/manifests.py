@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions import paths, versions
-from fleetscope.functions.text import lines, strip
+from fleetscope.functions.text import let, lines, strip
 
 ENTRY = "array<struct<ecosystem:string,dependency:string,name:string,spec:string>>"
 
@@ -79,7 +79,8 @@ def requirements_entries(content: Column) -> Column:
         lambda row: _entry(
             "PyPI",
             F.coalesce(
-                versions.pypi_spec(row)["name"], F.nullif(F.regexp_extract(row, REQUIREMENT_NAME, 1), F.lit(""))
+                let(versions.pypi_spec(row), lambda p: p["name"]),
+                F.nullif(F.regexp_extract(row, REQUIREMENT_NAME, 1), F.lit("")),
             ),
             F.lit(""),
             row,
@@ -237,13 +238,11 @@ def dependencies(manifests: DataFrame, repo: str = "repo") -> DataFrame:
 
 def packages(manifests: DataFrame, repo: str = "repo") -> DataFrame:
     """Every versioned entry: ``repo, manifest, name, version, ecosystem, exact, spec``."""
-    rows = manifests.select(repo, "manifest", F.explode("entries").alias("__e")).filter(F.col("__e.spec").isNotNull())
-    parsed = versions.package_spec(F.col("__e.ecosystem"), F.col("__e.name"), F.col("__e.spec"))
-    return (
-        rows.select(repo, "manifest", parsed.alias("__p"))
-        .filter(F.col("__p").isNotNull())
-        .select(repo, "manifest", "__p.*")
+    parsed = F.transform(
+        F.filter("entries", lambda e: e["spec"].isNotNull()),
+        lambda e: versions.package_spec(e["ecosystem"], e["name"], e["spec"]),
     )
+    return manifests.select(repo, "manifest", F.inline(F.filter(parsed, lambda p: p.isNotNull())))
 
 
 def go_metadata(files: DataFrame, repo: str = "repo", path: str = "path", content: str = "content") -> DataFrame:

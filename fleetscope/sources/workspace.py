@@ -74,24 +74,24 @@ def workspace_members(
     hit is its own single member with no prefix.
 
     A pattern selects whole folders, its ``*`` staying within one segment. Every file offers the
-    folders above it, and the patterns of a repository arrive as one array, so rows never multiply by
+    folders above it, and the patterns of a repository arrive as one regex, so rows never multiply by
     the number of patterns.
     """
     folders = files.select(repo, F.explode(paths.parent_folders(F.col(path))).alias("folder")).distinct()
 
-    def selects(pattern: Column) -> Column:
+    def folder_regex(pattern: Column) -> Column:
         bare = F.regexp_replace(pattern, "/+$", "")
         regex = F.regexp_replace(bare, r"([.^$+{}()|\\])", r"\\$1")
         regex = F.replace(regex, F.lit("[!"), F.lit("[^"))
         regex = F.regexp_replace(F.regexp_replace(regex, r"\*\*/", "\u0001"), r"/\*\*$", "\u0002")
         regex = F.regexp_replace(regex, r"\*", "[^/]*")
         regex = F.replace(F.replace(regex, F.lit("?"), F.lit("[^/]")), F.lit("\u0001"), F.lit("(?:[^/]+/)*"))
-        regex = F.replace(regex, F.lit("\u0002"), F.lit("(?:/.+)?"))
-        return F.rlike(F.col("folder"), F.concat(F.lit("^"), regex, F.lit("$")))
+        return F.replace(regex, F.lit("\u0002"), F.lit("(?:/.+)?"))
 
+    any_pattern = F.concat(F.lit("^(?:"), F.array_join(F.transform("patterns", folder_regex), "|"), F.lit(")$"))
     hits = (
-        folders.join(patterns.select(repo, "patterns"), repo)
-        .filter(F.exists("patterns", selects) & (F.substring_index("folder", "/", -1) != "node_modules"))
+        folders.join(patterns.select(repo, any_pattern.alias("__regex")), repo)
+        .filter(F.rlike("folder", F.col("__regex")) & (F.substring_index("folder", "/", -1) != "node_modules"))
         .select(repo, F.substring_index("folder", "/", -1).alias("name"), F.concat("folder", F.lit("/")).alias("prefix"))
     )
     single = files.select(repo).distinct().join(hits.select(repo).distinct(), repo, "left_anti").select(
