@@ -20,13 +20,13 @@ OSV_SCHEMA = """
 CRITICAL_SCORE = 8.0
 CRITICAL_WORDS = ["CRITICAL", "HIGH"]
 NO_SUMMARY = "No summary available."
+NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
 def cvss_score(score: Column) -> Column:
     """Numeric score, alone or before a ``/``; a bare ``CVSS:`` vector carries none."""
-    text = strip(score)
-    head = F.when(~text.startswith("CVSS:"), F.substring_index(text, "/", 1))
-    return F.coalesce(text.try_cast("double"), head.try_cast("double"))
+    head = F.substring_index(strip(score), "/", 1)
+    return F.when(head.rlike(NUMBER), head.cast("double"))
 
 
 def severity(entries: Column, word: Column) -> Column:

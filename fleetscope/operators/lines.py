@@ -54,11 +54,15 @@ def scan_markers(
 ) -> DataFrame:
     """First marker of every line that has one, confidence LOW.
 
-    Files without any marker are dropped by one pass over the text before lines are made.
+    Files without any marker word are dropped by plain substring searches before lines are made.
     """
     pattern = marker_pattern(markers)
-    hit = explode_lines(df.filter(F.col(text).rlike(pattern)), text, keep)
-    return hit.filter(F.col("line").rlike(pattern)).select(
+
+    def named(column: str) -> Column:
+        return paths.any_of([F.contains(F.col(column), F.lit(m)) for m in markers])
+
+    hit = explode_lines(df.filter(named(text)), text, keep)
+    return hit.filter(named("line") & F.col("line").rlike(pattern)).select(
         *keep,
         "line_no",
         F.regexp_extract("line", pattern, 1).alias("marker"),
@@ -76,9 +80,9 @@ def scan_secrets(
 ) -> DataFrame:
     """Lines with a hard-coded credential. CSV files are not looked at."""
     name = F.col(path).cast("string")
-    candidates = df.filter((paths.suffix(name) != CSV_SUFFIX) & F.col(text).rlike(secrets.CANDIDATE))
+    candidates = df.filter((paths.suffix(name) != CSV_SUFFIX) & secrets.may_hold_secret(F.col(text)))
     numbered = explode_lines(candidates, text, dict.fromkeys([*keep, path])).filter(
-        F.col("line").rlike(secrets.CANDIDATE)
+        secrets.may_hold_secret(F.col("line"))
     )
     verdict = secrets.line_confidence(F.col("line"), name, cutoff, custom)
     return numbered.select(*keep, "line_no", verdict.alias("confidence")).filter(F.col("confidence").isNotNull())

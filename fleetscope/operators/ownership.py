@@ -22,16 +22,34 @@ def blame_candidates(
     return top_k(files.filter(paths.eligible_source(F.col(path))), [repo], [F.desc(size), F.asc(path)], k)
 
 
+def line_counts(
+    blame: DataFrame,
+    keys: Sequence[str] = ("repo", "module"),
+    repo: str = "repo",
+    path: str = "path",
+    author: str = "author",
+    sha: str = "sha",
+) -> DataFrame:
+    """Blame lines counted per (module, path, author, commit): what every operator below works on.
+
+    A commit that wrote a third of all lines shrinks to one row per file before any join, and because
+    the operators read the same aggregation, Spark runs its shuffle once and reuses it.
+    """
+    group = dict.fromkeys([*keys, repo, path, author, sha])
+    return blame.groupBy(*group).agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > 0)
+
+
 def owned_lines(
-    blame: DataFrame, keys: Sequence[str] = ("repo", "module"), author: str = "author"
+    counts: DataFrame, keys: Sequence[str] = ("repo", "module"), author: str = "author"
 ) -> DataFrame:
     """Lines per (module, author)."""
-    return blame.groupBy(*keys, author).agg(F.count(F.lit(1)).alias("lines"))
+    return counts.groupBy(*keys, author).agg(F.sum("lines").alias("lines"))
 
 
-def module_totals(blame: DataFrame, keys: Sequence[str] = ("repo", "module"), sha: str = "sha") -> DataFrame:
-    return blame.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("line_count"), F.count_distinct(sha).alias("commits")
+def module_totals(counts: DataFrame, keys: Sequence[str] = ("repo", "module"), sha: str = "sha") -> DataFrame:
+    """Lines and distinct commits per module."""
+    return counts.groupBy(*keys).agg(
+        F.sum("lines").alias("line_count"), F.count_distinct(sha).alias("commits")
     )
 
 
@@ -75,7 +93,7 @@ def tag_commits(
 
 
 def ai_lines(
-    blame: DataFrame,
+    counts: DataFrame,
     tagged: DataFrame,
     keys: Sequence[str] = ("repo", "module"),
     repo: str = "repo",
@@ -83,15 +101,9 @@ def ai_lines(
     sha: str = "sha",
     inline_files: DataFrame | None = None,
 ) -> DataFrame:
-    """Per module: lines, lines of assisted commits or files, and their percentage.
-
-    Blame lines are counted per (module, path, commit) before the joins: a commit that wrote a third
-    of all lines then joins as a handful of rows.
-    """
-    group = list(dict.fromkeys([*keys, repo, path, sha]))
-    counted = blame.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    """Per module: lines, lines of assisted commits or files, and their percentage."""
     assisted = tagged.filter(F.size("ai_tools") > 0).select(repo, sha).distinct().withColumn("__ai", F.lit(True))
-    joined = counted.join(assisted, [repo, sha], "left")
+    joined = counts.join(assisted, [repo, sha], "left")
     if inline_files is None:
         flagged = joined.withColumn("__inline", F.lit(False))
     else:
@@ -99,21 +111,26 @@ def ai_lines(
         flagged = joined.join(marks, [repo, path], "left")
     is_ai = F.coalesce("__ai", F.lit(False)) | F.coalesce("__inline", F.lit(False))
     totals = flagged.groupBy(*keys).agg(
-        F.sum("__n").alias("line_count"), F.sum(F.when(is_ai, F.col("__n")).otherwise(0)).alias("ai_line_count")
+        F.sum("lines").alias("line_count"), F.sum(F.when(is_ai, F.col("lines")).otherwise(0)).alias("ai_line_count")
     )
     return totals.withColumn("ai_percent", F.bround(F.col("ai_line_count") / F.col("line_count") * 100, 1))
 
 
+def _touched(counts: DataFrame, tagged: DataFrame, columns: Sequence[str], keys: Sequence[str], repo: str, sha: str) -> DataFrame:
+    """(module, assisted commit) pairs, each once."""
+    pairs = counts.filter(F.col("lines") > 0).select(*dict.fromkeys([*keys, repo, sha])).distinct()
+    return pairs.join(tagged.filter(F.size("ai_tools") > 0).select(repo, sha, *columns), [repo, sha])
+
+
 def module_tools(
-    blame: DataFrame,
+    counts: DataFrame,
     tagged: DataFrame,
     keys: Sequence[str] = ("repo", "module"),
     repo: str = "repo",
     sha: str = "sha",
 ) -> DataFrame:
     """Sorted distinct tool labels per module; the set is bounded by the tool list."""
-    touched = blame.select(*dict.fromkeys([*keys, repo, sha])).distinct()
-    found = touched.join(tagged.filter(F.size("ai_tools") > 0).select(repo, sha, "ai_tools"), [repo, sha])
+    found = _touched(counts, tagged, ["ai_tools"], keys, repo, sha)
     return (
         found.select(*keys, F.explode("ai_tools").alias("__tool"))
         .groupBy(*keys)
@@ -122,7 +139,7 @@ def module_tools(
 
 
 def module_bursts(
-    blame: DataFrame,
+    counts: DataFrame,
     tagged: DataFrame,
     keys: Sequence[str] = ("repo", "module"),
     repo: str = "repo",
@@ -132,9 +149,7 @@ def module_bursts(
     minimum: int = 3,
 ) -> DataFrame:
     """Whether a module saw a burst of assisted commits."""
-    touched = blame.select(*dict.fromkeys([*keys, repo, sha])).distinct()
-    assisted = tagged.filter(F.size("ai_tools") > 0).select(repo, sha, ts)
-    return bursts(touched.join(assisted, [repo, sha]), keys, ts, seconds, minimum)
+    return bursts(_touched(counts, tagged, [ts], keys, repo, sha), keys, ts, seconds, minimum)
 
 
 def top_contributors(

@@ -151,27 +151,22 @@ def match_advisories(
 ) -> DataFrame:
     """Packages whose exact (ecosystem, name, version) an advisory lists.
 
-    ``advisories`` is OSV shaped (:data:`fleetscope.functions.advisories.OSV_SCHEMA`). The join runs
-    on the fleet's distinct package versions; repositories are attached to the hits only, so a
-    package that a third of the fleet uses is matched once.
+    ``advisories`` is OSV shaped (:data:`fleetscope.functions.advisories.OSV_SCHEMA`). Its size picks
+    the join: below Spark's broadcast threshold the packages are not shuffled at all, above it both
+    sides are, and adaptive execution splits the packages of a popular version.
     """
-    versions = packages.select("ecosystem", "name", "version").distinct()
-    listed = (
-        advisories.withColumn("__hit", F.explode("affected"))
-        .withColumn("version", F.explode("__hit.versions"))
-        .select(
-            F.col("__hit.package.ecosystem").alias("ecosystem"),
-            F.col("__hit.package.name").alias("name"),
-            "version",
-            adv.resolved_id(F.col("id"), F.col("aliases")).alias("advisory"),
-            adv.severity(F.col("severity"), F.col("database_specific.severity")).alias("severity"),
-            adv.fixed_version(F.col("affected"), F.col("__hit.package.name")).alias("fixed_in"),
-            adv.summary(F.col("summary"), F.col("details")).alias("summary"),
-        )
+    affected = advisories.select("*", F.explode("affected").alias("__hit"))
+    listed = affected.select(
+        F.col("__hit.package.ecosystem").alias("ecosystem"),
+        F.col("__hit.package.name").alias("name"),
+        F.explode(F.array_distinct("__hit.versions")).alias("version"),
+        adv.resolved_id(F.col("id"), F.col("aliases")).alias("advisory"),
+        adv.severity(F.col("severity"), F.col("database_specific.severity")).alias("severity"),
+        adv.fixed_version(F.col("affected"), F.col("__hit.package.name")).alias("fixed_in"),
+        adv.summary(F.col("summary"), F.col("details")).alias("summary"),
     )
-    hits = listed.join(versions, ["ecosystem", "name", "version"])
     found = packages.select(repo, "ecosystem", "name", "version", "exact").join(
-        hits, ["ecosystem", "name", "version"]
+        listed, ["ecosystem", "name", "version"]
     )
     return dedupe_vulnerabilities(found, repo)
 

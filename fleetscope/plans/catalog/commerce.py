@@ -36,6 +36,10 @@ def blame(t: Tables) -> DataFrame:
 BLAME = "blame AS (SELECT o_custkey AS module, l_partkey AS path, l_returnflag AS author, l_orderkey AS sha FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
+def counts(t: Tables) -> DataFrame:
+    return ownership.line_counts(blame(t), ["module"])
+
+
 def meta(t: Tables) -> DataFrame:
     return t("orders").select(
         F.lit("r").alias("repo"), F.col("o_orderkey").alias("sha"), F.lit("someone").alias("author"), F.lit("").alias("email"),
@@ -49,7 +53,7 @@ def tagged(t: Tables) -> DataFrame:
 
 @QUERIES.query("ownership_lines", f"WITH {BLAME} SELECT module, author, count(*) AS lines FROM blame GROUP BY ALL")
 def ownership_lines(t: Tables) -> DataFrame:
-    return ownership.owned_lines(blame(t), ["module"])
+    return ownership.owned_lines(counts(t), ["module"])
 
 
 SHARES = f"""
@@ -63,11 +67,11 @@ shares AS (SELECT module, author, lines, CAST(greatest(0, share + CASE WHEN n =
 
 @QUERIES.query("ownership_shares", f"WITH {SHARES} SELECT * FROM shares")
 def ownership_shares(t: Tables) -> DataFrame:
-    return ownership.shares(ownership.owned_lines(blame(t), ["module"]), ["module"])
+    return ownership.shares(ownership.owned_lines(counts(t), ["module"]), ["module"])
 
 
 def contributors(t: Tables) -> DataFrame:
-    shared = ownership.shares(ownership.owned_lines(blame(t), ["module"]), ["module"])
+    shared = ownership.shares(ownership.owned_lines(counts(t), ["module"]), ["module"])
     return ownership.top_contributors(shared, ["module"], is_ai=F.col("author") == "R")
 
 
@@ -97,7 +101,7 @@ ai AS (
 
 def ai_share(t: Tables) -> DataFrame:
     inline = t("part").filter("p_partkey % 10 = 0").select(F.lit("r").alias("repo"), F.col("p_partkey").cast("string").alias("path"))
-    return ownership.ai_lines(blame(t), tagged(t), ["module"], inline_files=inline)
+    return ownership.ai_lines(counts(t), tagged(t), ["module"], inline_files=inline)
 
 
 @QUERIES.query("ai_line_share", f"WITH {AI} SELECT *, CAST(round_even(ai_line_count / line_count * 100, 1) AS DOUBLE) AS ai_percent FROM ai")
@@ -136,7 +140,7 @@ def module_ownership(t: Tables) -> DataFrame:
     recent = history.churn(
         t("orders").select(F.col("o_custkey").alias("module"), F.col("o_orderdate").alias("ts")), ["module"], days=90
     )
-    lines, marks = blame(t), tagged(t)
+    lines, marks = counts(t), tagged(t)
     out = ownership.module_ownership(
         contributors(t),
         ai_share(t),

@@ -81,7 +81,7 @@ def classify_values(t: Tables) -> DataFrame:
 
 @QUERIES.query("text_entropy", f"SELECT doc_id, round({entropy_sql('text')}, 6) AS entropy FROM documents")
 def text_entropy(t: Tables) -> DataFrame:
-    return t("documents").select("doc_id", F.round(text.entropy(F.col("text")), 6).alias("entropy"))
+    return t("documents").select("doc_id", F.round(text.text_entropy(F.col("text")), 6).alias("entropy"))
 
 
 @QUERIES.query("credential_names", f"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope.functions import paths
-from fleetscope.functions.text import strip
+from fleetscope.functions.text import strip, unpack
 from fleetscope.operators.ordered import with_running_last
 
 # Formats.
@@ -27,13 +27,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def parse_commit_log(df: DataFrame, line: str = "line", keep: Sequence[str] = ("repo",)) -> DataFrame:
     """``hash|author|date|subject`` lines; the subject may hold further bars, short lines are dropped."""
     parts = F.split(strip(F.col(line)), LOG_SEPARATOR, 4)
-    return (
-        df.select(*keep, parts.alias("__p"))
-        .filter(F.size("__p") == 4)
-        .select(
-            *keep,
-            *[strip(F.get("__p", n)).alias(name) for n, name in enumerate(["hash", "author", "date", "subject"])],
-        )
+    names = ["hash", "author", "date", "subject"]
+    whole = F.filter(F.array(parts), lambda p: F.size(p) == 4)
+    return df.select(
+        *keep, unpack(whole, lambda p: F.struct(*[strip(F.get(p, n)).alias(name) for n, name in enumerate(names)]))
     )
 
 
@@ -45,15 +42,17 @@ def parse_touched_paths(df: DataFrame, line: str = "line", keep: Sequence[str] =
 def parse_numstat(df: DataFrame, line: str = "line", keep: Sequence[str] = ("repo",)) -> DataFrame:
     """``added<TAB>deleted<TAB>path``: binary, malformed and empty changes are dropped, renames keep
     their new side."""
-    parts = F.split(strip(F.col(line)), "\t")
-    path = F.get("__p", 2)
-    renamed = F.regexp_replace(path, r"(?s)^.*? => ", "")
-    rows = df.select(*keep, parts.alias("__p")).select(
-        *keep,
-        paths.posix(renamed).alias("path"),
-        F.get("__p", 0).try_cast("bigint").alias("added"),
-        F.get("__p", 1).try_cast("bigint").alias("deleted"),
-    )
+    def number(text: Column) -> Column:
+        # a failing cast costs far more than a look at the digits
+        return F.when(text.rlike(r"^\d{1,18}$"), text.cast("bigint"))
+
+    def change(p: Column) -> Column:
+        renamed = F.regexp_replace(F.get(p, 2), r"(?s)^.*? => ", "")
+        return F.struct(
+            paths.posix(renamed).alias("path"), number(F.get(p, 0)).alias("added"), number(F.get(p, 1)).alias("deleted")
+        )
+
+    rows = df.select(*keep, unpack(F.array(F.split(strip(F.col(line)), "\t")), change))
     return rows.filter(F.col("path").isNotNull() & (F.col("added") + F.col("deleted") > 0))
 
 
@@ -87,17 +86,15 @@ def parse_blame(
 
 def parse_commit_meta(df: DataFrame, text: str = "text", keep: Sequence[str] = ("repo",)) -> DataFrame:
     """``sha<<>>author<<>>email<<>>epoch<<>>message<<>>END`` blocks of a whole log text."""
-    blocks = df.select(*keep, F.explode(F.split(F.col(text), META_END)).alias("__b"))
-    parts = F.split(strip(F.col("__b")), META_SEPARATOR, 5)
-    return (
-        blocks.select(*keep, parts.alias("__p"))
-        .filter(F.size("__p") == 5)
-        .select(
-            *keep,
-            F.get("__p", 0).alias("sha"),
-            F.get("__p", 1).alias("author"),
-            F.get("__p", 2).alias("email"),
-            F.timestamp_seconds(F.get("__p", 3).try_cast("bigint")).alias("ts"),
-            strip(F.get("__p", 4)).alias("message"),
+    blocks = F.transform(F.split(F.col(text), META_END), lambda b: F.split(strip(b), META_SEPARATOR, 5))
+
+    def commit(p: Column) -> Column:
+        return F.struct(
+            F.get(p, 0).alias("sha"),
+            F.get(p, 1).alias("author"),
+            F.get(p, 2).alias("email"),
+            F.timestamp_seconds(F.get(p, 3).try_cast("bigint")).alias("ts"),
+            strip(F.get(p, 4)).alias("message"),
         )
-    )
+
+    return df.select(*keep, unpack(F.filter(blocks, lambda p: F.size(p) == 5), commit))

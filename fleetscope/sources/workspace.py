@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions import paths
-from fleetscope.functions.text import lines, strip
+from fleetscope.functions.text import let, lines, strip
 
 # Definition files in order of precedence.
 DEFINITIONS = ["pnpm-workspace.yaml", "pnpm-workspace.yml", "lerna.json", "package.json", "Cargo.toml"]
@@ -20,16 +20,23 @@ def clean_pattern(pattern: Column) -> Column:
 
 def yaml_patterns(content: Column) -> Column:
     """List items below ``packages:`` up to the next key, exclusions left out."""
+
+    def below(rows: Column) -> Column:
+        start = F.array_position(rows, "packages:").cast("int")
+        after = F.slice(rows, F.greatest(start + 1, F.lit(1)), F.size(rows))
+        return F.when(start > 0, let(after, items))
+
+    def items(after: Column) -> Column:
+        keys = F.filter(after, lambda r: r.contains(":") & ~r.startswith("-"))
+        stop = F.coalesce(F.array_position(after, F.get(keys, 0)).cast("int"), F.lit(0))
+        kept = F.when(stop > 0, F.slice(after, F.lit(1), stop - 1)).otherwise(after)
+        named = F.transform(
+            F.filter(kept, lambda r: r.startswith("- ")), lambda r: clean_pattern(F.substring(r, 3, 1_000_000))
+        )
+        return F.filter(named, lambda p: ~p.startswith("!"))
+
     rows = F.filter(F.transform(lines(content), strip), lambda r: (r != "") & ~r.startswith("#"))
-    start = F.array_position(rows, "packages:")
-    after = F.slice(rows, F.greatest(start + 1, F.lit(1)).cast("int"), F.size(rows))
-    stops = F.filter(after, lambda r: r.contains(":") & ~r.startswith("-"))
-    stop = F.array_position(after, F.get(stops, 0))
-    kept = F.when(F.coalesce(stop, F.lit(0)) > 0, F.slice(after, F.lit(1), (stop - 1).cast("int"))).otherwise(after)
-    items = F.transform(
-        F.filter(kept, lambda r: r.startswith("- ")), lambda r: clean_pattern(F.regexp_replace(r, "^- ", ""))
-    )
-    return F.when(start > 0, F.filter(items, lambda p: ~p.startswith("!")))
+    return let(rows, below)
 
 
 def json_patterns(content: Column, *fields: str) -> Column:
