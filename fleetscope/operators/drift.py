@@ -248,9 +248,9 @@ def reference_counts(
 
 
 def existing_paths(files: DataFrame, repo: str = "repo", path: str = "path") -> DataFrame:
-    """Files and every folder above them."""
+    """Files and every folder above them; folders repeat."""
     every = F.concat(paths.parent_folders(F.col(path)), F.array(paths.posix(F.col(path))))
-    return files.select(repo, F.explode(every).alias("path")).distinct()
+    return files.select(repo, F.explode(every).alias("path"))
 
 
 def checked_references(
@@ -263,9 +263,12 @@ def checked_references(
 ) -> DataFrame:
     """Adds ``valid``; drops the missing manifest names of sources that list several of them.
 
-    A path is valid when it exists or when its name is the name of a scanned manifest.
+    A path is valid when it exists or when its name is the name of a scanned manifest. The existing
+    paths, which are many more than the referenced ones, are cut down to those before they are made
+    distinct.
     """
-    here = existing.select(repo, "path").distinct().withColumn("__here", F.lit(True))
+    asked = counted.select(repo, "path").distinct()
+    here = existing.select(repo, "path").join(asked, [repo, "path"], "left_semi").distinct().withColumn("__here", F.lit(True))
     joined = counted.join(here, [repo, "path"], "left").withColumn("__name", F.lower(paths.basename(F.col("path"))))
     if manifests is None:
         valid = F.col("__here").isNotNull()

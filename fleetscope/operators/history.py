@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions import labels, paths
 from fleetscope.functions.moments import epoch_micros
-from fleetscope.operators.ordered import top_k, with_previous, with_running_sum
+from fleetscope.operators.ordered import join_groups, top_k, with_previous, with_running_sum
 
 # Fixed values.
 NOISE_PREFIXES = ["fix typo", "wip", "update", "checkpoint", "save", "fix", "refactor", "cleanup", "minor", "test"]
@@ -184,12 +184,16 @@ def sort_hotspots(counts: DataFrame, key: str = "changes", descending: bool | No
 
 
 def hotspot_density(
-    counts: DataFrame, keys: Sequence[str] = ("repo",), changes: str = "changes"
+    counts: DataFrame, keys: Sequence[str] = ("repo",), changes: str = "changes", path: str = "path"
 ) -> DataFrame:
-    """Each count against its group's maximum: percent, bar cells, heat tier."""
+    """Each count against its group's maximum: percent, bar cells, heat tier.
+
+    The maximum is aggregated and joined back: a window over a whole repository would buffer it in one
+    task.
+    """
     top = counts.groupBy(*keys).agg(F.max(changes).alias("__top"))
     value, peak = F.col(changes), F.col("__top")
-    return counts.join(top, list(keys)).select(
+    return join_groups(counts, top, keys, F.col(path)).select(
         *counts.columns,
         labels.density(value, peak).alias("density"),
         labels.bar_cells(value, peak).alias("cells"),

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 _BLOCK = "__o_block"
 
+#: Sub-keys over which the rows of one key are dealt in :func:`join_groups`.
+SALTS = 32
+
 
 def _ordering(order: Sequence[str]) -> Column:
     return F.struct(*order)
@@ -103,10 +106,11 @@ def with_running_sum(
     before = (
         rows.groupBy(*keys, _BLOCK)
         .agg(F.sum(value).alias("__o_sum"))
-        .select(*keys, _BLOCK, F.coalesce(F.sum("__o_sum").over(earlier), F.lit(0)).alias("__o_before"))
+        .select(*keys, _BLOCK, F.sum("__o_sum").over(earlier).alias("__o_before"))
     )
     joined = rows.select("*", F.sum(value).over(window).alias("__o_within")).join(before, [*keys, _BLOCK], "left")
-    return joined.select(*df.columns, (F.col("__o_within") + F.col("__o_before")).alias(out))
+    total = F.coalesce(F.col("__o_within") + F.col("__o_before"), "__o_within", "__o_before")
+    return joined.select(*df.columns, total.alias(out))
 
 
 def top_k(
@@ -127,6 +131,20 @@ def spread(key: Column, parts: Column) -> Column:
     return F.pmod(digest, parts)
 
 
+def join_groups(
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str], item: Column, salts: int = SALTS
+) -> DataFrame:
+    """``rows`` with the columns of ``groups``, which has one row per key.
+
+    The rows of a key are dealt over ``salts`` sub-keys by a stable hash of ``item`` and the group row
+    is repeated for each, so a key that holds a third of all rows is joined in many tasks. The group
+    side grows by the factor ``salts``, but it is one narrow row per key.
+    """
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(item), F.lit(salts)).cast("int"))
+    repeated = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(repeated, [*keys, "__salt"]).drop("__salt")
+
+
 def with_part(
     df: DataFrame, keys: Sequence[str], item: Column, per_part: int, out: str = "part"
 ) -> DataFrame:
@@ -136,4 +154,4 @@ def with_part(
     group is, and loses nothing.
     """
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per_part).alias("__parts"))
-    return df.join(sizes, list(keys)).withColumn(out, spread(item, F.col("__parts"))).drop("__parts")
+    return join_groups(df, sizes, keys, item).withColumn(out, spread(item, F.col("__parts"))).drop("__parts")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions import labels, paths
 from fleetscope.operators.history import BURST_SECONDS, bursts
-from fleetscope.operators.ordered import top_k
+from fleetscope.operators.ordered import join_groups, top_k
 
 # Files blamed per repository.
 BLAMED_FILES = 250
@@ -59,11 +59,11 @@ def shares(
     """Whole-number percentages that add up to 100: rounded half up, the rest goes to the largest
     contributor (ties by name) and never below 0.
 
-    Two aggregations and equi joins instead of whole-partition windows, so that a module with very
-    many contributors is not sorted in one task.
+    Two aggregations and salted joins instead of whole-partition windows, so that a module with very
+    many contributors is not handled in one task.
     """
     totals = lines.groupBy(*keys).agg(F.sum(count).alias("__total")).filter(F.col("__total") > 0)
-    rounded = lines.join(totals, list(keys)).withColumn(
+    rounded = join_groups(lines, totals, keys, F.col(author)).withColumn(
         "__share", F.floor(F.col(count) / F.col("__total") * 100 + 0.5)
     )
     rest = rounded.groupBy(*keys).agg(
@@ -71,7 +71,7 @@ def shares(
         F.min_by(author, F.struct((-F.col(count)).alias("n"), F.col(author).alias("a"))).alias("__largest"),
     )
     gift = F.when(F.col(author) == F.col("__largest"), F.col("__rest")).otherwise(0)
-    return rounded.join(rest, list(keys)).select(
+    return join_groups(rounded, rest, keys, F.col(author)).select(
         *keys, author, count, F.greatest(F.lit(0), F.col("__share") + gift).cast("int").alias("share")
     )
 

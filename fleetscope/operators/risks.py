@@ -75,6 +75,28 @@ def marker_risks(
     return risk_rows(findings, "markers", "info", message, F.col("confidence"), keys)
 
 
+def finding_risks(
+    findings: DataFrame, keys: Sequence[str] = ("repo",), path: str = "path", line: str = "line_no"
+) -> DataFrame:
+    """Risk rows of :func:`fleetscope.operators.lines.scan_findings`, without reading it twice."""
+    secret = F.col("kind") == "secrets"
+    fixture = paths.test_path(F.col(path).cast("string"))
+    message = F.concat(
+        F.when(~secret, F.concat(F.col("marker"), F.lit(" in ")))
+        .when(fixture, F.lit("Hard-coded secret-like value in test/example file "))
+        .otherwise(F.lit("Hard-coded secret in ")),
+        _place(path, line),
+    )
+    return findings.select(
+        *keys,
+        F.col("kind").alias("source"),
+        F.when(secret, POSITIONS["secrets"]).otherwise(POSITIONS["markers"]).alias("position"),
+        F.when(~secret, "info").when(fixture, "warning").otherwise("critical").alias("severity"),
+        message.alias("message"),
+        "confidence",
+    )
+
+
 def missing_tests(
     files: DataFrame, keys: Sequence[str] = ("repo",), path: Column | None = None,
     roots: Sequence[str] = paths.TEST_ROOTS,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions import paths
 from fleetscope.functions.text import lines, strip
+from fleetscope.operators.sized import broadcast_if_small
 
 
 def ignore_rules(files: DataFrame, repo: str = "repo", path: str = "path", text: str = "content") -> DataFrame:
@@ -38,14 +39,14 @@ def drop_ignored(
 ) -> DataFrame:
     """Files under no default rule, literal pattern, or pattern of their own repository.
 
-    ``rules`` has one row per repository, so the join adds a column to a file row and never fans out;
-    rows of one repository arrive together and share the compiled regex.
+    ``rules`` has one row per repository, so the join adds a column to a file row and never fans out.
+    It is measured first: as a broadcast it leaves the file contents where they are.
     """
     kept = files.filter(~paths.ignored(F.col(path), patterns))
     if rules is None:
         return kept
     hit = F.coalesce(F.rlike(paths.posix(F.col(path)), F.col("regex")), F.lit(False))
-    return kept.join(rules.select(repo, "regex"), repo, "left").filter(~hit).drop("regex")
+    return kept.join(broadcast_if_small(rules.select(repo, "regex")), repo, "left").filter(~hit).drop("regex")
 
 
 def text_files(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -65,8 +66,8 @@ def within_depth(files: DataFrame, path: str = "path", folders: int = 3) -> Data
 
 
 def changed_only(files: DataFrame, changed: DataFrame, on: Sequence[str] = ("repo", "path")) -> DataFrame:
-    """Incremental scope: files that exist and are in the change set."""
-    return files.join(changed.select(*on), list(on), "left_semi")
+    """Incremental scope: files that exist and are in the change set, whose size is measured first."""
+    return files.join(broadcast_if_small(changed.select(*on).distinct()), list(on), "left_semi")
 
 
 def scope_counts(

@@ -1,0 +1,34 @@
+"""Broadcasts behind a measured size."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: Largest side that is sent to every executor.
+BROADCAST_BYTES = 64 * 1024 * 1024
+_FIXED_BYTES = 16
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all rows, from one aggregation over them."""
+    width = reduce(
+        lambda total, field: total
+        + (F.coalesce(F.octet_length(field.name), F.lit(0)) if isinstance(field.dataType, StringType) else F.lit(_FIXED_BYTES)),
+        df.schema.fields,
+        F.lit(_FIXED_BYTES),
+    )
+    return df.agg(F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()[0]
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it measures at most ``limit`` bytes, else as it is.
+
+    For joins whose other side carries file contents: Spark cannot know the size of a derived table
+    beforehand and would shuffle the contents. Beyond the limit that shuffle is the right plan.
+    The measurement runs ``df`` once.
+    """
+    return F.broadcast(df) if measured_bytes(df) <= limit else df

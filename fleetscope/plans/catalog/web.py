@@ -75,7 +75,7 @@ def checked(t: Tables) -> DataFrame:
 
 @QUERIES.query("path_drift", f"""
 WITH {CHECKED}
-SELECT repo, CAST(sum(occurrences) FILTER (valid) AS BIGINT) AS valid_refs, CAST(sum(occurrences) AS BIGINT) AS total_refs,
+SELECT repo, CAST(coalesce(sum(occurrences) FILTER (valid), 0) AS BIGINT) AS valid_refs, CAST(sum(occurrences) AS BIGINT) AS total_refs,
        round_even(coalesce(sum(occurrences) FILTER (valid), 0) / sum(occurrences), 4) AS path_ratio,
        count(*) FILTER (NOT valid) AS missing
 FROM checked GROUP BY repo""")

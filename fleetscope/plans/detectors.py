@@ -73,6 +73,15 @@ def _markers(context: Context) -> DataFrame:
     return risks.marker_risks(found, context.keys)
 
 
+def _line_findings(context: Context) -> DataFrame:
+    options = context.settings
+    found = lines.scan_findings(
+        context["files"], keep=[*context.keys, "path"], markers=options.markers,
+        cutoff=options.entropy_cutoff, custom=options.secret_patterns,
+    )
+    return risks.finding_risks(found, context.keys)
+
+
 def _missing_tests(context: Context) -> DataFrame:
     return risks.missing_tests_risks(risks.missing_tests(context["files"], context.keys), context.keys)
 
@@ -130,6 +139,11 @@ def run(
     """
     known = {d.name for d in BUILT_IN if d in detectors}
     out, failures = None, {}
+    fused = [d for d in detectors if d in BUILT_IN[:2]]
+    if len(fused) == 2:
+        # both read every line: one pass serves them
+        out = _line_findings(context)
+        detectors = [d for d in detectors if d not in fused]
     for detector in detectors:
         try:
             rows = _checked(detector, context, probe_external and detector.name not in known)
