@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -24,6 +26,9 @@ CHARS_PER_TOKEN = 4
 PREVIEW_LINES = 10
 FULL_TEXT_BELOW_LINES = 200
 
+# The Arrow function below travels to the workers by value, so they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over a value that is computed once. Keeps expressions that use an intermediate result

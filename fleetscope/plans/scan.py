@@ -271,20 +271,13 @@ class Scan:
     def architecture(self) -> DataFrame:
         return fleet.architecture_line(self.tiers.withColumn("system", F.lit("fleet")))
 
-    def payload(self, per_part: int = sinks.ITEMS_PER_PART) -> DataFrame:
-        """All tables as JSON documents per repository and section."""
-        sections = {
-            "risks": self.risks.select("repo", "source", "severity", "message", "confidence"),
-            "hotspots": self.hotspots,
-            "timeline": self.timeline,
-            "checklist": self.checklist,
-            "drift": self.drift,
-            "freshness": self.freshness,
-            "stack": self.stack,
-            "dependencies": self.dependencies,
-            "packages": self.packages,
-            "counts": self.risk_counts,
-        }
-        if self.ownership is not None:
-            sections["ownership"] = self.ownership
-        return sinks.report_payload(sections, per_part=per_part)
+    #: sections of the payload and the tables they hold
+    SECTIONS = (
+        "risks", "hotspots", "timeline", "checklist", "drift", "freshness", "stack", "dependencies", "packages",
+        "risk_counts", "ownership",
+    )
+
+    def payload(self, sections: Iterable[str] = SECTIONS, per_part: int = sinks.ITEMS_PER_PART) -> DataFrame:
+        """The chosen tables as JSON documents per repository and section."""
+        tables = {name: getattr(self, name) for name in sections}
+        return sinks.report_payload({n: df for n, df in tables.items() if df is not None}, per_part=per_part)

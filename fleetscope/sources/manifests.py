@@ -7,10 +7,12 @@ file names go through one ``mapInPandas`` over the standard library's reader.
 
 from __future__ import annotations
 
+import sys
 import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,9 @@ JSON_SECTIONS = {
 }
 TOML_FILES = ["Cargo.toml", "pyproject.toml"]
 
+# The TOML helper travels to the workers by value, so they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _entry(ecosystem: str, dependency: Column, name: Column, spec: Column) -> Column:
     return F.struct(
