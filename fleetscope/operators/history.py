@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions import labels, paths
 from fleetscope.functions.moments import epoch_micros
-from fleetscope.operators.ordered import join_groups, top_k, with_previous, with_running_sum
+from fleetscope.operators.ordered import FEW_SALTS, join_groups, top_k, with_previous, with_running_sum
 
 # Fixed values.
 NOISE_PREFIXES = ["fix typo", "wip", "update", "checkpoint", "save", "fix", "refactor", "cleanup", "minor", "test"]
@@ -193,7 +193,7 @@ def hotspot_density(
     """
     top = counts.groupBy(*keys).agg(F.max(changes).alias("__top"))
     value, peak = F.col(changes), F.col("__top")
-    return join_groups(counts, top, keys, F.col(path)).select(
+    return join_groups(counts, top, keys, F.col(path), FEW_SALTS).select(
         *counts.columns,
         labels.density(value, peak).alias("density"),
         labels.bar_cells(value, peak).alias("cells"),

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 _BLOCK = "__o_block"
 
-#: Sub-keys over which the rows of one key are dealt in :func:`join_groups`.
+#: Sub-keys over which the rows of one key are dealt in :func:`join_groups`: for raw rows, and for rows
+#: that are already aggregated, where a hot key is much smaller and repeating the groups weighs more.
 SALTS = 32
+FEW_SALTS = 8
 
 
 def _ordering(order: Sequence[str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions import labels, paths
 from fleetscope.operators.history import BURST_SECONDS, bursts
-from fleetscope.operators.ordered import join_groups, top_k
+from fleetscope.operators.ordered import FEW_SALTS, join_groups, top_k
 
 # Files blamed per repository.
 BLAMED_FILES = 250
@@ -63,7 +63,7 @@ def shares(
     many contributors is not handled in one task.
     """
     totals = lines.groupBy(*keys).agg(F.sum(count).alias("__total")).filter(F.col("__total") > 0)
-    rounded = join_groups(lines, totals, keys, F.col(author)).withColumn(
+    rounded = join_groups(lines, totals, keys, F.col(author), FEW_SALTS).withColumn(
         "__share", F.floor(F.col(count) / F.col("__total") * 100 + 0.5)
     )
     rest = rounded.groupBy(*keys).agg(
@@ -71,7 +71,7 @@ def shares(
         F.min_by(author, F.struct((-F.col(count)).alias("n"), F.col(author).alias("a"))).alias("__largest"),
     )
     gift = F.when(F.col(author) == F.col("__largest"), F.col("__rest")).otherwise(0)
-    return join_groups(rounded, rest, keys, F.col(author)).select(
+    return join_groups(rounded, rest, keys, F.col(author), FEW_SALTS).select(
         *keys, author, count, F.greatest(F.lit(0), F.col("__share") + gift).cast("int").alias("share")
     )
 

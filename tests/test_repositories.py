@@ -18,6 +18,21 @@ from fleetscope.sources import files as file_source
 from fleetscope.sources import gitlog, manifests, sinks, workspace
 
 NOW = datetime(2026, 3, 1)
+
+
+@pytest.fixture(autouse=True, scope="module")
+def interpreted(spark):
+    """Tables of a few rows: compiling their plans would take most of the time. The catalogue tests
+    run the compiled form."""
+    options = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    before = {key: spark.conf.get(key) for key in options}
+    for key, value in options.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
 FILES = "repo string, path string, content string"
 
 
