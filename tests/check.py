@@ -32,8 +32,8 @@ def canonical(columns: list[str], rows: list) -> tuple[list[str], list]:
     return [columns[i] for i in order], sorted(tuple(plain(row[i]) for i in order) for row in rows)
 
 
-def compare(spark, con, query, folder: str) -> tuple[bool, str]:
-    df = query(spark, folder)
+def compare(spark, con, query, folder: str, df=None) -> tuple[bool, str]:
+    df = query(spark, folder) if df is None else df
     got = canonical(df.columns, [tuple(r) for r in df.collect()])
     if query.sql is None:
         return len(got[1]) > 0, f"{len(got[1])} rows, no SQL"

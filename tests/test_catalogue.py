@@ -6,6 +6,7 @@ import os
 
 import pytest
 from check import compare, connect
+from test_plans import check_plan
 
 import __spark_entry__ as entry_point
 from fleetscope.plans.catalog import CATALOGUE
@@ -23,7 +24,9 @@ def con():
 
 @pytest.mark.parametrize("name", list(CATALOGUE))
 def test_query(spark, con, name):
-    ok, note = compare(spark, con, CATALOGUE[name], FOLDER)
+    df = CATALOGUE[name](spark, FOLDER)
+    check_plan(name, df._jdf.queryExecution().executedPlan().toString())
+    ok, note = compare(spark, con, CATALOGUE[name], FOLDER, df)
     assert ok or (note == "0 rows" and name in RARE and FOLDER.endswith("sf0.001")), note
 
 
