@@ -26,6 +26,8 @@ _COUNTED, _FREQUENT = 1 << 21, 8
 #: Frequent shingles that are sent to every executor. They only order a set's shingles; any order gives
 #: the same links.
 FREQUENT_SHINGLES = 500_000
+#: Nodes whose ids are sent to every task to pick their documents; more are matched by a shuffle join.
+BROADCAST_NODES = 2_000_000
 
 
 def _key(shingles: np.ndarray) -> int:
@@ -40,7 +42,8 @@ def _sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.R
 
 
 def _survey(rows: DataFrame) -> DataFrame:
-    """``doc_id, n, k`` of every row, and ``shingle, uses`` of shingles that many sets of a task have."""
+    """``doc_id, n, k, bits`` of every row, and ``shingle, uses`` of shingles that many sets of a task
+    have."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = rows_type
@@ -52,7 +55,8 @@ def _survey(rows: DataFrame) -> DataFrame:
             often = uses >= _FREQUENT
             values, uses = values[often].view(np.int64), uses[often].astype(np.int64)
             empty = pa.nulls(len(values), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), empty, empty, pa.array(values), pa.array(uses)], names=names)
+            none = [pa.nulls(len(values), kind), empty, empty, pa.nulls(len(values), pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(values), pa.array(uses)], names=names)
 
         for batch, sets in _sets(batches, 1):
             kind = batch.schema.field(0).type
@@ -64,7 +68,11 @@ def _survey(rows: DataFrame) -> DataFrame:
                     held += len(shingles)
             empty = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), empty, empty], names=names
+                [
+                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()),
+                    pa.array([_bitmap(s) for s in sets], pa.binary()), empty, empty,
+                ],
+                names=names,
             )
             if held >= _COUNTED:
                 yield frequent()
@@ -72,9 +80,9 @@ def _survey(rows: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    rows_type, names = None, ["doc_id", "n", "k", "shingle", "uses"]
+    rows_type, names = None, ["doc_id", "n", "k", "bits", "shingle", "uses"]
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(survey, f"doc_id {kind}, n long, k long, shingle long, uses long")
+    return rows.mapInArrow(survey, f"doc_id {kind}, n long, k long, bits binary, shingle long, uses long")
 
 
 def _frequent(survey: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +150,7 @@ def _postings(rows: DataFrame, values: np.ndarray, levels: np.ndarray, percent:
 
 def _bitmap(shingles: np.ndarray) -> bytes:
     """A bit for each shingle in a map of 64 bits or the power of two that is not below the set's size."""
-    width = max(64, 1 << (len(shingles) - 1).bit_length())
+    width = max(64, 1 << max(0, len(shingles) - 1).bit_length())
     bits = np.zeros(width, dtype=bool)
     bits[(mix(shingles, 13) & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -158,49 +166,48 @@ def overlap_bound(a: bytes, b: bytes, sizes: int) -> int:
     return (sizes - int(np.bitwise_count(x ^ y).sum())) // 2
 
 
-def _set_table(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, bits, shingles`` of the nodes' documents."""
+def _exact(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets are similar enough, by intersection of the sorted sets. Only the sets
+    of these nodes are made; their ids go to every task if there are at most :data:`BROADCAST_NODES`."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, 1):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([_bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["node", "bits", "shingles"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    wanted = rows.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return cut(wanted.select("doc_id", "text").mapInArrow(build, f"node {kind}, bits binary, shingles binary"))
+    pairs = cut(pairs)
+    nodes = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    few = nodes.count() <= BROADCAST_NODES
+    wanted = rows.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
+    sets = cut(wanted.select("doc_id", "text").mapInArrow(build, f"node {kind}, shingles binary"))
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"shingles_{name}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b")
+    return full.mapInArrow(compare, f"a {kind}, b {kind}")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar enough: first by their bitmaps, then by the sets."""
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` without those whose bitmaps show that they cannot be similar enough."""
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, _, size_a, size_b, bits_a, bits_b = (c.to_pylist() for c in batch.columns)
             near = []
-            for n, m, x, y in zip(size_a, size_b, bits_a, bits_b, strict=True):
+            for n, m, x, y in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 most = min(overlap_bound(x, y, n + m), n, m)
                 near.append(100 * most >= percent * (n + m - most))
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            yield batch.filter(pa.array(near, pa.bool_())).select(batch.schema.names[4:])
 
-    kind = sets.schema["node"].dataType.simpleString()
-    side = lambda name, column: sets.select(F.col("node").alias(name), F.col(column).alias(f"{column}_{name}"))
-    sized = lambda name: sets.select(F.col("node").alias(name), F.col("bits").alias(f"bits_{name}"), (F.length("shingles") / 8).cast("long").alias(f"n_{name}"))
-    mapped = pairs.join(sized("a"), "a").join(sized("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    near = mapped.mapInArrow(bounded, f"a {kind}, b {kind}")
-    full = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b")
-    return full.mapInArrow(exact, f"a {kind}, b {kind}")
+    side = lambda name: classes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+    mapped = pairs.join(side("a"), "a").join(side("b"), "b")
+    return mapped.select("n_a", "n_b", "bits_a", "bits_b", *pairs.columns).mapInArrow(bound, pairs.schema)
 
 
 def linked_documents(
@@ -220,11 +227,14 @@ def linked_documents(
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     survey = cut(_survey(rows))
-    own = survey.filter("k IS NOT NULL").select("doc_id", "n", "k")
-    classes = cut(own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k", "n").agg(F.min("doc_id").alias("node")))
+    own = survey.filter("k IS NOT NULL").select("doc_id", "n", "k", "bits")
+    least = F.min(F.struct("doc_id", "bits"))
+    classes = own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k", "n").agg(least.alias("least"))
+    classes = cut(classes.select("k", "n", F.col("least.doc_id").alias("node"), "least.bits"))
     tiles = _shared_tokens(_postings(rows, *_frequent(survey, FREQUENT_SHINGLES), percent), classes)
-    components_of = _link(rows, tiles, percent)
-    placed = join_groups(own, classes, ["k", "n"], F.col("doc_id"))
+    components_of = _link(rows, tiles, classes, percent)
+    own = own.drop("bits")
+    placed = join_groups(own, classes.drop("bits"), ["k", "n"], F.col("doc_id"))
     found = placed.join(components_of, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")
     )
@@ -239,20 +249,18 @@ def _shared_tokens(postings: DataFrame, classes: DataFrame) -> DataFrame:
     near = postings.select("token", "n", "k", F.lag(at).over(order).alias("before"), F.lead(at).over(order).alias("after"))
     known = F.coalesce(F.col("before") == at, F.lit(False))
     shared = near.filter(~known & (F.col("before").isNotNull() | F.col("after").isNotNull())).select("token", "n", "k")
-    return cut(shared.join(classes, ["k", "n"]).select("token", "node", "n"))
+    return cut(shared.join(classes.drop("bits"), ["k", "n"]).select("token", "node", "n"))
 
 
-def _link(rows: DataFrame, tiles: DataFrame, percent: int) -> DataFrame:
+def _link(rows: DataFrame, tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     order = Window.partitionBy("token").orderBy("n", "node")
     chain = tiles.select(F.col("node").alias("b"), "n", F.lag("node").over(order).alias("a"), F.lag("n").over(order).alias("m"))
     chain = chain.filter((F.col("a") != F.col("b")) & (100 * F.col("m") >= percent * F.col("n")))
-    chain = cut(chain.groupBy("a", "b").agg(F.count(F.lit(1)).alias("tokens")))
-    nodes = chain.select(F.col("a").alias("node")).union(chain.select("b")).distinct()
-    sets = _set_table(rows, nodes)
+    chain = _bounded(chain.groupBy("a", "b").agg(F.count(F.lit(1)).alias("tokens")), classes, percent)
     nearest = chain.groupBy("b").agg(F.max_by("a", F.struct("tokens", "a")).alias("a"))
-    first = cut(_similar(nearest.select("a", "b"), sets, percent))
+    first = cut(_exact(rows, nearest.select("a", "b"), percent))
     labels = components(first, "a", "b")
-    labelled = tiles.join(nodes, "node", "left_semi").join(labels, "node", "left").select(
+    labelled = tiles.join(labels, "node", "left").select(
         "token", "node", "n", F.coalesce("component", "node").alias("label")
     )
     labelled = cut(labelled)
@@ -263,5 +271,5 @@ def _link(rows: DataFrame, tiles: DataFrame, percent: int) -> DataFrame:
     y = open_tiles.select("token", band.alias("band"), F.col("node").alias("b"), "n", F.col("label").alias("q"))
     smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
     meet = x.join(y, ["token", "band"]).filter(smaller & (F.col("p") != F.col("q")) & (100 * F.col("m") >= percent * F.col("n")))
-    second = _similar(meet.select("a", "b").distinct(), sets, percent)
+    second = _exact(rows, _bounded(meet.select("a", "b").distinct(), classes, percent), percent)
     return components(first.union(second), "a", "b")
