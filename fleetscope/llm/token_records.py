@@ -35,6 +35,8 @@ CACHED_LENGTH = 64
 #: Stands for a null doc_id in an index.
 NULL_ID = -(1 << 63)
 _BLANKS = re.compile(r"[ \t\n\r]+")
+# Fixed value: the vocabulary's own split, for words of printable ASCII.
+_PLAIN, _SPLIT = re.compile(r"[!-~]+"), re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def _crc_tables() -> np.ndarray:
@@ -141,19 +143,48 @@ class WordEncoder:
 
         self.tokenizer, self.kind = Tokenizer.from_file(tokenizer), f"<u{width}"
         self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        words = _BLANKS.split(text)
-        known = self.known
-        fresh = list({word for word in words if word not in known})
-        extra: dict[str, bytes] = {}
-        if fresh:
-            if len(known) + len(fresh) > CACHED_WORDS:
-                known.clear()
-                fresh = list(set(words))
-            for word, coded in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-                (known if len(word) <= CACHED_LENGTH else extra)[word] = np.array(coded.ids, dtype=self.kind).tobytes()
-        return b"".join([known[w] if w in known else extra[w] for w in words] if extra else [known[w] for w in words])
+        self.parts: dict[str, bytes] = {}
+
+    def _fresh(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words, many in one call: the library numbers the words that its ids come from."""
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            owners = coded.word_ids
+            if None in owners:
+                parts = [self.tokenizer.encode(word, add_special_tokens=False).ids for word in part]
+                yield from ((word, np.array(ids, dtype=self.kind).tobytes()) for word, ids in zip(part, parts, strict=True))
+                continue
+            ids = np.array(coded.ids, dtype=self.kind)
+            ends = np.cumsum(np.bincount(np.array(owners, dtype=np.int64), minlength=len(part))).tolist()
+            yield from ((word, ids[lo:hi].tobytes()) for word, lo, hi in zip(part, [0, *ends], ends, strict=False))
+
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words. Plain ones are split here as the vocabulary splits them, as their parts repeat
+        more than they do; the library encodes the parts, and all other words whole."""
+        plain = {word: _SPLIT.findall(word.lower()) for word in words if _PLAIN.fullmatch(word) and "<|" not in word}
+        parts = set().union(*plain.values()).difference(self.parts)
+        if len(self.parts) + len(parts) > CACHED_WORDS:
+            self.parts.clear()
+            parts = set().union(*plain.values())
+        self.parts.update(self._fresh(list(parts)))
+        known = self.parts
+        yield from ((word, b"".join([known[p] for p in own])) for word, own in plain.items())
+        yield from self._fresh([word for word in words if word not in plain])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [_BLANKS.split(text) for text in texts]
+        known, distinct = self.known, set().union(*split)
+        fresh = [word for word in distinct if word not in known]
+        if len(known) + len(fresh) > CACHED_WORDS:
+            known.clear()
+            fresh = list(distinct)
+        extra = {}
+        for word, ids in self._words(fresh):
+            (known if len(word) <= CACHED_LENGTH else extra)[word] = ids
+        if extra:
+            return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in split]
+        return [b"".join([known[w] for w in words]) for words in split]
 
 
 def write_records(
@@ -185,7 +216,7 @@ def write_records(
                     store, path = _store(folder)
                     store.create_dir(path, recursive=True)
                     sink = store.open_output_stream(f"{path}/{name}.records")
-                payloads = [encoder.encode(content) + last for content in batch.column(1).to_pylist()]
+                payloads = [ids + last for ids in encoder.encode(batch.column(1).to_pylist())]
                 sink.write(b"".join(frame(payloads)))
                 for doc, payload in zip(batch.column(0).to_pylist(), payloads, strict=True):
                     index.append((total, len(payload), NULL_ID if doc is None else doc))
