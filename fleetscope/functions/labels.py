@@ -43,8 +43,6 @@ INLINE_SIGNATURE = (
     r"|Generated by (?:GitHub )?Copilot"
     r"|AI-generated)"
 )
-SIGNATURE_WINDOW = 2000
-SIGNATURE_MAX_BYTES = 1024 * 1024
 CO_AUTHOR = r"(?imU)^Co-authored-by:\s*(.+?)\s*<"
 
 # Thresholds.
@@ -87,16 +85,9 @@ def tools_of_author(name: Column, email: Column, tools: Sequence[tuple[str, str]
     return F.array_distinct(_labels([(F.contains(who, F.lit(needle)), label) for needle, label in tools]))
 
 
-def inline_signature(
-    content: Column, pattern: str = INLINE_SIGNATURE, window: int = SIGNATURE_WINDOW
-) -> Column:
-    """Signature in the first or last characters of a text file of at most 1 MiB."""
-    tail = F.when(F.length(content) > window, F.right(content, F.lit(window))).otherwise("")
-    head_bytes = F.substring(content.cast("binary"), 1, 8192)
-    text_file = (F.octet_length(content) <= SIGNATURE_MAX_BYTES) & ~F.contains(
-        head_bytes, F.lit(bytearray(b"\x00"))
-    )
-    return text_file & (F.left(content, F.lit(window)).rlike(pattern) | tail.rlike(pattern))
+def inline_signature(content: Column, pattern: str = INLINE_SIGNATURE) -> Column:
+    """Signature anywhere in a text file of any size."""
+    return ~F.contains(content.cast("binary"), F.lit(bytearray(b"\x00"))) & content.rlike(pattern)
 
 
 def expertise(primary_percent: Column, line_count: Column, recent_churn: Column) -> Column:

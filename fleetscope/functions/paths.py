@@ -30,12 +30,10 @@ BINARY_SUFFIXES = [
 SKIPPED_SUFFIXES = [".map", ".md"]
 SKIPPED_ENDINGS = [".min.js", ".min.css"]
 JSON_MANIFESTS = ["package.json", "composer.json", "package-lock.json"]
-BINARY_PEEK_BYTES = 8192
 REPORT_FILES = [
     "FLEETSCOPE.md", "FLEETSCOPE.json", "FLEETSCOPE.xml", "FLEETSCOPE.html",
     "FLEETSCOPE-SYSTEM.md", "FLEETSCOPE-SYSTEM.json", "FLEETSCOPE-SYSTEM.xml",
 ]
-MAX_COUNTED_BYTES = 10 * 1024 * 1024
 
 # Test folders.
 TEST_SEGMENTS = ["tests", "test", "__tests__", "spec", "fixtures"]
@@ -184,9 +182,8 @@ def skippable(path: Column) -> Column:
 
 
 def binary(path: Column, content: Column) -> Column:
-    """By suffix, or by a NUL within the first bytes of a BINARY or STRING content."""
-    head = F.substring(content.cast("binary"), 1, BINARY_PEEK_BYTES)
-    return suffix(path).isin(BINARY_SUFFIXES) | F.contains(head, F.lit(bytearray(b"\x00")))
+    """By suffix, or by a NUL anywhere in a BINARY or STRING content."""
+    return suffix(path).isin(BINARY_SUFFIXES) | F.contains(content.cast("binary"), F.lit(bytearray(b"\x00")))
 
 
 def test_path(path: Column, names: Sequence[str] = TEST_SEGMENTS) -> Column:

@@ -27,7 +27,6 @@ INFRA_FILES = {
 INFRA_SUFFIXES = {".tf": "Terraform", ".tfvars": "Terraform"}
 ROLES = ["Frontend", "Backend", "Infra", "Shared"]
 NO_STACK = "(no stack detected)"
-INFRA_DEPTH = 3
 LABELS_PER_PART = 1000
 
 
@@ -39,11 +38,11 @@ def infra_label(name: Column, files: dict[str, str] = INFRA_FILES, suffixes: dic
 
 
 def infra_signals(files: DataFrame, repo: str = "repo", path: str = "path") -> DataFrame:
-    """Distinct infrastructure labels by file name, at most three folders deep, outside hidden folders."""
+    """Distinct infrastructure labels by file name, at any depth, outside hidden folders."""
     location = F.col(path)
     folders = F.slice(paths.segments(location), F.lit(1), F.greatest(F.size(paths.segments(location)) - 1, F.lit(0)))
     hidden = F.exists(folders, lambda f: f.startswith(".") | (f == "node_modules"))
-    kept = files.filter((paths.depth(location) <= INFRA_DEPTH) & ~hidden)
+    kept = files.filter(~hidden)
     return (
         kept.select(repo, infra_label(paths.basename(location)).alias("signal"))
         .filter(F.col("signal").isNotNull())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions import paths
 from fleetscope.functions.text import lines, strip
-from fleetscope.operators.sized import broadcast_if_small
+from fleetscope.operators.ordered import join_groups
 
 
 def ignore_rules(files: DataFrame, repo: str = "repo", path: str = "path", text: str = "content") -> DataFrame:
@@ -39,14 +39,15 @@ def drop_ignored(
 ) -> DataFrame:
     """Files under no default rule, literal pattern, or pattern of their own repository.
 
-    ``rules`` has one row per repository, so the join adds a column to a file row and never fans out.
-    It is measured first: as a broadcast it leaves the file contents where they are.
+    ``rules`` has one row per repository. Paths alone meet them, those of a large repository in many
+    tasks; contents are then matched by (repository, path), never gathered by repository.
     """
     kept = files.filter(~paths.ignored(F.col(path), patterns))
     if rules is None:
         return kept
-    hit = F.coalesce(F.rlike(paths.posix(F.col(path)), F.col("regex")), F.lit(False))
-    return kept.join(broadcast_if_small(rules.select(repo, "regex")), repo, "left").filter(~hit).drop("regex")
+    ruled = join_groups(kept.select(repo, path), rules.select(repo, "regex"), [repo], F.col(path))
+    hidden = ruled.filter(F.rlike(paths.posix(F.col(path)), F.col("regex"))).select(repo, path).distinct()
+    return kept.join(hidden, [repo, path], "left_anti")
 
 
 def text_files(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -54,20 +55,18 @@ def text_files(files: DataFrame, path: str = "path", content: str = "content") -
     return files.filter(~paths.skippable(F.col(path))).filter(~paths.binary(F.col(path), F.col(content)))
 
 
-def countable_files(files: DataFrame, path: str = "path", size: str = "size", content: str = "content") -> DataFrame:
-    """Files that count towards a repository's tokens."""
-    return files.filter(
-        (F.col(size) <= paths.MAX_COUNTED_BYTES) & ~paths.basename(F.col(path)).isin(paths.REPORT_FILES)
-    ).filter(~paths.binary(F.col(path), F.col(content)))
+def countable_files(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """Text files that count towards a repository's tokens: all but own reports, whatever their size."""
+    return files.filter(~paths.basename(F.col(path)).isin(paths.REPORT_FILES)).filter(~paths.binary(F.col(path), F.col(content)))
 
 
-def within_depth(files: DataFrame, path: str = "path", folders: int = 3) -> DataFrame:
+def within_depth(files: DataFrame, folders: int, path: str = "path") -> DataFrame:
     return files.filter(paths.depth(F.col(path)) <= folders)
 
 
 def changed_only(files: DataFrame, changed: DataFrame, on: Sequence[str] = ("repo", "path")) -> DataFrame:
-    """Incremental scope: files that exist and are in the change set, whose size is measured first."""
-    return files.join(broadcast_if_small(changed.select(*on).distinct()), list(on), "left_semi")
+    """Incremental scope: files that exist and are in the change set."""
+    return files.join(changed.select(*on).distinct(), list(on), "left_semi")
 
 
 def scope_counts(

@@ -237,8 +237,7 @@ def tool_labels(t: Tables) -> DataFrame:
 
 @QUERIES.query("inline_signature", """
 SELECT source, doc_id FROM documents
-WHERE regexp_matches(left(text, 200), '(?i)(released under the MIT|licensed under|all rights reserved)')
-   OR (length(text) > 200 AND regexp_matches(right(text, 200), '(?i)(released under the MIT|licensed under|all rights reserved)'))""")
+WHERE regexp_matches(text, '(?i)(released under the MIT|licensed under|all rights reserved)')""")
 def inline_signature(t: Tables) -> DataFrame:
-    marked = labels.inline_signature(F.col("text"), LICENSE_SIGNATURE, 200)
+    marked = labels.inline_signature(F.col("text"), LICENSE_SIGNATURE)
     return t("documents").filter(marked).select("source", "doc_id")

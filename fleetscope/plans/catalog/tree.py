@@ -79,16 +79,15 @@ WITH {TREE} SELECT repo, path FROM tree
 WHERE folder <> 'web/node_modules/x/'
   AND NOT (folder = '.github/w/' AND right(repo, 1) IN ('0', '2', '4', '6', '8'))
   AND NOT (regexp_matches(name, '^f.*5[.]ts$') AND right(repo, 1) IN ('0', '2', '4', '6', '8'))
-  AND NOT (starts_with(path, 'docs/') AND right(repo, 1) IN ('1', '3', '5', '7', '9'))
-  AND len(string_split(path, '/')) - 1 <= 2""")
+  AND NOT (starts_with(path, 'docs/') AND right(repo, 1) IN ('1', '3', '5', '7', '9'))""")
 def ignore_filter(t: Tables) -> DataFrame:
-    """Default rules plus the ignore file of each repository, two folders deep at most."""
+    """Default rules plus the ignore file of each repository."""
     tree = files(t)
     even = (F.right("repo", F.lit(1)).cast("int") % 2) == 0
     text = F.when(even, "# local\n.github/\n\nf*5.ts\n").otherwise("docs/*\n")
     ignore_file = tree.select("repo").distinct().select("repo", F.lit(".gitignore").alias("path"), text.alias("content"))
     rules = scope.ignore_rules(ignore_file)
-    return scope.within_depth(scope.drop_ignored(tree.select("repo", "path"), rules=rules), folders=2)
+    return scope.drop_ignored(tree.select("repo", "path"), rules=rules)
 
 
 @QUERIES.query("infra_signals", f"""

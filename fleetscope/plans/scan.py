@@ -76,7 +76,7 @@ class Scan:
 
     @cached_property
     def _near(self) -> DataFrame:
-        return scope.within_depth(self.scanned)
+        return self.scanned
 
     @cached_property
     def manifests(self) -> DataFrame:

@@ -25,8 +25,8 @@ def read_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
         reader = reader.option("pathGlobFilter", glob)
     base = "file:" + root.rstrip("/") if "://" not in root and not root.startswith("file:") else root.rstrip("/")
     full = F.regexp_replace("path", "^file:/+", "file:/")
-    inner = F.substring(full, len(base) + 2, 1_000_000)
-    peek = F.contains(F.substring("__bytes", 1, paths.BINARY_PEEK_BYTES), F.lit(bytearray(b"\x00")))
+    inner = F.substr(full, F.lit(len(base) + 2))
+    peek = F.contains("__bytes", F.lit(bytearray(b"\x00")))
     return (
         reader.load(root)
         .select(

@@ -74,7 +74,7 @@ def parse_blame(
         *keys,
         line_no,
         content.alias("__content"),
-        F.when(~content & text.startswith(AUTHOR_PREFIX), F.substring(text, len(AUTHOR_PREFIX) + 1, 1_000_000)).alias("__a"),
+        F.when(~content & text.startswith(AUTHOR_PREFIX), F.substr(text, F.lit(len(AUTHOR_PREFIX) + 1))).alias("__a"),
         F.when(~content & text.rlike(BLAME_HEADER), F.substring(text, 1, 40)).alias("__s"),
     )
     block: Column | None = F.floor(F.col(line_no) / rows_per_block) if rows_per_block else None

@@ -194,7 +194,7 @@ def _read_toml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         entries, malformed = [], []
         for name, content in zip(batch["__name"], batch["content"]):
             try:
-                rows = _toml_entries(name, tomllib.loads(content))
+                rows = _toml_entries(name, tomllib.loads(content if content is not None else "\0"))
                 malformed.append(False)
             except tomllib.TOMLDecodeError:
                 rows = []

@@ -31,7 +31,7 @@ def yaml_patterns(content: Column) -> Column:
         stop = F.coalesce(F.array_position(after, F.get(keys, 0)).cast("int"), F.lit(0))
         kept = F.when(stop > 0, F.slice(after, F.lit(1), stop - 1)).otherwise(after)
         named = F.transform(
-            F.filter(kept, lambda r: r.startswith("- ")), lambda r: clean_pattern(F.substring(r, 3, 1_000_000))
+            F.filter(kept, lambda r: r.startswith("- ")), lambda r: clean_pattern(F.substr(r, F.lit(3)))
         )
         return F.filter(named, lambda p: ~p.startswith("!"))
 

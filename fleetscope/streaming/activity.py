@@ -51,13 +51,14 @@ def streaming_bursts(
             state.remove()
             return
         seen = list(state.get[0]) if state.exists else []
-        fresh = {t.value // 1000 for batch in batches for t in batch["__ts"]}
-        times = sorted(seen + list(fresh))
+        fresh = [t.value // 1000 for batch in batches for t in batch["__ts"]]
+        new = set(fresh)
+        times = sorted(seen + fresh)
         width = span.value // 1000
         ends = [
             times[i + minimum - 1]
             for i in range(len(times) - minimum + 1)
-            if times[i + minimum - 1] - times[i] <= width and fresh.intersection(times[i : i + minimum])
+            if times[i + minimum - 1] - times[i] <= width and new.intersection(times[i : i + minimum])
         ]
         floor = state.getCurrentWatermarkMs() * 1000 - width
         kept = [t for t in times if t >= floor]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetscope.functions.advisories import OSV_SCHEMA
-from fleetscope.operators import drift, fleet, lines, ownership, packages, risks, scope, sized, snapshot, tokens
+from fleetscope.operators import drift, fleet, lines, ownership, packages, risks, scope, snapshot, tokens
 from fleetscope.plans import detectors
 from fleetscope.plans.scan import Facts, Scan
 from fleetscope.sources import advisories as advisory_source
@@ -71,13 +71,6 @@ def test_one_pass_finds_the_same(spark):
     assert rows_of(risks.finding_risks(lines.scan_findings(files)), *apart.columns) == rows_of(apart, *apart.columns)
 
 
-def test_measured_sides(spark):
-    small = spark.createDataFrame([("r", "x" * 10)], "repo string, regex string")
-    assert sized.measured_bytes(small) == 27
-    hint = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-    assert hint(sized.broadcast_if_small(small)) and not hint(sized.broadcast_if_small(small, limit=10))
-
-
 def test_references_outside_fences(spark):
     doc = "See `src/a.py` and [b](docs/b.md).\n```sh\n`src/hidden.py`\n```\nrun lib/x.py now\n```\nopen src/tail.py"
     docs = table(spark, [("r", "README.md", doc)], "repo string, source string, text string")
