@@ -104,9 +104,9 @@ def _frequent(survey: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(rows: DataFrame, values: np.ndarray, levels: np.ndarray, percent: int) -> DataFrame:
-    """``token, k, n``: of each distinct set of a task, the shingles of which another set that is similar
+    """``token, k, n, place``: of each distinct set of a task, the shingles of which another set that is similar
     enough must share one. With ``n`` shingles these are the first ``n - ceil(percent n) + 1`` in an
-    order that all sets follow: rarer ones first, then by hash."""
+    order that all sets follow: rarer ones first, then by hash; ``place`` counts from 0."""
     shared = rows.sparkSession.sparkContext.broadcast((values, levels))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,11 +141,12 @@ def _postings(rows: DataFrame, values: np.ndarray, levels: np.ndarray, percent:
                     pa.array(np.concatenate(tokens).view(np.int64)),
                     pa.array(np.repeat(np.array([k for k, _ in keys], dtype=np.int64), sizes)),
                     pa.array(np.repeat(np.array([n for _, n in keys], dtype=np.int32), sizes)),
+                    pa.array(np.concatenate([np.arange(size, dtype=np.int32) for size in sizes])),
                 ],
-                names=["token", "k", "n"],
+                names=["token", "k", "n", "place"],
             )
 
-    return rows.mapInArrow(post, "token long, k long, n int")
+    return rows.mapInArrow(post, "token long, k long, n int, place int")
 
 
 def _bitmap(shingles: np.ndarray) -> bytes:
@@ -243,33 +244,42 @@ def linked_documents(
 
 
 def _shared_tokens(postings: DataFrame, classes: DataFrame) -> DataFrame:
-    """``token, node, n`` where another set has the token too; one row per token and node."""
+    """``token, node, n, place`` where another set has the token too; one row per token and set."""
     order = Window.partitionBy("token").orderBy("n", "k")
     at = F.struct("n", "k")
-    near = postings.select("token", "n", "k", F.lag(at).over(order).alias("before"), F.lead(at).over(order).alias("after"))
+    near = postings.select("token", "n", "k", "place", F.lag(at).over(order).alias("before"), F.lead(at).over(order).alias("after"))
     known = F.coalesce(F.col("before") == at, F.lit(False))
-    shared = near.filter(~known & (F.col("before").isNotNull() | F.col("after").isNotNull())).select("token", "n", "k")
-    return cut(shared.join(classes.drop("bits"), ["k", "n"]).select("token", "node", "n"))
+    shared = near.filter(~known & (F.col("before").isNotNull() | F.col("after").isNotNull())).select("token", "n", "k", "place")
+    return cut(shared.join(classes.drop("bits"), ["k", "n"]).select("token", "node", "n", "place"))
+
+
+def _reachable(m, n, i, j, percent: int):
+    """Whether sets of ``m`` and ``n`` shingles whose first common one is at the places ``i`` and ``j`` can
+    be similar enough: all common ones come after it in both. A similar pair's first common shingle
+    passes, so no pair is lost by asking this of each."""
+    return (100 + percent) * F.least(m - i, n - j) >= percent * (m + n)
 
 
 def _link(rows: DataFrame, tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     order = Window.partitionBy("token").orderBy("n", "node")
-    chain = tiles.select(F.col("node").alias("b"), "n", F.lag("node").over(order).alias("a"), F.lag("n").over(order).alias("m"))
-    chain = chain.filter((F.col("a") != F.col("b")) & (100 * F.col("m") >= percent * F.col("n")))
+    before = [F.lag(c).over(order).alias(name) for c, name in (("node", "a"), ("n", "m"), ("place", "i"))]
+    chain = tiles.select(F.col("node").alias("b"), "n", F.col("place").alias("j"), *before)
+    reachable = _reachable(F.col("m"), F.col("n"), F.col("i"), F.col("j"), percent)
+    chain = chain.filter((F.col("a") != F.col("b")) & reachable)
     chain = _bounded(chain.groupBy("a", "b").agg(F.count(F.lit(1)).alias("tokens")), classes, percent)
     nearest = chain.groupBy("b").agg(F.max_by("a", F.struct("tokens", "a")).alias("a"))
     first = cut(_exact(rows, nearest.select("a", "b"), percent))
     labels = components(first, "a", "b")
     labelled = tiles.join(labels, "node", "left").select(
-        "token", "node", "n", F.coalesce("component", "node").alias("label")
+        "token", "node", "n", "place", F.coalesce("component", "node").alias("label")
     )
     labelled = cut(labelled)
     mixed = labelled.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
     open_tiles = labelled.join(mixed.select("token"), "token", "left_semi")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9))
-    x = open_tiles.select("token", F.explode(F.array(band, band + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("p"))
-    y = open_tiles.select("token", band.alias("band"), F.col("node").alias("b"), "n", F.col("label").alias("q"))
+    x = open_tiles.select("token", F.explode(F.array(band, band + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("place").alias("i"), F.col("label").alias("p"))
+    y = open_tiles.select("token", band.alias("band"), F.col("node").alias("b"), "n", F.col("place").alias("j"), F.col("label").alias("q"))
     smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
-    meet = x.join(y, ["token", "band"]).filter(smaller & (F.col("p") != F.col("q")) & (100 * F.col("m") >= percent * F.col("n")))
+    meet = x.join(y, ["token", "band"]).filter(smaller & (F.col("p") != F.col("q")) & reachable)
     second = _exact(rows, _bounded(meet.select("a", "b").distinct(), classes, percent), percent)
     return components(first.union(second), "a", "b")
