@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fleetscope.llm.components import components
 from fleetscope.llm.shared import cut, text_slices
@@ -28,6 +29,9 @@ _COUNTED, _FREQUENT = 1 << 21, 8
 FREQUENT_SHINGLES = 500_000
 #: Nodes whose ids are sent to every task to pick their documents; more are matched by a shuffle join.
 BROADCAST_NODES = 2_000_000
+#: Turns in which each component is linked to a likely other one before all that still differ meet. They
+#: only save comparisons within a component; any number gives the same links.
+TURNS = 2
 
 
 def _key(shingles: np.ndarray) -> int:
@@ -168,7 +172,7 @@ def overlap_bound(a: bytes, b: bytes, sizes: int) -> int:
 
 
 def _exact(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar enough, by intersection of the sorted sets. Only the sets
+    """``a, b, near``: whether the sets are similar enough, by intersection of the sorted sets. Only the sets
     of these nodes are made; their ids go to every task if there are at most :data:`BROADCAST_NODES`."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +186,7 @@ def _exact(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     pairs = cut(pairs)
@@ -192,23 +196,26 @@ def _exact(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     sets = cut(wanted.select("doc_id", "text").mapInArrow(build, f"node {kind}, shingles binary"))
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"shingles_{name}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b")
-    return full.mapInArrow(compare, f"a {kind}, b {kind}")
+    return full.mapInArrow(compare, f"a {kind}, b {kind}, near boolean")
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` without those whose bitmaps show that they cannot be similar enough."""
+    """``pairs`` with ``bound``, the most their similarity can be as their bitmaps show it, without those
+    that cannot be similar enough."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = []
+            near, bounds = [], []
             for n, m, x, y in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 most = min(overlap_bound(x, y, n + m), n, m)
                 near.append(100 * most >= percent * (n + m - most))
-            yield batch.filter(pa.array(near, pa.bool_())).select(batch.schema.names[4:])
+                bounds.append(most / (n + m - most))
+            columns = [*batch.columns[4:], pa.array(bounds, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[4:], "bound"]).filter(pa.array(near, pa.bool_()))
 
     side = lambda name: classes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
     mapped = pairs.join(side("a"), "a").join(side("b"), "b")
-    return mapped.select("n_a", "n_b", "bits_a", "bits_b", *pairs.columns).mapInArrow(bound, pairs.schema)
+    return mapped.select("n_a", "n_b", "bits_a", "bits_b", *pairs.columns).mapInArrow(bound, StructType([*pairs.schema.fields]).add("bound", "double"))
 
 
 def linked_documents(
@@ -221,9 +228,9 @@ def linked_documents(
     ``percent`` * union; ``component_id`` is the smallest doc_id that links lead to, its own included.
     Documents without words (null and empty texts too) have an empty set and link with nothing.
 
-    Equal sets are one node from the start. Nodes that are neighbours in a tile are linked first; then
-    only nodes of different components have to meet, so a group of near copies is not compared pair by
-    pair, and no link between components is missed. A row with a null doc_id links through an equal set
+    Equal sets are one node from the start. In a few turns each component is linked to the likeliest of
+    the others in its tiles; then only nodes of different components have to meet, so a group of near
+    copies is not compared pair by pair, and no link between components is missed. A row with a null doc_id links through an equal set
     only. Rows that share a doc_id count as one document. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -260,26 +267,63 @@ def _reachable(m, n, i, j, percent: int):
     return (100 + percent) * F.least(m - i, n - j) >= percent * (m + n)
 
 
-def _link(rows: DataFrame, tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    order = Window.partitionBy("token").orderBy("n", "node")
-    before = [F.lag(c).over(order).alias(name) for c, name in (("node", "a"), ("n", "m"), ("place", "i"))]
-    chain = tiles.select(F.col("node").alias("b"), "n", F.col("place").alias("j"), *before)
-    reachable = _reachable(F.col("m"), F.col("n"), F.col("i"), F.col("j"), percent)
-    chain = chain.filter((F.col("a") != F.col("b")) & reachable)
-    chain = _bounded(chain.groupBy("a", "b").agg(F.count(F.lit(1)).alias("tokens")), classes, percent)
-    nearest = chain.groupBy("b").agg(F.max_by("a", F.struct("tokens", "a")).alias("a"))
-    first = cut(_exact(rows, nearest.select("a", "b"), percent))
-    labels = components(first, "a", "b")
-    labelled = tiles.join(labels, "node", "left").select(
-        "token", "node", "n", "place", F.coalesce("component", "node").alias("label")
+def _label(tiles: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """``tiles`` with ``label``, the component that ``edges`` put the node in."""
+    if edges is None:
+        return tiles.withColumn("label", F.col("node"))
+    labels = components(edges, "a", "b")
+    return tiles.join(labels, "node", "left").select(*tiles.columns, F.coalesce("component", "node").alias("label"))
+
+
+def _open_tiles(labelled: DataFrame, turn: int) -> DataFrame:
+    """Rows of tiles in which several components meet, each with a ``hub`` of its tile, a node of the
+    component with the least name, and the row ``before``: in order of size in the first turn, by
+    a hash that changes with the turn later."""
+    tile = Window.partitionBy("token")
+    hashed = F.xxhash64("node", F.lit(turn))
+    order = tile.orderBy("n", "node") if turn == 0 else tile.orderBy(hashed, "node")
+    row = F.struct("node", "n", "place", "label")
+    spread = labelled.select(
+        "*",
+        F.min("label").over(tile).alias("least"),
+        F.max("label").over(tile).alias("most"),
+        F.min(F.struct("label", hashed.alias("hash"), row.alias("row"))).over(tile).alias("hub"),
+        F.lag(row).over(order).alias("before"),
+    )
+    return spread.filter("least <> most").select(*labelled.columns, F.col("hub.row").alias("hub"), "before")
+
+
+def _likely(opened: DataFrame, classes: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
+    """``a, b``: for each component of an open tile the untested pair with a hub or a row before that has
+    the largest bound of its similarity."""
+    met = opened.select("node", "n", "place", "label", F.explode(F.array("hub", "before")).alias("other")).filter(
+        (F.col("other.label") != F.col("label"))
+        & _reachable(F.col("other.n"), F.col("n"), F.col("other.place"), F.col("place"), percent)
     )
-    labelled = cut(labelled)
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-    open_tiles = labelled.join(mixed.select("token"), "token", "left_semi")
+    pairs = met.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"), "label").distinct()
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    best = _bounded(pairs, classes, percent).groupBy("label").agg(F.max(F.struct("bound", "a", "b")).alias("best"))
+    return best.select("best.a", "best.b").distinct()
+
+
+def _link(rows: DataFrame, tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    edges = tested = None
+    opened = cut(_open_tiles(_label(tiles, None), 0))
+    for turn in range(1, TURNS + 1):
+        judged = cut(_exact(rows, _likely(opened, classes, tested, percent), percent))
+        tested = judged.select("a", "b") if tested is None else tested.union(judged.select("a", "b"))
+        linked = judged.filter("near").select("a", "b")
+        edges = linked if edges is None else edges.union(linked)
+        if linked.isEmpty():
+            break
+        opened = cut(_open_tiles(_label(opened.select(*tiles.columns), edges), turn))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9))
-    x = open_tiles.select("token", F.explode(F.array(band, band + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("place").alias("i"), F.col("label").alias("p"))
-    y = open_tiles.select("token", band.alias("band"), F.col("node").alias("b"), "n", F.col("place").alias("j"), F.col("label").alias("q"))
+    x = opened.select("token", F.explode(F.array(band, band + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("place").alias("i"), F.col("label").alias("p"))
+    y = opened.select("token", band.alias("band"), F.col("node").alias("b"), "n", F.col("place").alias("j"), F.col("label").alias("q"))
     smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
+    reachable = _reachable(F.col("m"), F.col("n"), F.col("i"), F.col("j"), percent)
     meet = x.join(y, ["token", "band"]).filter(smaller & (F.col("p") != F.col("q")) & reachable)
-    second = _exact(rows, _bounded(meet.select("a", "b").distinct(), classes, percent), percent)
-    return components(first.union(second), "a", "b")
+    pairs = meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    last = _exact(rows, _bounded(pairs, classes, percent).select("a", "b"), percent)
+    return components(edges.union(last.filter("near").select("a", "b")), "a", "b")
