@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ FEATURES = 2_048
 #: A word must occur in so many training rows.
 LEAST_ROWS = 5
 RIDGE = 1.0
+#: Rows of the fit that are written out at once.
+BLOCK_ROWS = 1_024
 #: Expected severity from which a document is toxic.
 TOXIC_FROM = 0.5
 WORD_PATTERN = r"[^\p{L}]+"
@@ -95,37 +98,68 @@ def fit_ordinal(
     listed = [r.word for r in chosen.collect()]
     index = {word: i for i, word in enumerate(listed)}
     kept = F.array_intersect("words", F.split(F.lit(" ".join(listed)), " "))
-    found = sample.select("grade", kept.alias("words")).orderBy("grade", "words").collect()
-    design = np.zeros((len(found), len(listed)), dtype=np.float32)
-    for i, row in enumerate(found):
-        design[i, [index[w] for w in row.words if w]] = 1.0
-    return OrdinalModel(listed, *_newton(design, np.array([r.grade for r in found]), max(levels)))
+    found = sample.select("grade", kept.alias("words")).orderBy("grade", "words").toLocalIterator()
+    grade_of, ends, places = [], [0], array("i")
+    for row in found:
+        grade_of.append(row.grade)
+        places.extend(sorted(index[w] for w in row.words if w))
+        ends.append(len(places))
+    return OrdinalModel(listed, *_newton(_Design(np.array(places), np.array(ends), len(listed)), np.array(grade_of), max(levels)))
 
 
-def _newton(design: np.ndarray, grades: np.ndarray, top: int, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class _Design:
+    """A matrix of zeros and ones: row ``i`` has ones at ``places[ends[i]:ends[i + 1]]``. Only
+    :data:`BLOCK_ROWS` rows are written out at a time."""
+
+    places: np.ndarray
+    ends: np.ndarray
+    width: int
+
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray]]:
+        for lo in range(0, len(self.ends) - 1, BLOCK_ROWS):
+            hi = min(lo + BLOCK_ROWS, len(self.ends) - 1)
+            block = np.zeros((hi - lo, self.width), dtype=np.float32)
+            sizes = np.diff(self.ends[lo : hi + 1])
+            block[np.repeat(np.arange(hi - lo), sizes), self.places[self.ends[lo] : self.ends[hi]]] = 1.0
+            yield slice(lo, hi), block
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        """The matrix times ``weights``, read off running sums."""
+        sums = np.concatenate([[0.0], np.cumsum(weights[self.places])])
+        return sums[self.ends[1:]] - sums[self.ends[:-1]]
+
+    def across(self, values: np.ndarray) -> np.ndarray:
+        """The transposed matrix times a column of ``values``."""
+        return np.bincount(self.places, np.repeat(values, np.diff(self.ends)), self.width)
+
+
+def _newton(design: _Design, grades: np.ndarray, top: int, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
     """Penalised maximum likelihood. Each of the ``top`` thresholds asks whether a grade exceeds it; the
     answers share the weights, and the sum of their logistic losses is convex, so damped Newton steps
     find its minimum."""
-    count, width = design.shape
+    count, width = len(grades), design.width
     above = np.stack([grades > j for j in range(top)], axis=1).astype(np.float64)
     weights = np.zeros(width)
     share = np.clip(above.mean(axis=0), 1e-4, 1 - 1e-4)
     cuts = -np.log(share / (1 - share))
 
     def loss(w: np.ndarray, c: np.ndarray) -> float:
-        z = (design @ w)[:, None] - c[None, :]
+        z = design.times(w)[:, None] - c[None, :]
         return float(np.logaddexp(0, z).sum() - (above * z).sum() + RIDGE / 2 * (w @ w) + RIDGE / 200 * (c @ c))
 
     now = loss(weights, cuts)
     for _ in range(steps):
-        chance = 1 / (1 + np.exp(-((design @ weights)[:, None] - cuts[None, :])))
+        chance = 1 / (1 + np.exp(-(design.times(weights)[:, None] - cuts[None, :])))
         curve = chance * (1 - chance)
-        slope_w = design.T @ (chance - above).sum(axis=1) + RIDGE * weights
+        slope_w = design.across((chance - above).sum(axis=1)) + RIDGE * weights
         slope_c = -(chance - above).sum(axis=0) + RIDGE / 100 * cuts
-        hessian = np.empty((width + top, width + top))
-        hessian[:width, :width] = design.T @ (design * curve.sum(axis=1).astype(np.float32)[:, None])
-        hessian[:width, :width] += RIDGE * np.eye(width)
-        hessian[:width, width:] = -(design.T @ curve)
+        hessian = np.zeros((width + top, width + top))
+        for rows, block in design.blocks():
+            hessian[:width, :width] += block.T @ (block * curve[rows].sum(axis=1).astype(np.float32)[:, None])
+        hessian[np.arange(width), np.arange(width)] += RIDGE
+        for j in range(top):
+            hessian[:width, width + j] = -design.across(curve[:, j])
         hessian[width:, :width] = hessian[:width, width:].T
         hessian[width:, width:] = np.diag(curve.sum(axis=0) + RIDGE / 100)
         step = np.linalg.solve(hessian, np.concatenate([slope_w, slope_c]))
