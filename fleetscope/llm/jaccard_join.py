@@ -29,9 +29,9 @@ _COUNTED, _FREQUENT = 1 << 21, 8
 FREQUENT_SHINGLES = 500_000
 #: Nodes whose ids are sent to every task to pick their documents; more are matched by a shuffle join.
 BROADCAST_NODES = 2_000_000
-#: Turns in which each component is linked to a likely other one before all that still differ meet. They
+#: Turns in which each component is linked to likely other ones before all that still differ meet. They
 #: only save comparisons within a component; any number gives the same links.
-TURNS = 2
+TURNS = 3
 
 
 def _key(shingles: np.ndarray) -> int:
@@ -228,8 +228,8 @@ def linked_documents(
     ``percent`` * union; ``component_id`` is the smallest doc_id that links lead to, its own included.
     Documents without words (null and empty texts too) have an empty set and link with nothing.
 
-    Equal sets are one node from the start. In a few turns each component is linked to the likeliest of
-    the others in its tiles; then only nodes of different components have to meet, so a group of near
+    Equal sets are one node from the start. In a few turns each component is linked to likely
+    others in its tiles; then only nodes of different components have to meet, so a group of near
     copies is not compared pair by pair, and no link between components is missed. A row with a null doc_id links through an equal set
     only. Rows that share a doc_id count as one document. Other columns are ignored.
     """
@@ -276,9 +276,9 @@ def _label(tiles: DataFrame, edges: DataFrame | None) -> DataFrame:
 
 
 def _open_tiles(labelled: DataFrame, turn: int) -> DataFrame:
-    """Rows of tiles in which several components meet, each with a ``hub`` of its tile, a node of the
-    component with the least name, and the row ``before``: in order of size in the first turn, by
-    a hash that changes with the turn later."""
+    """Rows of tiles in which several components meet, each with the rows ``near`` it: a hub of its
+    tile, which is of the component with the least name, and, two before and one after: in order of size in
+    the first turn, by a hash that changes with the turn later."""
     tile = Window.partitionBy("token")
     hashed = F.xxhash64("node", F.lit(turn))
     order = tile.orderBy("n", "node") if turn == 0 else tile.orderBy(hashed, "node")
@@ -288,21 +288,21 @@ def _open_tiles(labelled: DataFrame, turn: int) -> DataFrame:
         F.min("label").over(tile).alias("least"),
         F.max("label").over(tile).alias("most"),
         F.min(F.struct("label", hashed.alias("hash"), row.alias("row"))).over(tile).alias("hub"),
-        F.lag(row).over(order).alias("before"),
+        F.array(F.lag(row).over(order), F.lag(row, 2).over(order), F.lead(row).over(order)).alias("near"),
     )
-    return spread.filter("least <> most").select(*labelled.columns, F.col("hub.row").alias("hub"), "before")
+    return spread.filter("least <> most").select(*labelled.columns, F.filter(F.array_distinct(F.concat(F.array("hub.row"), "near")), lambda other: other.label != F.col("label")).alias("near"))
 
 
 def _likely(opened: DataFrame, classes: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
-    """``a, b``: for each component of an open tile the untested pair with a hub or a row before that has
-    the largest bound of its similarity."""
-    met = opened.select("node", "n", "place", "label", F.explode(F.array("hub", "before")).alias("other")).filter(
-        (F.col("other.label") != F.col("label"))
-        & _reachable(F.col("other.n"), F.col("n"), F.col("other.place"), F.col("place"), percent)
+    """``a, b``: untested pairs with a hub or a row near that can be similar enough; in the first turn, when
+    each node is a component, for each only the one with the largest bound of its similarity."""
+    met = opened.select("node", "n", "place", "label", F.explode("near").alias("other")).filter(
+        _reachable(F.col("other.n"), F.col("n"), F.col("other.place"), F.col("place"), percent)
     )
     pairs = met.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"), "label").distinct()
     if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = pairs.drop("label").distinct().join(tested, ["a", "b"], "left_anti")
+        return _bounded(pairs, classes, percent).select("a", "b")
     best = _bounded(pairs, classes, percent).groupBy("label").agg(F.max(F.struct("bound", "a", "b")).alias("best"))
     return best.select("best.a", "best.b").distinct()
 
