@@ -134,9 +134,10 @@ def spread(key: Column, parts: Column) -> Column:
 
 
 def join_groups(
-    rows: DataFrame, groups: DataFrame, keys: Sequence[str], item: Column, salts: int = SALTS
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str], item: Column, salts: int = SALTS, how: str = "inner"
 ) -> DataFrame:
-    """``rows`` with the columns of ``groups``, which has one row per key.
+    """``rows`` with the columns of ``groups``, which has at most one row per key; rows without one are
+    dropped, or kept with nulls if ``how`` is ``left``.
 
     The rows of a key are dealt over ``salts`` sub-keys by a stable hash of ``item`` and the group row
     is repeated for each, so a key that holds a third of all rows is joined in many tasks. The group
@@ -144,7 +145,7 @@ def join_groups(
     """
     dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(item), F.lit(salts)).cast("int"))
     repeated = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(repeated, [*keys, "__salt"]).drop("__salt")
+    return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
 def with_part(
