@@ -38,7 +38,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     n_chunks``.
 
     Chunks are reduced to verified identifiers, and documents are equal when their ordered identifier
-    lists are; long texts do not move again. The largest doc_id of a group stays.
+    lists are; long texts do not move again. The largest doc_id of a group stays. Only groups of two or
+    more are dealt to the sub-keys of the join; a row that finds none is alone.
 
     Null texts count as empty, and empty texts equal each other. A null doc_id is smaller than any
     other. If the id that stays occurs in several rows of its group, all of them say kept. An empty
@@ -51,12 +52,15 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
         F.transform(chunks(whole, pattern), _identifier).alias("recipe"),
         F.sha2(whole.cast("binary"), 256).alias("text_sha256"),
     )
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return join_groups(recipes, groups, ["recipe"], F.col("doc_id")).select(
+    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    found = join_groups(recipes, groups, ["recipe"], F.col("doc_id"), how="left")
+    alone = F.col("size").isNull()
+    keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("last"))
+    return found.select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        keep_id.alias("keep_id"),
+        F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
         "text_sha256",
         F.size("recipe").alias("n_chunks"),
     )
