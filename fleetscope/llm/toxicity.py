@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +21,8 @@ FEATURES = 2_048
 #: A word must occur in so many training rows.
 LEAST_ROWS = 5
 RIDGE = 1.0
-#: Rows of the fit that are written out at once.
-BLOCK_ROWS = 1_024
+#: Conjugate gradient steps that one Newton step may take.
+INNER_STEPS = 200
 #: Expected severity from which a document is toxic.
 TOXIC_FROM = 0.5
 WORD_PATTERN = r"[^\p{L}]+"
@@ -73,7 +73,7 @@ def fit_ordinal(
 
     Spark counts words by grade in the sample and keeps the ``features`` with the largest
     mutual information with the grade; only the kept features of the bounded sample come to the driver,
-    where a penalised Newton iteration fits one weight per word and the thresholds. Grades are whole
+    where penalised Newton steps fit one weight per word and the thresholds. Grades are whole
     numbers from 0; rows with a null grade or text are left out, empty texts count. With fewer than two
     grades the model always expects the one grade (0 for an empty table).
     """
@@ -109,21 +109,12 @@ def fit_ordinal(
 
 @dataclass
 class _Design:
-    """A matrix of zeros and ones: row ``i`` has ones at ``places[ends[i]:ends[i + 1]]``. Only
-    :data:`BLOCK_ROWS` rows are written out at a time."""
+    """A matrix of zeros and ones: row ``i`` has ones at ``places[ends[i]:ends[i + 1]]``."""
 
     places: np.ndarray
     ends: np.ndarray
     width: int
 
-    def blocks(self) -> Iterator[tuple[slice, np.ndarray]]:
-        for lo in range(0, len(self.ends) - 1, BLOCK_ROWS):
-            hi = min(lo + BLOCK_ROWS, len(self.ends) - 1)
-            block = np.zeros((hi - lo, self.width), dtype=np.float32)
-            sizes = np.diff(self.ends[lo : hi + 1])
-            block[np.repeat(np.arange(hi - lo), sizes), self.places[self.ends[lo] : self.ends[hi]]] = 1.0
-            yield slice(lo, hi), block
-
     def times(self, weights: np.ndarray) -> np.ndarray:
         """The matrix times ``weights``, read off running sums."""
         sums = np.concatenate([[0.0], np.cumsum(weights[self.places])])
@@ -137,42 +128,59 @@ class _Design:
 def _newton(design: _Design, grades: np.ndarray, top: int, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
     """Penalised maximum likelihood. Each of the ``top`` thresholds asks whether a grade exceeds it; the
     answers share the weights, and the sum of their logistic losses is convex, so damped Newton steps
-    find its minimum."""
+    find its minimum. The curvature is never written out: conjugate gradients need only its product with
+    a vector, two passes over the ones of the matrix."""
     count, width = len(grades), design.width
     above = np.stack([grades > j for j in range(top)], axis=1).astype(np.float64)
-    weights = np.zeros(width)
     share = np.clip(above.mean(axis=0), 1e-4, 1 - 1e-4)
-    cuts = -np.log(share / (1 - share))
+    found = np.concatenate([np.zeros(width), -np.log(share / (1 - share))])
+    ridge = np.concatenate([np.full(width, RIDGE), np.full(top, RIDGE / 100)])
+
+    def margins(values: np.ndarray) -> np.ndarray:
+        return design.times(values[:width])[:, None] - values[None, width:]
+
+    def gathered(values: np.ndarray) -> np.ndarray:
+        return np.concatenate([design.across(values.sum(axis=1)), -values.sum(axis=0)])
 
-    def loss(w: np.ndarray, c: np.ndarray) -> float:
-        z = design.times(w)[:, None] - c[None, :]
-        return float(np.logaddexp(0, z).sum() - (above * z).sum() + RIDGE / 2 * (w @ w) + RIDGE / 200 * (c @ c))
+    def loss(values: np.ndarray) -> float:
+        z = margins(values)
+        return float(np.logaddexp(0, z).sum() - (above * z).sum() + (ridge * values * values).sum() / 2)
 
-    now = loss(weights, cuts)
+    now = loss(found)
     for _ in range(steps):
-        chance = 1 / (1 + np.exp(-(design.times(weights)[:, None] - cuts[None, :])))
+        chance = 1 / (1 + np.exp(-margins(found)))
         curve = chance * (1 - chance)
-        slope_w = design.across((chance - above).sum(axis=1)) + RIDGE * weights
-        slope_c = -(chance - above).sum(axis=0) + RIDGE / 100 * cuts
-        hessian = np.zeros((width + top, width + top))
-        for rows, block in design.blocks():
-            hessian[:width, :width] += block.T @ (block * curve[rows].sum(axis=1).astype(np.float32)[:, None])
-        hessian[np.arange(width), np.arange(width)] += RIDGE
-        for j in range(top):
-            hessian[:width, width + j] = -design.across(curve[:, j])
-        hessian[width:, :width] = hessian[:width, width:].T
-        hessian[width:, width:] = np.diag(curve.sum(axis=0) + RIDGE / 100)
-        step = np.linalg.solve(hessian, np.concatenate([slope_w, slope_c]))
+        slope = gathered(chance - above) + ridge * found
+        scales = ridge + np.concatenate([design.across(curve.sum(axis=1)), curve.sum(axis=0)])
+        step = _solve(lambda v, curve=curve: gathered(curve * margins(v)) + ridge * v, slope, scales)
         scale = 1.0
-        while scale > 1e-6 and (then := loss(weights - scale * step[:width], cuts - scale * step[width:])) > now:
+        while scale > 1e-6 and (then := loss(found - scale * step)) > now:
             scale /= 2
         if scale <= 1e-6:
             break
-        weights, cuts = weights - scale * step[:width], cuts - scale * step[width:]
+        found = found - scale * step
         if now - then < 1e-6 * count:
             break
         now = then
-    return weights, np.maximum.accumulate(cuts)
+    return found[:width], np.maximum.accumulate(found[width:])
+
+
+def _solve(product: Callable[[np.ndarray], np.ndarray], right: np.ndarray, scales: np.ndarray) -> np.ndarray:
+    """Conjugate gradients with the diagonal ``scales`` as the preconditioner, until a thousandth of
+    ``right`` is left."""
+    out, rest = np.zeros_like(right), right.copy()
+    way = ahead = rest / scales
+    size = first = rest @ ahead
+    for _ in range(INNER_STEPS):
+        if size <= 1e-6 * first or size == 0:
+            break
+        moved = product(way)
+        length = size / (way @ moved)
+        out, rest = out + length * way, rest - length * moved
+        ahead = rest / scales
+        size, before = rest @ ahead, size
+        way = ahead + size / before * way
+    return out
 
 
 def score_severity(docs: DataFrame, model: OrdinalModel, text: str = "text", out: str = "severity") -> DataFrame:
