@@ -104,7 +104,7 @@ def fit_ordinal(
         grade_of.append(row.grade)
         places.extend(sorted(index[w] for w in row.words if w))
         ends.append(len(places))
-    return OrdinalModel(listed, *_newton(_Design(np.array(places), np.array(ends), len(listed)), np.array(grade_of), max(levels)))
+    return OrdinalModel(listed, *_newton(_Design(np.array(places, dtype=np.int64), np.array(ends), len(listed)), np.array(grade_of), max(levels)))
 
 
 @dataclass
@@ -166,13 +166,13 @@ def _newton(design: _Design, grades: np.ndarray, top: int, steps: int = 25) -> t
 
 
 def _solve(product: Callable[[np.ndarray], np.ndarray], right: np.ndarray, scales: np.ndarray) -> np.ndarray:
-    """Conjugate gradients with the diagonal ``scales`` as the preconditioner, until a thousandth of
-    ``right`` is left."""
+    """Conjugate gradients with the diagonal ``scales`` as the preconditioner, until about a
+    thirtieth of ``right`` is left; the next Newton step takes up the rest."""
     out, rest = np.zeros_like(right), right.copy()
     way = ahead = rest / scales
     size = first = rest @ ahead
     for _ in range(INNER_STEPS):
-        if size <= 1e-6 * first or size == 0:
+        if size <= 1e-3 * first or size == 0:
             break
         moved = product(way)
         length = size / (way @ moved)
