@@ -145,6 +145,19 @@ def test_passages(frame, spark):
     assert passages.repeated_passages(frame(docs).limit(0)).count() == 0
 
 
+def test_passages_of_a_full_bucket(frame):
+    """A stock phrase puts many unlike paragraphs under one key; the similar pairs among them are found."""
+    first = lambda text: int(shingling.shingles_at(shingling.words_of(pa.array([text])).hashes)[0])
+    stock = next(t for t in (prose(i, 20) for i in range(20000, 30000)) if first(t) < 1 << 54)
+    docs = [(i, f"{prose(5000 + i, 30)} {stock} {prose(6000 + i, 44)}") for i in range(300)]
+    for pair in range(6):
+        docs += [(1000 + 2 * pair + j, f"{prose(7000 + 2 * pair + j, 30)} {stock} {prose(8000 + pair, 2)} {prose(9000 + 2 * pair + j, 42)}") for j in (0, 1)]
+    got = {r["doc_id"]: r["cluster_id"] for r in rows_of(passages.repeated_passages(frame(docs)))}
+    assert {1000 + i for i in range(12)} <= set(got)
+    assert len(set(got) - {1000 + i for i in range(12)}) < 10
+    assert all(got[1000 + 2 * pair] == got[1001 + 2 * pair] for pair in range(6)) and len({got[1000 + i] for i in range(12)}) == 6
+
+
 def test_anchor_guarantee():
     rng = np.random.default_rng(1)
     for _ in range(200):
