@@ -158,6 +158,24 @@ def test_passages_of_a_full_bucket(frame):
     assert all(got[1000 + 2 * pair] == got[1001 + 2 * pair] for pair in range(6)) and len({got[1000 + i] for i in range(12)}) == 6
 
 
+def test_passages_of_whole_paragraphs(frame):
+    """Short copied lines and edited blocks, which hold no equal window at an anchor, are found."""
+    docs, want = [], []
+    for i in range(60):
+        words = prose(11000 + i, 24 if i < 30 else 40).split(" ")
+        other = [*words[:20], "edited", *words[21:]] if i >= 30 else words
+        gap = "\n" if i % 2 else "\n \n"
+        for j, part in enumerate((words, other)):
+            lines = " ".join(part) if i % 2 else " ".join(part[:15]) + "\n" + " ".join(part[15:])
+            docs.append((2 * i + j, f"{prose(12000 + 2 * i + j, 12)}{gap}{lines}{gap}{prose(13000 + 2 * i + j, 9)}"))
+            want.append((2 * i + j, lines))
+    got = {r["doc_id"]: r for r in rows_of(passages.repeated_passages(frame(docs)))}
+    assert set(got) == set(range(120))
+    texts = dict(docs)
+    assert all(lines in texts[d][got[d]["start"] : got[d]["end"]] for d, lines in want)
+    assert all(got[d]["removed"] == bool(d % 2) for d in got)
+
+
 def test_anchor_guarantee():
     rng = np.random.default_rng(1)
     for _ in range(200):
