@@ -176,6 +176,18 @@ def test_passages_of_whole_paragraphs(frame):
     assert all(got[d]["removed"] == bool(d % 2) for d in got)
 
 
+def test_passages_are_removed_whole(frame):
+    """What is removed of a verbatim passage are all its words, in one stretch."""
+    copied = [prose(14000 + i, 51 + 20 * i).replace(" ", "  ", 9) for i in range(8)]
+    copied.append(f"{prose(14100, 60)} {'é ' * 200}{prose(14101, 30)}")
+    docs = [(10 * j + i, f"{prose(15000 + 10 * j + i, 30)}ü {c} ü{prose(16000 + 10 * j + i, 25)}") for i, c in enumerate(copied) for j in (0, 1)]
+    got, texts = rows_of(passages.repeated_passages(frame([*docs, (10, prose(17000, 60))]))), dict(docs)
+    removed = [(r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in got if r["removed"]]
+    assert sorted(d for d, _ in removed) == [10 + i for i in range(len(copied))]
+    # A window with a word or two around the passage may be similar enough too.
+    assert all(copied[d - 10] in x and len(x.split()) <= len(copied[d - 10].split()) + 4 for d, x in removed)
+
+
 def test_anchor_guarantee():
     rng = np.random.default_rng(1)
     for _ in range(200):
