@@ -24,12 +24,12 @@ KINDS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 
 #: Strings that may be random: 16 and more characters of an alphabet that keys are written in.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Digests and identifiers that are no secrets: MD5, SHA-1, SHA-2 digests, UUIDs, plain numbers, words
-#: with hyphens, underscores or slashes between them.
+#: Digests and identifiers that are no secrets: MD5, SHA-1, SHA-2 digests, UUIDs, plain numbers. Words, also
+#: with hyphens, underscores or slashes between them, are told by their characters per token alone.
 KNOWN = re.compile(
     r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-    r"|[0-9+/_=-]+|[/_=+-]*(?:[A-Za-z][a-z]*|[A-Z]+|[0-9]+)(?:[/_=+-]+(?:[A-Za-z][a-z]*|[A-Z]+|[0-9]+))*[/_=+-]*"
+    r"|[0-9+/_=-]+"
 )
 #: A candidate with fewer characters per token is taken as random.
 MAX_CHARS_PER_TOKEN = 2.0
@@ -70,9 +70,9 @@ def find_secrets(
     code points with the end exclusive, and ``spans``, both in one string by start, then kind.
 
     The base patterns are assignments, access keys and long hex strings. The method adds strings of
-    mixed characters that the vocabulary in the file ``vocabulary`` (tiktoken ranks; ``pattern`` splits
+    characters that the vocabulary in the file ``vocabulary`` (tiktoken ranks; ``pattern`` splits
     before the merges) needs a token for every one or two characters for, unless they look like a known
-    digest, number or identifier or overlap a base span.
+    digest, UUID or number or overlap a base span.
 
     Null and empty texts have no spans. Rows with equal ids are separate results; a null id stays null.
     Texts are read whole, one at a time.

@@ -8,6 +8,7 @@ import collections
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -263,6 +264,16 @@ def test_secrets(frame):
     assert got[None]["spans"] == ""
 
 
+def test_secrets_of_letters_only(frame):
+    rng = random.Random(4)
+    keys = ["qzxkv-93821-wpmzt-48213", "XKQJ_ZVWP_QGXH_BNTR"]
+    keys += ["".join(rng.choice(letters) for _ in range(64)) for letters in (string.ascii_lowercase, string.ascii_uppercase) for _ in range(20)]
+    clean = ["internationalization-of-everything", "src/main/java/org/example/util", "MAXIMUM_NUMBER_OF_CONNECTIONS", "a" * 64, "-" * 40]
+    got = {r["doc_id"]: r["added"] for r in rows_of(secret_scan.find_secrets(frame([(i, f"see {w} .") for i, w in enumerate(keys + clean)]), RANKS, public_tokenizers.PATTERN))}
+    found = [i for i in got if got[i] == [{"start": 4, "end": 4 + len((keys + clean)[i]), "kind": "random"}]]
+    assert sorted(found) == list(range(len(keys))) and not any(got[len(keys) + i] for i in range(len(clean)))
+
+
 # --- 6 byte-level BPE ----------------------------------------------------------------------------
 
 
