@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope.llm import (
-    byte_bpe, decontamination, exact_dedup, jaccard_join, language_id, passages, secret_scan, shared, token_records,
-    toxicity, url_filter,
+    byte_bpe, decontamination, exact_dedup, jaccard_join, language_id, lexical_search, passages, secret_scan, shared,
+    token_records, toxicity, url_filter, warc,
 )
 
 
@@ -122,6 +122,50 @@ def language_query(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify_language(rows, dictionaries).drop("text")
 
 
+def search_query(spark: SparkSession, folder: str) -> DataFrame:
+    found = lexical_search.ranked_documents(shared.table(spark, folder, "documents"), shared.table(spark, folder, "benchmark"))
+    return found.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+_TERMS_SQL = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+SEARCH_SQL = f"""
+WITH found AS (SELECT doc_id, unnest({_TERMS_SQL}) AS term FROM documents),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM found GROUP BY ALL),
+sized AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counted GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sized),
+spread AS (SELECT term, count(*) AS df FROM counted GROUP BY term),
+weighed AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM spread, whole),
+asked AS (SELECT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark),
+scored AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+    FROM asked JOIN counted USING (term) JOIN sized USING (doc_id) JOIN weighed USING (term), whole
+    GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def warc_query(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_archives(shared.table(spark, folder, "pages"), shared.new_folder(spark, "archives"))
+    found = warc.read_archives(archives.select("path", "length"), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
+
+
+WARC_SQL = """
+WITH hashed AS (
+    SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex,
+           max(page_id) OVER (PARTITION BY coalesce(html, '')) AS stays FROM pages),
+parts AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, (5 * i + 1)::BIGINT, 5))::INTEGER) AS fives FROM hashed),
+coded AS (
+    SELECT *, array_to_string(list_transform(range(32), lambda i: substr(
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((fives[(i // 4 + 1)::BIGINT] >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)), '') AS payload_digest FROM parts)
+SELECT page_id, strlen(payload) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = stays THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> stays THEN stays END AS refers_to FROM coded
+"""
+
+
 QUERIES: dict[str, LlmQuery] = {
     "op1_toxicity": LlmQuery(toxicity_query),
     "op2_decontamination": LlmQuery(decontamination_query),
@@ -133,4 +177,6 @@ QUERIES: dict[str, LlmQuery] = {
     "op8_exact_dedup": LlmQuery(exact_query, EXACT_SQL),
     "op9_token_records": LlmQuery(records_query),
     "op10_language_id": LlmQuery(language_query),
+    "op11_ranked_search": LlmQuery(search_query, SEARCH_SQL),
+    "op13_warc": LlmQuery(warc_query, WARC_SQL),
 }

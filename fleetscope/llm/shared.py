@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,9 @@ def text_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) ->
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own in the shared folder, for files that executors write and read."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path as Spark names it, and the path there; executors open it by themselves."""
+    known = re.sub(r"^file:/(?!/)", "file:///", re.sub(r"^s3[an]:", "s3:", uri))
+    return pafs.FileSystem.from_uri(known if re.match(r"[a-z][a-z0-9+.-]*:", known) else f"file://{known}")
