@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope.llm import (
-    byte_bpe, decontamination, exact_dedup, jaccard_join, language_id, lexical_search, passages, secret_scan, shared,
-    token_records, toxicity, url_filter, warc,
+    byte_bpe, decontamination, exact_dedup, jaccard_join, language_id, lexical_search, passages, phrases, secret_scan,
+    shared, token_records, toxicity, url_filter, warc,
 )
 
 
@@ -146,6 +146,38 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def phrases_query(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(shared.table(spark, folder, "documents"))
+
+
+PHRASES_SQL = r"""
+WITH texts AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM texts),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang),
+runs AS (SELECT lang, words, unnest(range(1, 5)) AS size FROM pieces),
+placed AS (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS p FROM runs),
+counted AS (
+    SELECT lang, list_slice(words, p, p + size - 1) AS words, size, count(*) AS a FROM placed
+    GROUP BY ALL HAVING count(*) >= 30),
+cut AS (SELECT lang, words, a, size, unnest(range(1, size)) AS k FROM counted WHERE size > 1),
+scored AS (
+    SELECT c.lang, c.words, c.a, c.size, c.k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a + y.a))::BIGINT AS score
+    FROM cut c JOIN counted x ON x.lang = c.lang AND x.words = list_slice(c.words, 1, c.k) JOIN counted y ON y.lang = c.lang AND y.words = list_slice(c.words, c.k + 1, c.size)),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+inner_size AS (SELECT lang, words, a, size, unnest(range(2, size)) AS own FROM counted WHERE size > 2),
+inner_at AS (SELECT *, unnest(range(1, size - own + 2)) AS p FROM inner_size),
+inside AS (SELECT lang, list_slice(words, p, p + own - 1) AS words, max(a) AS a FROM inner_at GROUP BY ALL),
+kept AS (
+    SELECT s.* FROM least s LEFT JOIN inside h ON h.lang = s.lang AND h.words = s.words
+    WHERE h.a IS NULL OR 100::HUGEINT * h.a < 80::HUGEINT * s.a),
+named AS (SELECT *, array_to_string(words, ' ') AS phrase FROM kept),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM named)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def warc_query(spark: SparkSession, folder: str) -> DataFrame:
     archives = warc.write_archives(shared.table(spark, folder, "pages"), shared.new_folder(spark, "archives"))
     found = warc.read_archives(archives.select("path", "length"), payloads=False)
@@ -178,5 +210,6 @@ QUERIES: dict[str, LlmQuery] = {
     "op9_token_records": LlmQuery(records_query),
     "op10_language_id": LlmQuery(language_query),
     "op11_ranked_search": LlmQuery(search_query, SEARCH_SQL),
+    "op12_phrase_mining": LlmQuery(phrases_query, PHRASES_SQL),
     "op13_warc": LlmQuery(warc_query, WARC_SQL),
 }

@@ -12,6 +12,7 @@ import re
 import zlib
 from base64 import b32encode
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def ranked(docs, items, k):
 
 @pytest.mark.parametrize(("block", "cells"), [(lexical_search.BLOCK_BYTES, lexical_search._CELLS), (1, 7)])
 def test_ranked_search(spark, frame, monkeypatch, block, cells):
-    monkeypatch.setattr(lexical_search, "_CELLS", cells)
+    monkeypatch.setattr(lexical_search, "_CELLS", cells)  # how many scores a task keeps before it cuts them
     rng = random.Random(11)
     words = ["one", "two", "ONE", "é", "three", "x1", "漢字", "four", "the", "then", "he"]
     text = lambda n: "".join(rng.choice(words) + rng.choice([" ", "-", ".\n", "  ", "'"]) for _ in range(n))
@@ -64,6 +65,29 @@ def test_ranked_search(spark, frame, monkeypatch, block, cells):
     assert sorted((tuple(r) for r in got.collect()), key=str) == ranked(docs, items, 10)
 
 
+@pytest.mark.parametrize("cells", [1, 5, 1 << 20])
+def test_automaton(monkeypatch, cells):
+    monkeypatch.setattr(lexical_search, "_CELLS", cells)
+    rng = random.Random(3)
+    words = [b"he", b"the", b"then", b"x", "é".encode()]
+    items = [[rng.choice(words) for _ in range(rng.randrange(6))] for _ in range(9)]
+    texts = [None, "", "the", "he the then THE x-he", "é", *[" ".join(rng.choice(words).decode() for _ in range(rng.randrange(20))) for _ in range(30)]]
+    automaton = lexical_search.Automaton(items)
+    n, row, term, tf = automaton.counts(pa.array(["skipped", *texts]).slice(1))
+    own = [lexical_search.terms_of(t) for t in texts]
+    assert n.tolist() == [len(o) for o in own]
+    assert {(r, automaton.terms[t]): c for r, t, c in zip(row.tolist(), term.tolist(), tf.tolist(), strict=True)} == {
+        (r, t): c for r, o in enumerate(own) for t, c in collections.Counter(o).items() if t in automaton.terms
+    }
+    got = {}
+    for rows, found, points in automaton.scores(row, term, tf):
+        for r, i, p in zip(rows.tolist(), found.tolist(), points.tolist(), strict=True):
+            assert (r, i) not in got
+            got[r, i] = p
+    want = {(r, i): sum(o.count(t) for t in item) for r, o in enumerate(own) for i, item in enumerate(items)}
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_ranked_search_of_nothing(spark, frame):
     items = spark.createDataFrame([(1, "one")], "item_id long, text string")
     assert lexical_search.ranked_documents(frame([(1, "one")]).limit(0), items).count() == 0
@@ -127,10 +151,8 @@ def test_archives_least_bytes_and_none(spark, tmp_path):
 
 
 @pytest.mark.parametrize("split", [97, 1 << 20])
-@pytest.mark.parametrize("chunk", [5, 1 << 20])
-def test_members_inside_members(spark, tmp_path, monkeypatch, split, chunk):
+def test_members_inside_members(spark, tmp_path, monkeypatch, split):
     """Stored blocks hold whole members of another archive; rubbish and a torn record stand around."""
-    monkeypatch.setattr(warc, "CHUNK_BYTES", chunk)
     inner = b"".join(warc._member(warc.record(n, "http://inner/", b"<i>" * n, None, False)) for n in range(5))
 
     def stored(content):
@@ -147,6 +169,13 @@ def test_members_inside_members(spark, tmp_path, monkeypatch, split, chunk):
     for r in got:
         fields, _ = warc.parse(gzip.decompress(content[r.offset : r.end]))
         assert fields["page-id"] == str(r.page_id)
+    source = pa.BufferReader(content)
+    whole = [r[:2] for r in warc._owned(warc._Archive(source, len(content)), 0, len(content))]
+    assert whole == sorted((r.offset, r.end) for r in got)
+    for chunk in (3, 4, 64, 1000):
+        monkeypatch.setattr(warc, "CHUNK_BYTES", chunk)
+        assert [r[:2] for r in warc._owned(warc._Archive(source, len(content)), 0, len(content))] == whole
+        assert [r[:2] for r in warc._owned(warc._Archive(source, len(content)), whole[1][0], whole[2][0])] == whole[1:2]
 
 
 def test_damaged_payload(spark, tmp_path):
