@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions import advisories as adv
 from fleetscope.functions import paths
+from fleetscope.functions.version_order import version_key
+from fleetscope.operators.ordered import FEW_SALTS, join_groups
 
 # Manifests and their languages.
 MANIFEST_LANGUAGES = {
@@ -144,31 +146,78 @@ def shared_occurrences(
     return packages.join(kinds, list(keys)).select(*keys, "kind", service, version)
 
 
+def _package_key(ecosystem: Column, name: Column) -> Column:
+    """The name under which an ecosystem knows a package."""
+    return F.when(ecosystem == "PyPI", F.lower(F.regexp_replace(name, "[-_.]+", "-"))).otherwise(name)
+
+
+def versions_in_ranges(versions: DataFrame, ranges: DataFrame, keys: Sequence[str], version: str = "version") -> DataFrame:
+    """``keys, version`` and the other columns of ``ranges`` for every version within a range: an interval join
+    that makes no pair that does not match.
+
+    ``versions`` are distinct and have a sort key ``key``; ``ranges`` have ``lo``, ``hi`` and ``closed`` (see
+    :func:`fleetscope.functions.advisories.affected_intervals`). The versions of a package and the ends of its ranges
+    are sorted together, which turns each end into a number of versions before it and a range into a
+    span of numbers, and the span's numbers meet the versions by equality.
+    """
+    keys = list(keys)
+    carried = [c for c in ranges.columns if c not in keys]
+    # At one version: what starts or ends before it, the version itself, what ends after it.
+    ends = F.array(
+        F.struct(F.lit("first").alias("end"), F.col("lo").alias("key"), F.lit(0).alias("kind")),
+        F.struct(F.lit("last").alias("end"), F.col("hi").alias("key"), F.when(F.col("closed"), 2).otherwise(0).alias("kind")),
+    )
+    ranged = F.struct(*[F.col(f"`{c}`") for c in carried])
+    bounds = ranges.select(*keys, ranged.alias("range"), F.explode(ends).alias("e")).select(
+        *keys, "range", F.col("e.end").alias("end"), F.col("e.key").alias("key"), F.col("e.kind").alias("kind"), F.lit(None).cast("string").alias(version)
+    )
+    kind = bounds.schema["range"].dataType
+    points = versions.filter("key IS NOT NULL").select(
+        *keys, F.lit(None).cast(kind).alias("range"), F.lit(None).cast("string").alias("end"), "key", F.lit(1).alias("kind"), version
+    )
+    order = Window.partitionBy(*keys).orderBy(F.col("key").asc_nulls_last(), "kind", version)
+    before = F.count(version).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = points.unionByName(bounds).withColumn("place", before)
+    spans = placed.filter("end IS NOT NULL").groupBy(*keys, "range").agg(
+        (F.max(F.when(F.col("end") == "first", F.col("place"))) + 1).alias("first"), F.max(F.when(F.col("end") == "last", F.col("place"))).alias("last")
+    )
+    inside = spans.filter("first <= last").select(*keys, "range", F.explode(F.sequence("first", "last")).alias("place"))
+    return inside.join(placed.filter("end IS NULL").select(*keys, "place", version), [*keys, "place"]).select(*keys, version, "range.*")
+
+
 def match_advisories(
     packages: DataFrame,
     advisories: DataFrame,
     repo: str = "repo",
 ) -> DataFrame:
-    """Packages whose exact (ecosystem, name, version) an advisory lists.
+    """Packages that an advisory lists by version or that lie in one of its ranges.
 
-    ``advisories`` is OSV shaped (:data:`fleetscope.functions.advisories.OSV_SCHEMA`). Its size picks
-    the join: below Spark's broadcast threshold the packages are not shuffled at all, above it both
-    sides are, and adaptive execution splits the packages of a popular version.
+    ``advisories`` is OSV shaped (:data:`fleetscope.functions.advisories.OSV_SCHEMA`). Ranges are compared by
+    the order of the ecosystem; Python package names in their normal form. The distinct versions of a
+    package meet its advisories, and only those that are affected meet the packages again, dealt over
+    sub-keys, so that a version that a large part of the fleet uses is joined in many tasks.
     """
+    keys = ["ecosystem", "__package"]
+    found = ["advisory", "severity", "fixed_in", "summary"]
     affected = advisories.select("*", F.explode("affected").alias("__hit"))
-    listed = affected.select(
+    named = affected.select(
         F.col("__hit.package.ecosystem").alias("ecosystem"),
-        F.col("__hit.package.name").alias("name"),
-        F.explode(F.array_distinct("__hit.versions")).alias("version"),
+        _package_key(F.col("__hit.package.ecosystem"), F.col("__hit.package.name")).alias("__package"),
+        F.col("__hit.versions").alias("versions"),
+        F.col("__hit.ranges").alias("ranges"),
         adv.resolved_id(F.col("id"), F.col("aliases")).alias("advisory"),
         adv.severity(F.col("severity"), F.col("database_specific.severity")).alias("severity"),
         adv.fixed_version(F.col("affected"), F.col("__hit.package.name")).alias("fixed_in"),
         adv.summary(F.col("summary"), F.col("details")).alias("summary"),
-    )
-    found = packages.select(repo, "ecosystem", "name", "version", "exact").join(
-        listed, ["ecosystem", "name", "version"]
-    )
-    return dedupe_vulnerabilities(found, repo)
+    ).filter("ecosystem IS NOT NULL AND __package IS NOT NULL")
+    used = packages.select(repo, "ecosystem", "name", "version", "exact", _package_key(F.col("ecosystem"), F.col("name")).alias("__package"))
+    seen = used.select(*keys, "version").filter("version IS NOT NULL").distinct()
+    keyed = seen.withColumn("key", version_key(F.col("ecosystem"), F.col("version")))
+    ranges = named.select(*keys, *found, F.inline(adv.affected_intervals(F.col("ecosystem"), F.col("ranges")))).distinct()
+    ranged = versions_in_ranges(keyed, ranges, keys).select(*keys, "version", *found)
+    listed = named.select(*keys, F.explode(F.array_distinct("versions")).alias("version"), *found)
+    hits = ranged.unionByName(listed.join(seen, [*keys, "version"], "left_semi")).distinct()
+    return dedupe_vulnerabilities(join_groups(used, hits, [*keys, "version"], F.col(repo), FEW_SALTS), repo)
 
 
 def dedupe_vulnerabilities(found: DataFrame, repo: str = "repo") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetscope.functions.advisories import AFFECTED
 from fleetscope.operators import drift, fleet, history, ownership, packages
 from fleetscope.plans.catalog.base import Registry, Tables
 from fleetscope.sources import gitlog
@@ -259,10 +260,9 @@ def advisories(t: Tables) -> DataFrame:
     score = F.when(size % 4 == 0, "CVSS:3.1/AV:N").when(size % 4 == 1, F.concat((size / 5).cast("string"), F.lit("/10"))).otherwise((size / 5).cast("string"))
     versions = F.when(size % 2 == 0, F.array(F.lit("A"), F.lit("R"))).otherwise(F.array(F.lit("N")))
     fixed = F.when(size % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("v"), size.cast("string")))
-    events = F.array(
-        F.struct(F.lit("0").alias("introduced"), F.lit(None).cast("string").alias("fixed")),
-        F.struct(F.lit(None).cast("string").alias("introduced"), fixed.alias("fixed")),
-    )
+    none = F.lit(None).cast("string")
+    event = lambda introduced, fixed: F.struct(introduced.alias("introduced"), fixed.alias("fixed"), none.alias("last_affected"), none.alias("limit"))
+    events = F.array(event(F.lit("0"), none), event(none, fixed))
     eco = F.when(key % 3 == 0, "npm").otherwise("PyPI")
     return t("part").select(
         F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("ADV-"), key.cast("string"))).alias("id"),
@@ -274,9 +274,9 @@ def advisories(t: Tables) -> DataFrame:
         F.array(
             F.struct(
                 F.struct(name.alias("name"), eco.alias("ecosystem")).alias("package"), versions.alias("versions"),
-                F.array(F.struct(events.alias("events"))).alias("ranges"),
+                F.array(F.struct(F.lit("ECOSYSTEM").alias("type"), events.alias("events"))).alias("ranges"),
             )
-        ).alias("affected"),
+        ).cast(AFFECTED).alias("affected"),
     )
 
 
@@ -317,6 +317,75 @@ def vulnerability_join(t: Tables) -> DataFrame:
     return packages.match_advisories(packages.distinct_packages(used(t)), advisories(t))
 
 
+def released(t: Tables) -> DataFrame:
+    """``repo, ecosystem, name, version, exact``: full, short and release-candidate versions of parts."""
+    npm, n = F.col("l_partkey") % 3 == 0, F.col("l_linenumber").cast("string")
+    candidate = F.when(npm, F.concat(F.lit("1."), n, F.lit(".0-rc.1"))).otherwise(F.concat(F.lit("v1."), n, F.lit(".0RC1")))
+    version = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("1."), n, F.lit(".0"))).when(F.col("l_returnflag") == "R", F.concat(F.lit("1."), n)).otherwise(candidate)
+    return t("lineitem").select(
+        F.col("l_suppkey").alias("repo"), F.when(npm, "npm").otherwise("PyPI").alias("ecosystem"),
+        F.concat(F.when(npm, "p-").otherwise("P__"), F.col("l_partkey").cast("string")).alias("name"), version.alias("version"),
+        (F.col("l_linestatus") == "F").alias("exact"), F.col("l_linestatus").alias("spec"), F.lit("m").alias("manifest"),
+    )
+
+
+#: By a part's size: listed versions, events of ranges (introduced, fixed, last affected, limit), further range type.
+AFFECTS = [
+    (["1.2.0", "1.4"], []),
+    ([], [("0", None, None, None), (None, "1.4.0", None, None)]),
+    ([], [(None, None, "1.5.0", None), ("1.2", None, None, None)]),
+    ([], [(None, "1.3", None, None), ("1.3.0-rc.1", None, None, None)]),
+    ([], [("1.5.0", None, None, None), ("0", None, None, None), (None, "1.2.0", None, None)]),
+    (["1.1.0"], [("1.6.0-alpha", None, None, None)]),
+    (["1.7"], [("1.2.0", None, None, None), (None, None, None, "1.3.0"), ("1.9", "1.10", None, None)]),
+    ([], [("0", "not a version", None, None)]),
+]
+
+
+def ranged_advisories(t: Tables) -> DataFrame:
+    """An OSV record per part, two for some; all of them also name a range of commits, which counts for nothing."""
+    text = lambda v: F.lit(v).cast("string")
+    event = lambda e: F.struct(*[text(v).alias(n) for v, n in zip(e, ("introduced", "fixed", "last_affected", "limit"), strict=True)])
+    commits = F.struct(F.lit("GIT").alias("type"), F.array(event(("0", None, None, None))).alias("events"))
+    key, eco = F.col("p_partkey"), F.when(F.col("p_partkey") % 3 == 0, "npm").otherwise("PyPI")
+    package = F.struct(F.concat(F.lit("p-"), key.cast("string")).alias("name"), eco.alias("ecosystem")).alias("package")
+    chosen = None
+    for n, (listed, events) in enumerate(AFFECTS):
+        own = F.struct(F.when(key % 3 == 0, "SEMVER").otherwise("ECOSYSTEM").alias("type"), F.array(*[event(e) for e in events]).alias("events"))
+        ranges = F.array(own, commits) if events else F.array(commits)
+        one = F.struct(package, F.array(*[text(v) for v in listed]).cast("array<string>").alias("versions"), ranges.alias("ranges"))
+        chosen = (F if chosen is None else chosen).when(F.col("kind") == n, F.array(one).cast(AFFECTED))
+    kinds = F.array_distinct(F.array(F.col("p_size") % 8, F.col("p_size") % 5)).cast("array<int>")
+    none = F.lit(None).cast("string")
+    return t("part").select("p_partkey", "p_size", F.explode(kinds).alias("kind")).select(
+        F.concat_ws("-", F.lit("ADV"), key.cast("string"), F.col("kind").cast("string")).alias("id"), F.lit("words").alias("summary"), none.alias("details"),
+        F.array().cast("array<string>").alias("aliases"), F.array().cast("array<struct<type:string,score:string>>").alias("severity"),
+        F.struct(F.when(F.col("kind") % 2 == 0, "HIGH").otherwise("LOW").alias("severity")).alias("database_specific"), chosen.alias("affected"),
+    )
+
+
+@QUERIES.query("vulnerability_ranges", """
+WITH released AS (
+    SELECT l_suppkey AS repo, l_partkey AS part, l_linenumber * 10 + CASE WHEN l_returnflag = 'N' THEN 0 ELSE 5 END AS place, l_linestatus = 'F' AS exact,
+           l_linestatus AS spec, CASE WHEN l_partkey % 3 = 0 THEN 'p-' ELSE 'P__' END || l_partkey AS package,
+           CASE l_returnflag WHEN 'A' THEN '1.' || l_linenumber || '.0' WHEN 'R' THEN '1.' || l_linenumber
+                ELSE CASE WHEN l_partkey % 3 = 0 THEN '1.' || l_linenumber || '.0-rc.1' ELSE 'v1.' || l_linenumber || '.0RC1' END END AS version
+    FROM lineitem),
+used AS (SELECT repo, part, place, package, version, arg_min(exact, spec) AS exact FROM released GROUP BY ALL),
+records AS (SELECT p_partkey AS part, unnest(list_distinct([p_size % 8, p_size % 5])) AS kind FROM part),
+found AS (
+    SELECT repo, 'ADV-' || part || '-' || kind AS id, package, kind, version, exact FROM used JOIN records USING (part)
+    WHERE CASE kind WHEN 0 THEN version IN ('1.2.0', '1.4') WHEN 1 THEN place < 45 WHEN 2 THEN place BETWEEN 25 AND 55 WHEN 3 THEN place = 30
+               WHEN 4 THEN place < 25 OR place >= 55 WHEN 5 THEN version = '1.1.0' OR place >= 60 WHEN 6 THEN version = '1.7' OR place BETWEEN 25 AND 34 ELSE false END)
+SELECT repo, id, package, CASE WHEN any_value(kind) % 2 = 0 THEN 'critical' ELSE 'warning' END AS severity,
+       CASE any_value(kind) WHEN 1 THEN '1.4.0' WHEN 3 THEN '1.3' WHEN 4 THEN '1.2.0' WHEN 6 THEN '1.10' ELSE '' END AS fixed_in, 'words' AS summary,
+       CASE WHEN arg_min(exact, version) THEN 'HIGH' ELSE 'MEDIUM' END AS confidence
+FROM found GROUP BY repo, id, package""")
+def vulnerability_ranges(t: Tables) -> DataFrame:
+    """Advisories by list, by range and by both, over versions that are spelled in several ways."""
+    return packages.match_advisories(packages.distinct_packages(released(t)), ranged_advisories(t))
+
+
 @QUERIES.query("framework_detect", """
 WITH deps AS (SELECT DISTINCT l_suppkey AS repo, replace(p_name, ' ', '/') AS d FROM lineitem JOIN part ON l_partkey = p_partkey),
 rules AS (SELECT unnest(['ring','bolt','widget','small/gear','cold','gizmo']) AS s, unnest(['Ring','Bolt','Widget','Small Gear','Cold','Gizmo']) AS framework)
