@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetscope.functions import labels, paths
 from fleetscope.functions.labels import quote_regex
 from fleetscope.functions.moments import epoch_micros
+from fleetscope.operators.history import recent_touches
 from fleetscope.operators.packages import lookup
 
 # Fixed values: (word in documentation, family, display name).
@@ -381,18 +382,16 @@ def recency(
     active_commits: int = ACTIVE_COMMITS,
 ) -> DataFrame:
     """1 while the newest documentation touch is within the grace of the newest commit, then falling to
-    0 over one more grace; busy repositories get the shorter grace. No documentation gives 1."""
-    now = as_of if as_of is not None else touches.select(F.max(ts)).scalar()
-    since = now - F.expr(f"INTERVAL {int(active_days)} DAYS")
-    latest = touches.groupBy(*keys).agg(
-        F.max(F.when(is_doc, F.col(ts))).alias("__doc"),
-        F.max(ts).alias("__code"),
-        F.count_distinct(F.when(F.col(ts) >= since, F.col(commit))).alias("__recent"),
-    )
+    0 over one more grace; repositories that are busy before ``as_of``, by default before their own newest
+    commit, get the shorter grace. No documentation gives 1."""
+    keys = list(keys)
+    latest = touches.groupBy(*keys).agg(F.max(F.when(is_doc, F.col(ts))).alias("__doc"), F.max(ts).alias("__code"))
+    busy = recent_touches(touches, int(active_days), ts, as_of, keys).groupBy(*keys).agg(F.count_distinct(commit).alias("__recent"))
+    judged = latest.join(busy, keys, "left")
     grace = F.when(F.col("__recent") >= active_commits, F.lit(float(active_days))).otherwise(float(quiet_days))
-    lag = F.greatest(F.lit(0.0), (epoch_micros(latest, "__code") - epoch_micros(latest, "__doc")) / 86_400_000_000)
+    lag = F.greatest(F.lit(0.0), (epoch_micros(judged, "__code") - epoch_micros(judged, "__doc")) / 86_400_000_000)
     decayed = F.when(lag <= grace, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - (lag - grace) / grace))
-    return latest.select(*keys, F.coalesce(F.bround(decayed, 4), F.lit(1.0)).alias("recency_ratio"))
+    return judged.select(*keys, F.coalesce(F.bround(decayed, 4), F.lit(1.0)).alias("recency_ratio"))
 
 
 def freshness(

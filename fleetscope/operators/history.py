@@ -14,10 +14,8 @@ from fleetscope.operators.ordered import FEW_SALTS, join_groups, top_k, with_pre
 # Fixed values.
 NOISE_PREFIXES = ["fix typo", "wip", "update", "checkpoint", "save", "fix", "refactor", "cleanup", "minor", "test"]
 ITERATION = r"(?U)^(.+?)\s+(\d+(?:\.\d+)*|\w+)$"
-FETCH_COMMITS = 100
 KEEP_COMMITS = 25
 HOTSPOTS_PER_REPO = 5
-HOTSPOTS_PER_SERVICE_CALL = 50
 CHURN_DAYS = 30
 MODULE_CHURN_DAYS = 90
 BURST_SECONDS = 30 * 60
@@ -98,36 +96,73 @@ def collapse_runs(
     )
 
 
+def newest_blocks(commits: DataFrame, keys: Sequence[str], subject: str, block: str, runs: int) -> DataFrame:
+    """``commits`` of each key's newest blocks, as many as surely hold more than ``runs`` runs.
+
+    A block with d distinct texts holds d runs or more, of which one may go on from the block before, so
+    the distinct texts of a block, less one, add up to a lower bound; it is counted without sorting any history.
+    """
+    text = F.lower(iteration_base(F.col(subject)))
+    counted = commits.groupBy(*keys, block).agg((F.count_distinct(text) + F.count_if(text.isNull()) - 1).alias("__n"))
+    newer = Window.partitionBy(*keys).orderBy(F.desc(block)).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = counted.withColumn("__before", F.coalesce(F.sum("__n").over(newer), F.lit(0))).filter(F.col("__before") < runs)
+    return commits.join(wanted.select(*keys, block), [*keys, block], "left_semi")
+
+
 def timeline(
     commits: DataFrame,
     keys: Sequence[str] = ("repo",),
     order: Sequence[str] = ("ts", "hash"),
     subject: str = "subject",
-    fetch: int = FETCH_COMMITS,
     keep: int = KEEP_COMMITS,
     prefixes: Sequence[str] = NOISE_PREFIXES,
+    block: str = "date",
     **columns: str,
 ) -> DataFrame:
-    """Newest ``fetch`` commits, without noise, runs collapsed, newest ``keep`` rows, in that order.
+    """The newest ``keep`` rows of the whole history without noise, runs collapsed, newest first.
 
-    After the first cut a key holds at most ``fetch`` rows, so plain windows do for the rest.
+    ``block`` is a column that grows with the order. Only the newest blocks, as many as hold the rows that are
+    kept, are sorted; a history of noise alone costs one count.
     """
-    recent = top_k(commits, keys, [F.desc(c) for c in order], fetch)
-    collapsed = collapse_runs(drop_noise(recent, subject, prefixes), keys, order, subject, **columns)
+    recent = newest_blocks(drop_noise(commits, subject, prefixes), list(keys), subject, block, keep)
+    collapsed = collapse_runs(recent, keys, order, subject, block=F.col(block), **columns)
     return top_k(collapsed, keys, [F.desc("ordering")], keep, rank="position").drop("ordering")
 
 
+def clocks(touches: DataFrame, keys: Sequence[str] = ("repo",), ts: str = "ts", latest: Column | None = None) -> DataFrame:
+    """The newest time per key as ``clock``. Times after ``latest`` (default: now) come from wrong
+    clocks and count only where there are no others."""
+    limit = F.current_timestamp() if latest is None else latest
+    newest = F.coalesce(F.max(F.when(F.col(ts) <= limit, F.col(ts))), F.max(ts))
+    return touches.groupBy(*keys).agg(newest.alias("clock"))
+
+
+def recent_touches(
+    touches: DataFrame, days: int, ts: str = "ts", as_of: Column | None = None, clock: Sequence[str] = ("repo",), told: DataFrame | None = None
+) -> DataFrame:
+    """Touches of the last ``days`` before ``as_of``, by default before each ``clock`` key's own newest one, so that
+    one repository's clock moves no other's. ``told`` may name the table that the clocks are read from."""
+    span = F.expr(f"INTERVAL {int(days)} DAYS")
+    if as_of is not None:
+        return touches.filter(F.col(ts) >= as_of - span)
+    known = clocks(touches if told is None else told, clock, ts)
+    if not clock:
+        return touches.filter(F.col(ts) >= known.scalar() - span)
+    dealt = join_groups(touches, known.withColumnRenamed("clock", "__clock"), list(clock), F.col(ts), FEW_SALTS)
+    return dealt.filter(F.col(ts) >= F.col("__clock") - span).select(*touches.columns)
+
+
 def churn(
     touches: DataFrame,
     keys: Sequence[str] = ("repo", "path"),
     ts: str = "ts",
     days: int = CHURN_DAYS,
     as_of: Column | None = None,
+    clock: Sequence[str] = ("repo",),
+    told: DataFrame | None = None,
 ) -> DataFrame:
-    """Touches per key in the last ``days`` before ``as_of`` (default: the newest touch there is)."""
-    now = as_of if as_of is not None else touches.select(F.max(ts)).scalar()
-    since = now - F.expr(f"INTERVAL {int(days)} DAYS")
-    return touches.filter(F.col(ts) >= since).groupBy(*keys).agg(F.count(F.lit(1)).alias("changes"))
+    """Recent touches per key (:func:`recent_touches`)."""
+    return recent_touches(touches, days, ts, as_of, clock, told).groupBy(*keys).agg(F.count(F.lit(1)).alias("changes"))
 
 
 def hotspots(
@@ -157,23 +192,19 @@ def module_churn(
 ) -> DataFrame:
     """Recent touches per module, over eligible files only."""
     kept = touches if eligible is None else touches.join(eligible.select(repo, path), [repo, path], "left_semi")
-    return churn(kept.withColumn("module", paths.module_key(F.col(path), buckets)), [repo, "module"], ts, days, as_of)
+    named = kept.withColumn("module", paths.module_key(F.col(path), buckets))
+    return churn(named, [repo, "module"], ts, days, as_of, [repo], touches)
 
 
 def hotspot_matrix(
-    counts: DataFrame,
-    service: str = "repo",
-    path: str = "path",
-    changes: str = "changes",
-    per_service: int = HOTSPOTS_PER_REPO,
-    limit: int = KEEP_COMMITS,
+    counts: DataFrame, service: str = "repo", path: str = "path", changes: str = "changes", limit: int = KEEP_COMMITS
 ) -> DataFrame:
-    """The fleet's ``limit`` hottest files, from each service's own top list.
+    """The fleet's ``limit`` hottest files, however many of them a service has.
 
     Ranks are given after the distributed top-n, so the unpartitioned window sees ``limit`` rows.
     """
     order = [F.desc(changes), F.asc(service), F.asc(path)]
-    top = top_k(counts, [service], [F.desc(changes), F.asc(path)], per_service).orderBy(*order).limit(limit)
+    top = counts.orderBy(*order).limit(limit)
     return top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), service, path, changes)
 
 

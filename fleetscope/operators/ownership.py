@@ -7,21 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.functions import labels, paths
+from fleetscope.functions import labels
 from fleetscope.operators.history import BURST_SECONDS, bursts
 from fleetscope.operators.ordered import FEW_SALTS, join_groups, top_k
 
-# Files blamed per repository.
-BLAMED_FILES = 250
-
-
-def blame_candidates(
-    files: DataFrame, repo: str = "repo", path: str = "path", size: str = "size", k: int = BLAMED_FILES
-) -> DataFrame:
-    """The largest eligible files per repository; the content column is not needed here."""
-    return top_k(files.filter(paths.eligible_source(F.col(path))), [repo], [F.desc(size), F.asc(path)], k)
-
-
 def line_counts(
     blame: DataFrame,
     keys: Sequence[str] = ("repo", "module"),

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.functions import confidence
+from fleetscope.functions import confidence, paths
 
-# Nine words of 28 bits of every digest are added up; 2**35 tokens fit a bigint.
-_WORDS = 9
-_HEX = 7
+# The eight words of 32 bits of every digest are added up, as decimals that hold any number of them.
+_WORDS = 8
+_HEX = 8
 
 
 def file_token(*parts: Column) -> Column:
@@ -19,6 +19,16 @@ def file_token(*parts: Column) -> Column:
     return F.concat_ws(":", *[p.cast("string") for p in parts])
 
 
+def _sums(digest: Column) -> list[Column]:
+    return [
+        F.sum(F.conv(F.substring(digest, 1 + _HEX * n, _HEX), 16, 10).cast("decimal(38,0)")).alias(f"__w{n}") for n in range(_WORDS)
+    ]
+
+
+def _summed_digest(head: Column) -> Column:
+    return F.sha2(F.concat_ws("\n", head, F.col("files").cast("string"), *[F.col(f"__w{n}").cast("string") for n in range(_WORDS)]), 256)
+
+
 def fingerprint(
     files: DataFrame, token: Column, keys: Sequence[str] = ("repo",), head: Column | None = None
 ) -> DataFrame:
@@ -28,17 +38,61 @@ def fingerprint(
     whatever the order; unlike it, it is a sum, so tasks combine partial results and no task ever
     holds a repository's whole list. ``head`` (constant per repository) enters the final digest.
     """
-    digest = F.sha2(token, 256)
-    words = [
-        F.sum(F.conv(F.substring("__digest", 1 + _HEX * n, _HEX), 16, 10).cast("bigint")).alias(f"__w{n}")
-        for n in range(_WORDS)
-    ]
     first = F.max(head).alias("__head") if head is not None else F.lit("").alias("__head")
-    sums = files.withColumn("__digest", digest).groupBy(*keys).agg(first, F.count(F.lit(1)).alias("files"), *words)
-    text = F.concat_ws(
-        "\n", "__head", F.col("files").cast("string"), *[F.col(f"__w{n}").cast("string") for n in range(_WORDS)]
+    digests = files.withColumn("__digest", F.sha2(token, 256))
+    sums = digests.groupBy(*keys).agg(first, F.count(F.lit(1)).alias("files"), *_sums(F.col("__digest")))
+    return sums.select(*keys, "files", _summed_digest(F.col("__head")).alias("fingerprint"))
+
+
+def file_digests(files: DataFrame, token: Column, keys: Sequence[str] = ("repo",), path: str = "path") -> DataFrame:
+    """``keys, path, digest``: what a snapshot keeps of every file, to name later what has changed."""
+    return files.select(*keys, F.col(path).alias("path"), F.sha2(token, 256).alias("digest"))
+
+
+def folder_tree(digests: DataFrame, keys: Sequence[str] = ("repo",), depth: int | None = None) -> DataFrame:
+    """``keys, folder, files, fingerprint`` of every folder, the repository itself being the folder ````.
+
+    A folder's fingerprint covers the paths and digests of all files below it. Each file adds to all folders
+    above it, so every level of the tree comes out of one aggregation, whose partial sums leave a task as
+    one row per folder. ``depth`` keeps the levels down to so many folders.
+    """
+    above = F.concat(F.array(F.lit("")), paths.parent_folders(F.col("path")))
+    if depth is not None:
+        above = F.slice(above, 1, depth + 1)
+    token = F.sha2(F.concat_ws("\n", "path", "digest"), 256)
+    rows = digests.select(*keys, token.alias("__token"), F.explode(above).alias("folder"))
+    sums = rows.groupBy(*keys, "folder").agg(F.count(F.lit(1)).alias("files"), *_sums(F.col("__token")))
+    return sums.select(*keys, "folder", "files", _summed_digest(F.lit("")).alias("fingerprint"))
+
+
+def changed_paths(new: DataFrame, old: DataFrame, keys: Sequence[str] = ("repo",), step: int = 3) -> DataFrame:
+    """``keys, kind, path, state``: the folders and files of two tables of :func:`file_digests` that are new,
+    changed or gone, and the repositories, which are the folder ````.
+
+    The comparison goes down from the repositories: only below folders whose fingerprints differ, ``step``
+    levels deep, are further folders made, and only their files are compared one by one.
+    """
+    keys = list(keys)
+
+    def compared(a: DataFrame, b: DataFrame, name: str, value: str) -> DataFrame:
+        both = a.select(*keys, name, F.col(value).alias("fingerprint")), b.select(*keys, name, F.col(value).alias("fingerprint"))
+        return refresh(*both, [*keys, name]).filter("state <> 'same'")
+
+    def below(rows: DataFrame, folders: DataFrame, levels: int) -> DataFrame:
+        """Files below one of ``folders`` of the level ``levels``, or of a lesser one with nothing deeper."""
+        at = F.element_at(F.slice(F.concat(F.array(F.lit("")), paths.parent_folders(F.col("path"))), 1, levels + 1), -1)
+        return rows.withColumn("folder", at).join(folders.select(*keys, "folder"), [*keys, "folder"], "left_semi").drop("folder")
+
+    roots = compared(folder_tree(new, keys, 0), folder_tree(old, keys, 0), "folder", "fingerprint")
+    upper = compared(*[folder_tree(below(side, roots, 0), keys, step) for side in (new, old)], "folder", "fingerprint")
+    kept = [below(side, upper, step) for side in (new, old)]
+    levels = F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/")))
+    deeper = compared(*[folder_tree(side, keys).filter(levels > step) for side in kept], "folder", "fingerprint")
+    folders = upper.unionByName(deeper)
+    files = compared(*kept, "path", "digest")
+    return folders.select(*keys, F.lit("folder").alias("kind"), F.col("folder").alias("path"), "state").unionByName(
+        files.select(*keys, F.lit("file").alias("kind"), "path", "state")
     )
-    return sums.select(*keys, "files", F.sha2(text, 256).alias("fingerprint"))
 
 
 def stale(

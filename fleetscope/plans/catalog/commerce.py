@@ -139,7 +139,7 @@ SELECT * EXCLUDE (churn),
 FROM named""")
 def module_ownership(t: Tables) -> DataFrame:
     recent = history.churn(
-        t("orders").select(F.col("o_custkey").alias("module"), F.col("o_orderdate").alias("ts")), ["module"], days=90
+        t("orders").select(F.col("o_custkey").alias("module"), F.col("o_orderdate").alias("ts")), ["module"], days=90, clock=[]
     )
     lines, marks = counts(t), tagged(t)
     out = ownership.module_ownership(

@@ -168,8 +168,8 @@ def text_preview(t: Tables) -> DataFrame:
 
 FINGERPRINT = """
 digests AS (SELECT {keys}, sha256({token}) AS d FROM documents {where}),
-words AS (SELECT {keys}, unnest(range(9)) AS n, d FROM digests),
-sums AS (SELECT {keys}, n, CAST(sum(CAST('0x' || substr(d, CAST(1 + 7 * n AS INTEGER), 7) AS BIGINT)) AS BIGINT) AS s FROM words GROUP BY ALL),
+words AS (SELECT {keys}, unnest(range(8)) AS n, d FROM digests),
+sums AS (SELECT {keys}, n, sum(CAST('0x' || substr(d, CAST(1 + 8 * n AS INTEGER), 8) AS HUGEINT)) AS s FROM words GROUP BY ALL),
 sizes AS (SELECT {keys}, count(*) AS files FROM digests GROUP BY ALL),
 prints AS (
     SELECT {keys}, any_value(files) AS files,
@@ -203,6 +203,50 @@ def changed_since_snapshot(t: Tables) -> DataFrame:
     return snapshot.stale(current, old, keys, "medium").select(*keys, "files")
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """Documents as files three folders deep, some straight in a folder above."""
+    folder = F.concat_ws("/", F.concat(F.lit("k"), (F.col("n_chars") % 7).cast("string")), "lang", F.concat(F.lit("d"), (F.col("n_chars") % 5).cast("string")))
+    name = F.when(F.col("n_chars") % 11 == 0, F.col("lang")).when(F.col("n_chars") % 11 == 1, "").otherwise(folder)
+    return docs.withColumn("path", F.concat_ws("/", F.nullif(name, F.lit("")), F.concat(F.lit("f"), F.col("doc_id").cast("string"))))
+
+
+_PLACED = """
+placed AS (
+    SELECT source, doc_id, n_chars, CASE n_chars % 11 WHEN 0 THEN lang || '/' WHEN 1 THEN ''
+           ELSE 'k' || (n_chars % 7) || '/' || lang || '/d' || (n_chars % 5) || '/' END || 'f' || doc_id AS path FROM documents),
+new_files AS (
+    SELECT CASE source WHEN 'src1' THEN 'here' ELSE source END AS source, CASE WHEN doc_id % 89 = 0 THEN 'moved/' ELSE '' END || path AS path,
+           CAST(n_chars AS VARCHAR) AS token FROM placed),
+old_files AS (
+    SELECT CASE source WHEN 'src2' THEN 'there' ELSE source END AS source, CASE WHEN doc_id % 97 = 0 THEN 'k0/' ELSE '' END || path AS path,
+           CAST(n_chars + CASE WHEN doc_id % 83 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS token FROM placed),
+"""
+
+
+@QUERIES.query("changed_paths", "WITH " + _PLACED + """
+both_files AS (SELECT source, path, n.token AS n, o.token AS o FROM new_files n FULL OUTER JOIN old_files o USING (source, path)),
+places AS (
+    SELECT source, path AS file, n, o, unnest(list_concat([''], list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/')))) AS path
+    FROM both_files),
+folders AS (
+    SELECT source, 'folder' AS kind, path, CASE WHEN count(o) = 0 THEN 'new' WHEN count(n) = 0 THEN 'gone' ELSE 'changed' END AS state
+    FROM places GROUP BY source, path HAVING bool_or(n IS DISTINCT FROM o))
+SELECT * FROM folders
+UNION ALL
+SELECT source, 'file', path, CASE WHEN o IS NULL THEN 'new' WHEN n IS NULL THEN 'gone' ELSE 'changed' END FROM both_files WHERE n IS DISTINCT FROM o""")
+def changed_paths(t: Tables) -> DataFrame:
+    """Two states of all documents: some lie elsewhere on either side, some differ, and a source each is new and gone."""
+    docs, key = placed(t("documents")), F.col("doc_id")
+    under = lambda divisor, folder: F.concat(F.when(key % divisor == 0, folder).otherwise(""), F.col("path"))
+    named = lambda was, now: F.when(F.col("source") == was, now).otherwise(F.col("source"))
+    new = docs.select(named("src1", "here").alias("source"), under(89, "moved/").alias("path"), F.col("n_chars").alias("token"))
+    old = docs.select(
+        named("src2", "there").alias("source"), under(97, "k0/").alias("path"), (F.col("n_chars") + F.when(key % 83 == 0, 1).otherwise(0)).alias("token")
+    )
+    kept = [snapshot.file_digests(side, F.col("token").cast("string"), ["source"]) for side in (new, old)]
+    return snapshot.changed_paths(*kept, ["source"], 1)
+
+
 @QUERIES.query("keyword_hits", f"""
 WITH hits AS (
     SELECT source, doc_id, 'permissive' AS family, 'MIT' AS display, 'mit license' AS keyword, 1 AS n FROM documents WHERE {word_sql('mit license')}

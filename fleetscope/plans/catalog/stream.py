@@ -103,13 +103,12 @@ def collapse_runs(t: Tables) -> DataFrame:
 
 @QUERIES.query("commit_timeline", f"""
 WITH {COMMITS},
-recent AS (SELECT * FROM commits QUALIFY row_number() OVER (PARTITION BY repo ORDER BY ts DESC, hash DESC) <= 40),
-kept AS (SELECT * FROM recent WHERE NOT regexp_matches(subject, '(?i)^(error|sign)')),
+kept AS (SELECT * FROM commits WHERE NOT regexp_matches(subject, '(?i)^(error|sign)')),
 {collapse_sql('kept')}
 SELECT repo, hash, author, date, subject, commits, CAST(row_number() OVER (PARTITION BY repo ORDER BY last_ts DESC) AS INTEGER) AS position
 FROM runs QUALIFY position <= 15""")
 def commit_timeline(t: Tables) -> DataFrame:
-    return history.timeline(commits(t), fetch=40, keep=15, prefixes=EVENT_NOISE)
+    return history.timeline(commits(t), keep=15, prefixes=EVENT_NOISE)
 
 
 def touches(t: Tables) -> DataFrame:
@@ -119,13 +118,13 @@ def touches(t: Tables) -> DataFrame:
     )
 
 
-#: touches(repo, ts, path) and churn(repo, path, changes) of the last ten days
+#: touches(repo, ts, path) and churn(repo, path, changes) of each repository's last ten days
 TOUCHES = """
 touches AS (SELECT user_id AS repo, ts, event_type || '/d' || (CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INTEGER) % 3) || '/f.py' AS path FROM events)
 """
 CHURN = TOUCHES + """,
 churn AS (SELECT repo, path, count(*) AS changes FROM touches
-          WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY GROUP BY ALL)
+          WHERE ts >= (SELECT max(ts) FROM events WHERE user_id = repo) - INTERVAL 10 DAY GROUP BY ALL)
 """
 
 
@@ -140,8 +139,8 @@ def topk_per_group(t: Tables) -> DataFrame:
 
 
 @QUERIES.query("hotspot_matrix", f"""
-WITH {CHURN}, top AS (SELECT * FROM churn QUALIFY row_number() OVER (PARTITION BY repo ORDER BY changes DESC, path) <= 5)
-SELECT CAST(row_number() OVER (ORDER BY changes DESC, repo, path) AS INTEGER) AS rank, repo, path, changes FROM top QUALIFY rank <= 25""")
+WITH {CHURN}
+SELECT CAST(row_number() OVER (ORDER BY changes DESC, repo, path) AS INTEGER) AS rank, repo, path, changes FROM churn QUALIFY rank <= 25""")
 def hotspot_matrix(t: Tables) -> DataFrame:
     return history.hotspot_matrix(history.churn(touches(t), days=10))
 
@@ -164,7 +163,7 @@ def hotspot_density(t: Tables) -> DataFrame:
 WITH {TOUCHES}
 SELECT repo, CASE WHEN path LIKE 'view/%' THEN regexp_extract(path, '^(view/d[0-9]/)', 1) ELSE regexp_extract(path, '^([a-z]+/)', 1) END AS module,
        count(*) AS changes
-FROM touches WHERE path NOT LIKE 'signup/%' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY GROUP BY ALL""")
+FROM touches WHERE path NOT LIKE 'signup/%' AND ts >= (SELECT max(ts) FROM events WHERE user_id = repo) - INTERVAL 10 DAY GROUP BY ALL""")
 def module_churn(t: Tables) -> DataFrame:
     """``view`` is a monorepo bucket; files below ``signup`` are not eligible."""
     found = touches(t)
@@ -242,7 +241,8 @@ WITH {GAPS},
 env AS (SELECT repo, round_even(1 - count(gap) / count(*), 4) AS env_ratio FROM gaps GROUP BY repo),
 latest AS (
     SELECT user_id AS repo, max(ts) FILTER (event_type = 'view') AS doc, max(ts) AS code,
-           count(*) FILTER (ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY) AS recent FROM events GROUP BY user_id),
+           count(*) FILTER (ts >= newest - INTERVAL 1 DAY) AS recent
+    FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS newest FROM events) GROUP BY user_id),
 lag AS (SELECT *, CASE WHEN recent >= 3 THEN 1.0 ELSE 2.0 END AS grace, greatest(0, epoch_us(code) - epoch_us(doc)) / 86400000000 AS age FROM latest),
 rec AS (
     SELECT repo, CASE WHEN doc IS NULL OR age <= grace THEN 1.0 ELSE round_even(greatest(0, 1 - (age - grace) / grace), 4) END AS recency_ratio

@@ -127,8 +127,8 @@ WITH parts AS (
            string_split_regex(text, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]') AS p
     FROM documents WHERE doc_id % 9 IN (0, 1)),
 trimmed AS (SELECT repo, name, text, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS p FROM parts)
-SELECT repo, name, len(p) AS lines_count,
-       CASE WHEN name = 'README.md' OR len(p) >= 200 THEN array_to_string(p[1:10], chr(10)) ELSE text END AS content
+SELECT repo, name, len(p) AS lines_count, text AS content,
+       CASE WHEN name = 'README.md' OR len(p) >= 200 THEN array_to_string(p[1:10], chr(10)) ELSE text END AS preview
 FROM trimmed""")
 def context_files(t: Tables) -> DataFrame:
     """Files named readme.md, agents.md or other.txt, in any case."""

@@ -128,8 +128,8 @@ class Scan:
         if self.facts.blame is None:
             return None
         keys = ["repo", "module"]
-        wanted = ownership.blame_candidates(self.visible.select("repo", "path", "size"))
-        owned = self.facts.blame.join(wanted.select("repo", "path"), ["repo", "path"], "left_semi")
+        wanted = self.visible.select("repo", "path").filter(paths.eligible_source(F.col("path")))
+        owned = self.facts.blame.join(wanted, ["repo", "path"], "left_semi")
         counts = ownership.line_counts(owned.withColumn("module", paths.module_key(F.col("path"))), keys)
         tagged = ownership.tag_commits(self.facts.commits.withColumnRenamed("hash", "sha"))
         signed = self.visible.filter(paths.eligible_source(F.col("path")) & labels.inline_signature(F.col("content")))
@@ -246,7 +246,7 @@ class Scan:
 
     @cached_property
     def hotspot_matrix(self) -> DataFrame:
-        return history.hotspot_matrix(self.churn, per_service=self.settings.max_hotspots)
+        return history.hotspot_matrix(self.churn)
 
     @cached_property
     def unified_risks(self) -> DataFrame:

@@ -58,12 +58,13 @@ def context_name(path: Column) -> Column:
 def context_files(
     files: DataFrame, repo: str = "repo", name: Column | None = None, content: str = "content", readme: Column | None = None
 ) -> DataFrame:
-    """Instruction files with their line count and a preview."""
+    """Instruction files, whole, with their line count and a preview: the first lines of READMEs and of long texts."""
     named = files.withColumn("__name", context_name(F.col("path")) if name is None else name)
     is_readme = F.col("__name") == README if readme is None else readme
     return named.filter(F.col("__name").isNotNull()).select(
         repo,
         F.col("__name").alias("name"),
-        text.preview(F.col(content), is_readme).alias("content"),
+        F.col(content).alias("content"),
+        text.preview(F.col(content), is_readme).alias("preview"),
         F.size(text.lines(F.col(content))).alias("lines_count"),
     )

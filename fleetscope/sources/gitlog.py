@@ -44,7 +44,7 @@ def parse_numstat(df: DataFrame, line: str = "line", keep: Sequence[str] = ("rep
     their new side."""
     def number(text: Column) -> Column:
         # a failing cast costs far more than a look at the digits
-        return F.when(text.rlike(r"^\d{1,18}$"), text.cast("bigint"))
+        return F.when(text.rlike(r"^\d+$"), text.try_cast("bigint"))
 
     def change(p: Column) -> Column:
         renamed = F.regexp_replace(F.get(p, 2), r"(?s)^.*? => ", "")

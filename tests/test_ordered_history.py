@@ -85,9 +85,9 @@ def test_collapse_runs(commits, block):
 
 def test_timeline_limits_in_order(commits):
     rows, df = commits
-    out = history.timeline(df, fetch=60, keep=10).orderBy("position").collect()
+    out = history.timeline(df.withColumn("date", F.to_date("ts")), keep=10).orderBy("position").collect()
     for repo, group in by_repo(rows).items():
-        kept = [r for r in group[-60:] if not re.match(r"(?i)(fix typo|wip|update|checkpoint|save|fix|refactor|cleanup|minor|test)", r[3])]
+        kept = [r for r in group if not re.match(r"(?i)(fix typo|wip|update|checkpoint|save|fix|refactor|cleanup|minor|test)", r[3])]
         assert [(r.subject, r.commits, r["hash"]) for r in out if r.repo == repo] == collapsed(kept)[:10]
 
 
@@ -98,6 +98,47 @@ def test_iterations_of_one_series(spark):
     assert got == [("redesign graph: 3 iterations", "2026-01-10 — 2026-01-15"), ("ship", "2026-01-09")]
 
 
+def test_timeline_reaches_behind_noise_and_long_runs(spark):
+    """Noise and runs of any length cost no row; whole blocks of one run are passed."""
+    subjects = ["first", "second b"] + [f"graph {n}" for n in range(300)] + ["wip"] * 120 + [f"graph {n}" for n in range(40)] + ["minor"] * 200 + ["last"]
+    rows = [("r", f"{n:04}", START + timedelta(hours=5 * n), s, "a") for n, s in enumerate(subjects)] + [("quiet", "x", START, "wip", "a"), ("r", "old", START - timedelta(days=9), "ancient", "a")]
+    df = spark.createDataFrame(rows, "repo string, hash string, ts timestamp, subject string, author string").withColumn("date", F.to_date("ts"))
+    got = [(r.subject, r.commits) for r in history.timeline(df, keep=3).orderBy("position").collect()]
+    assert got == [("last", 1), ("graph: 340 iterations", 340), ("second b", 1)]
+    assert [r.subject for r in history.timeline(df, keep=9).orderBy("position").collect()] == ["last", "graph: 340 iterations", "second b", "first", "ancient"]
+    few = history.newest_blocks(history.drop_noise(df), ["repo"], "subject", "date", 1)
+    assert few.filter("subject = 'ancient'").count() == 0 and few.count() > 300
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_timeline_against_whole_history(spark, seed):
+    rng = random.Random(seed)
+    words = ["graph 1", "graph 2", "Graph v3", "login a", "login b", "one", "wip", "two words", "fix"]
+    rows = [(f"r{n % 3}", f"{n:04}", START + timedelta(hours=rng.randrange(900)), rng.choice(words), "a") for n in range(400)]
+    df = spark.createDataFrame(rows, "repo string, hash string, ts timestamp, subject string, author string").withColumn("date", F.to_date("ts"))
+    whole = history.collapse_runs(history.drop_noise(df))
+    for keep in (1, 4, 30):
+        want = {}
+        for r in sorted(whole.collect(), key=lambda r: (r.ordering.ts, r.ordering.hash), reverse=True):
+            want.setdefault(r.repo, []).append((r.subject, r.commits, r["hash"], r.date))
+        got = {}
+        for r in history.timeline(df, keep=keep).orderBy("position").collect():
+            got.setdefault(r.repo, []).append((r.subject, r.commits, r["hash"], r.date))
+        assert got == {repo: runs[:keep] for repo, runs in want.items()}
+
+
+def test_clock_of_each_repository(spark):
+    rows = [("a", "x", START), ("a", "y", START - timedelta(days=40)), ("b", "x", START), ("b", "y", datetime(2099, 1, 1)), ("c", "z", datetime(2098, 1, 1)), ("c", "w", datetime(2097, 1, 1))]
+    df = spark.createDataFrame(rows, "repo string, path string, ts timestamp")
+    assert {(r.repo, r.path) for r in history.churn(df).collect()} == {("a", "x"), ("b", "x"), ("b", "y"), ("c", "z")}
+    assert {(r.repo, r.path) for r in history.churn(df, clock=[]).collect()} == {("a", "x"), ("b", "x"), ("b", "y"), ("c", "z"), ("c", "w")}
+    late = F.lit(datetime(2100, 1, 1)).cast("timestamp")
+    assert {tuple(r) for r in history.clocks(df, latest=late).collect()} == {("a", START), ("b", datetime(2099, 1, 1)), ("c", datetime(2098, 1, 1))}
+    assert history.churn(df.limit(0)).count() == 0
+    modules = history.module_churn(df.withColumn("path", F.concat(F.lit("src/"), "path")), eligible=df.filter("path <> 'x'").withColumn("path", F.concat(F.lit("src/"), "path")))
+    assert {(r.repo, r.changes) for r in modules.collect()} == {("a", 1), ("b", 1), ("c", 1)}
+
+
 def test_noise_has_no_word_boundary(spark):
     df = spark.createDataFrame([("r", s) for s in ["fixture data", "Testimonials page", "WIP", "Add tests", "Minor"]], "repo string, subject string")
     assert [r.subject for r in history.drop_noise(df).collect()] == ["Add tests"]
@@ -132,8 +173,9 @@ def test_hotspots_and_matrix(spark):
     counts = history.churn(df)
     top = history.hotspots(counts).filter("repo = 'a'").orderBy("rank").collect()
     assert [(r.path, r.changes) for r in top] == [("b", 3), ("x", 3), ("c", 2), ("d", 1), ("e", 1)]
-    matrix = history.hotspot_matrix(counts, per_service=2, limit=3).orderBy("rank").collect()
+    matrix = history.hotspot_matrix(counts, limit=3).orderBy("rank").collect()
     assert [(r["rank"], r.repo, r.path) for r in matrix] == [(1, "z", "q"), (2, "a", "b"), (3, "a", "x")]
+    assert [r.path for r in history.hotspot_matrix(counts).orderBy("rank").collect()] == ["q", "b", "x", "c", "d", "e", "f"]
     assert [r.path for r in history.sort_hotspots(counts, "path").collect()] == ["b", "c", "d", "e", "f", "q", "x"]
     with pytest.raises(ValueError):
         history.hotspots(counts, k=0)

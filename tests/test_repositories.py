@@ -337,7 +337,8 @@ def test_files_from_disk(spark, tmp_path):
     assert rows_of(files.filter("path = 'src/a.py'"), "content") == [("x = 'é'\n",)]
     assert rows_of(files.filter("is_binary"), "path", "content") == [("blob.bin", None)]
     got = file_source.context_files(files).first()
-    assert (got.name, got.lines_count, got.content) == ("README.md", 30, "\n".join(str(n) for n in range(10)))
+    assert (got.name, got.lines_count, got.preview) == ("README.md", 30, "\n".join(str(n) for n in range(10)))
+    assert got.content == "\n".join(str(n) for n in range(30))
 
 
 def test_whole_scan(spark, tmp_path):
