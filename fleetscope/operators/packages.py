@@ -143,7 +143,7 @@ def shared_occurrences(
 ) -> DataFrame:
     """Every occurrence of a shared package with the package's kind."""
     kinds = shared_dependencies(packages, keys, version).select(*keys, "kind")
-    return packages.join(kinds, list(keys)).select(*keys, "kind", service, version)
+    return join_groups(packages, kinds, keys, F.col(service)).select(*keys, "kind", service, version)
 
 
 def _package_key(ecosystem: Column, name: Column) -> Column:

@@ -14,8 +14,12 @@ QUERIES = Registry()
 
 # file name -> content; {k} is the part key, {s} its size
 TEMPLATES = [
-    ("package.json", '{"dependencies": {"d{k}": "^1.{s}.0", "e{k}": 5}, "devDependencies": {"w{k}": "workspace:*", "x{k}": "2.{s}"}}'),
-    ("composer.json", '{"require": {"php": ">=8", "a/d{k}": "~1.{s}"}, "require-dev": {"a/x{k}": "2.{s}"}}'),
+    (
+        "package.json",
+        '{"dependencies": {"old{k}": "9"}, "dependencies": {"d{k}": "^0.1", "e{k}": 5, "d{k}": "^1.{s}.0"}, "name": "n", "name": "m", '
+        '"devDependencies": {"w{k}": "workspace:*", "x{k}": "2.{s}"}}',
+    ),
+    ("composer.json", '{"require": {"php": ">=8", "a/d{k}": "~1.{s}"}, "require-dev": [], "require-dev": {"a/x{k}": 3, "a/x{k}": "2.{s}"}}'),
     ("requirements.txt", "# all\n-r base.txt\nd{k}==1.{s}\n\nx{k}[y]>=2.{s};python\nplain{k}\n"),
     ("go.mod", "module m{k}\n\ngo 1.22\nrequire one/d{k} v1.{s}.0\nrequire (\n\ttwo/x{k} v2.{s}.0\n\t// note\n\tthree/i v1 // indirect\n)\n"),
     ("Gemfile", "gem 'd{k}', '~> 1.{s}'\n  gem \"plain{k}\"\n# gem 'z'\n"),

@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.functions import paths, versions
+from fleetscope.functions import documents, paths, versions
 from fleetscope.functions.text import let, lines, strip
 
 ENTRY = "array<struct<ecosystem:string,dependency:string,name:string,spec:string>>"
@@ -60,21 +60,15 @@ def _stripped_lines(text: Column) -> Column:
 
 def json_entries(content: Column, ecosystem: str, sections: list[str]) -> Column:
     """Every key of the sections is a dependency; only string values carry a specification."""
-    document = F.try_parse_json(content)
 
     def of(section: str) -> Column:
-        pairs = F.map_entries(F.try_variant_get(document, f"$['{section}']", "map<string,variant>"))
         return F.transform(
-            F.coalesce(pairs, F.array().cast("array<struct<key:string,value:variant>>")),
-            lambda e: _entry(
-                ecosystem,
-                e["key"],
-                e["key"],
-                F.when(F.schema_of_variant(e["value"]) == "STRING", F.try_variant_get(e["value"], "$", "string")),
-            ),
+            documents.members(content, section),
+            lambda e: _entry(ecosystem, e["key"], e["key"], F.when(e["is_string"], e["text"])),
         )
 
-    return F.concat(*[of(section) for section in sections])
+    listed = F.concat(*[of(section) for section in sections])
+    return F.when(documents.malformed_json(content), F.array().cast(ENTRY)).otherwise(listed)
 
 
 def requirements_entries(content: Column) -> Column:
@@ -218,7 +212,7 @@ def read_manifests(files: DataFrame, repo: str = "repo", path: str = "path", con
         .when(name == "pom.xml", pom_entries(text))
         .when(name == "poetry.lock", F.array().cast(ENTRY))
     )
-    malformed = F.when(name.isin(list(JSON_SECTIONS)), F.try_parse_json(text).isNull()).otherwise(
+    malformed = F.when(name.isin(list(JSON_SECTIONS)), documents.malformed_json(text)).otherwise(
         (name == "pom.xml") & xml_malformed(text)
     )
     plain_names = [

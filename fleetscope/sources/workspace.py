@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.functions import paths
+from fleetscope.functions import documents, paths
 from fleetscope.functions.text import let, lines, strip
+from fleetscope.operators.ordered import join_groups
 
 # Definition files in order of precedence.
 DEFINITIONS = ["pnpm-workspace.yaml", "pnpm-workspace.yml", "lerna.json", "package.json", "Cargo.toml"]
@@ -41,8 +42,8 @@ def yaml_patterns(content: Column) -> Column:
 
 def json_patterns(content: Column, *fields: str) -> Column:
     """The first of the fields that holds a list."""
-    document = F.try_parse_json(content)
-    found = F.coalesce(*[F.try_variant_get(document, f"$.{field}", _NONE) for field in fields])
+    lists = F.coalesce(*[documents.string_list(content, *field.split(".")) for field in fields])
+    found = F.when(~documents.malformed_json(content), lists)
     return F.transform(F.filter(found, lambda p: strip(p) != ""), clean_pattern)
 
 
@@ -97,7 +98,7 @@ def workspace_members(
 
     any_pattern = F.concat(F.lit("^(?:"), F.array_join(F.transform("patterns", folder_regex), "|"), F.lit(")$"))
     hits = (
-        folders.join(patterns.select(repo, any_pattern.alias("__regex")), repo)
+        join_groups(folders, patterns.select(repo, any_pattern.alias("__regex")), [repo], F.col("folder"))
         .filter(F.rlike("folder", F.col("__regex")) & (F.substring_index("folder", "/", -1) != "node_modules"))
         .select(repo, F.substring_index("folder", "/", -1).alias("name"), F.concat("folder", F.lit("/")).alias("prefix"))
     )
