@@ -341,6 +341,13 @@ def env_ratio(gaps: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:
     )
 
 
+def env_example(files: DataFrame, repo: str = "repo", path: str = "path") -> DataFrame:
+    """``repo, example``: the example file that findings are reported under, the first of the fixed order."""
+    place = F.array_position(paths.literals(ENV_EXAMPLES), F.col(path))
+    found = files.filter(F.col(path).isin(ENV_EXAMPLES))
+    return found.groupBy(repo).agg(F.min_by(path, place).alias("example"))
+
+
 def env_items(
     gaps: DataFrame, keys: Sequence[str] = ("repo",), key: str = "key", example: Column | None = None
 ) -> DataFrame:

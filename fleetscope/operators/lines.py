@@ -88,6 +88,33 @@ def scan_secrets(
     return numbered.select(*keep, "line_no", verdict.alias("confidence")).filter(F.col("confidence").isNotNull())
 
 
+def _named(column: Column, markers: Sequence[str]) -> Column:
+    return paths.any_of([F.contains(column, F.lit(m)) for m in markers])
+
+
+def may_hold_finding(text: Column, path: Column, markers: Sequence[str] = MARKERS) -> Column:
+    """Plain tests that every text or line with a marker or secret passes."""
+    return _named(text, markers) | ((paths.suffix(path) != CSV_SUFFIX) & secrets.may_hold_secret(text))
+
+
+def line_findings(
+    line: Column, path: Column, markers: Sequence[str] = MARKERS, cutoff: float = secrets.ENTROPY_CUTOFF, custom: Sequence[tuple[str, str]] = ()
+) -> Column:
+    """``array<struct<kind, marker, confidence>>``: the marker and the secret of a line, as far as it has them."""
+    pattern = marker_pattern(markers)
+    marker = F.when(
+        _named(line, markers) & line.rlike(pattern),
+        F.struct(F.lit("markers").alias("kind"), F.regexp_extract(line, pattern, 1).alias("marker"), F.lit("LOW").alias("confidence")),
+    )
+    level = secrets.line_confidence(line, path, cutoff, custom)
+    secret = F.filter(
+        F.array(F.struct(F.lit("secrets").alias("kind"), F.lit("").alias("marker"), level.alias("confidence"))),
+        lambda s: s["confidence"].isNotNull(),
+    )
+    secret = F.when((paths.suffix(path) != CSV_SUFFIX) & secrets.may_hold_secret(line), F.get(secret, 0))
+    return F.array_compact(F.array(marker, secret))
+
+
 def scan_findings(
     df: DataFrame,
     text: str = "content",
@@ -101,28 +128,10 @@ def scan_findings(
 
     The same rows as :func:`scan_markers` and :func:`scan_secrets` together, at the cost of one scan.
     """
-    name, content, line = F.col(path).cast("string"), F.col(text), F.col("line")
-    pattern = marker_pattern(markers)
-
-    def named(column: Column) -> Column:
-        return paths.any_of([F.contains(column, F.lit(m)) for m in markers])
-
-    def may_hold(column: Column) -> Column:
-        return (paths.suffix(name) != CSV_SUFFIX) & secrets.may_hold_secret(column)
-
-    numbered = explode_lines(df.filter(named(content) | may_hold(content)), text, dict.fromkeys([*keep, path]))
-    marker = F.when(
-        named(line) & line.rlike(pattern),
-        F.struct(F.lit("markers").alias("kind"), F.regexp_extract(line, pattern, 1).alias("marker"), F.lit("LOW").alias("confidence")),
-    )
-    level = secrets.line_confidence(line, name, cutoff, custom)
-    secret = F.filter(
-        F.array(F.struct(F.lit("secrets").alias("kind"), F.lit("").alias("marker"), level.alias("confidence"))),
-        lambda s: s["confidence"].isNotNull(),
-    )
-    secret = F.when(may_hold(line), F.get(secret, 0))
-    found = F.array_compact(F.array(marker, secret))
-    return numbered.filter(named(line) | may_hold(line)).select(*keep, "line_no", F.inline(found))
+    name, line = F.col(path).cast("string"), F.col("line")
+    numbered = explode_lines(df.filter(may_hold_finding(F.col(text), name, markers)), text, dict.fromkeys([*keep, path]))
+    found = line_findings(line, name, markers, cutoff, custom)
+    return numbered.filter(may_hold_finding(line, name, markers)).select(*keep, "line_no", F.inline(found))
 
 
 def path_references(

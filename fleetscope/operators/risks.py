@@ -1,7 +1,7 @@
 """Findings as risk rows, their union, filters, counts and the checklist built from them.
 
-A risk row is ``(repo, source, position, severity, message, confidence)``; ``position`` is the fixed
-place of its source in the report.
+A risk row is ``(repo, source, position, severity, message, confidence)`` and what it is about, ``path, line_no,
+package, detail``, each NULL where it has none; ``position`` is the fixed place of its source in the report.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions import confidence, paths
+from fleetscope.session import Workspace
 
 SEVERITIES = ["critical", "warning", "info"]
 # Report order of the sources.
@@ -25,6 +26,10 @@ POSITIONS = {
     "skipped": 7,
     "vulnerabilities": 8,
 }
+#: What a risk is about; ``detail`` holds the versions of a conflict and the identifier of an advisory.
+IDENTITY = {"path": "string", "line_no": "long", "package": "string", "detail": "string"}
+REPORTED = ["source", "severity", "message", "confidence"]
+# The words of the report.
 MISSING_TESTS = "Missing tests directory (`tests/`, `test/`, or `__tests__/`)."
 SKIPPED_CHECK = "Skipping remote vulnerability check (offline/timeout)"
 DEFAULT_STEP = "Review the sections above and validate the project setup."
@@ -33,20 +38,24 @@ DEFAULT_FLEET_STEP = "Review the system sections above and validate each service
 
 def risk_rows(
     df: DataFrame,
-    source: str,
+    source: Column | str,
     severity: Column | str,
     message: Column,
     level: Column | str,
     keys: Sequence[str] = ("repo",),
+    position: Column | None = None,
+    **about: Column | str,
 ) -> DataFrame:
+    """``about`` names columns of :data:`IDENTITY`."""
     lit = lambda value: F.lit(value) if isinstance(value, str) else value
+    place = F.lit(POSITIONS.get(source, POSITIONS["external"])) if isinstance(source, str) else position
+    identity = [
+        (F.lit(None) if name not in about else F.col(about[name]) if isinstance(about[name], str) else about[name]).cast(kind).alias(name)
+        for name, kind in IDENTITY.items()
+    ]
     return df.select(
-        *keys,
-        F.lit(source).alias("source"),
-        F.lit(POSITIONS.get(source, POSITIONS["external"])).alias("position"),
-        lit(severity).alias("severity"),
-        message.alias("message"),
-        lit(level).alias("confidence"),
+        *keys, lit(source).alias("source"), place.alias("position"), lit(severity).alias("severity"), message.alias("message"),
+        lit(level).alias("confidence"), *identity,
     )
 
 
@@ -65,36 +74,31 @@ def secret_risks(
         _place(path, line),
     )
     severity = F.when(fixture, "warning").otherwise("critical")
-    return risk_rows(findings, "secrets", severity, message, F.col("confidence"), keys)
+    return risk_rows(findings, "secrets", severity, message, F.col("confidence"), keys, path=path, line_no=line)
 
 
 def marker_risks(
     findings: DataFrame, keys: Sequence[str] = ("repo",), path: str = "path", line: str = "line_no"
 ) -> DataFrame:
     message = F.concat(F.col("marker"), F.lit(" in "), _place(path, line))
-    return risk_rows(findings, "markers", "info", message, F.col("confidence"), keys)
+    return risk_rows(findings, "markers", "info", message, F.col("confidence"), keys, path=path, line_no=line)
 
 
 def finding_risks(
-    findings: DataFrame, keys: Sequence[str] = ("repo",), path: str = "path", line: str = "line_no"
+    findings: DataFrame, keys: Sequence[str] = ("repo",), path: str = "path", line: str = "line_no", in_test: Column | None = None
 ) -> DataFrame:
     """Risk rows of :func:`fleetscope.operators.lines.scan_findings`, without reading it twice."""
     secret = F.col("kind") == "secrets"
-    fixture = paths.test_path(F.col(path).cast("string"))
+    fixture = paths.test_path(F.col(path).cast("string")) if in_test is None else in_test
     message = F.concat(
         F.when(~secret, F.concat(F.col("marker"), F.lit(" in ")))
         .when(fixture, F.lit("Hard-coded secret-like value in test/example file "))
         .otherwise(F.lit("Hard-coded secret in ")),
         _place(path, line),
     )
-    return findings.select(
-        *keys,
-        F.col("kind").alias("source"),
-        F.when(secret, POSITIONS["secrets"]).otherwise(POSITIONS["markers"]).alias("position"),
-        F.when(~secret, "info").when(fixture, "warning").otherwise("critical").alias("severity"),
-        message.alias("message"),
-        "confidence",
-    )
+    severity = F.when(~secret, "info").when(fixture, "warning").otherwise("critical")
+    position = F.when(secret, POSITIONS["secrets"]).otherwise(POSITIONS["markers"])
+    return risk_rows(findings, F.col("kind"), severity, message, F.col("confidence"), keys, position, path=path, line_no=line)
 
 
 def missing_tests(
@@ -116,11 +120,11 @@ def conflict_risks(conflicts: DataFrame, keys: Sequence[str] = ("repo",)) -> Dat
         F.lit("Duplicate dependency `"), F.col("package"), F.lit("` with conflicting versions: "),
         F.array_join("versions", ", "), F.lit("."),
     )
-    return risk_rows(conflicts, "dependency-conflicts", "warning", message, "MEDIUM", keys)
+    return risk_rows(conflicts, "dependency-conflicts", "warning", message, "MEDIUM", keys, package="package", detail=F.array_join("versions", ", "))
 
 
 def manifest_risks(warnings: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:
-    return risk_rows(warnings, "manifests", "warning", F.col("message"), "HIGH", keys)
+    return risk_rows(warnings, "manifests", "warning", F.col("message"), "HIGH", keys, path="manifest")
 
 
 def skipped_check_risks(repos: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:
@@ -134,7 +138,7 @@ def vulnerability_message() -> Column:
 
 
 def vulnerability_risks(findings: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:
-    return risk_rows(findings, "vulnerabilities", F.col("severity"), vulnerability_message(), F.col("confidence"), keys)
+    return risk_rows(findings, "vulnerabilities", F.col("severity"), vulnerability_message(), F.col("confidence"), keys, package="package", detail="id")
 
 
 def risk_map(parts: Sequence[DataFrame], minimum: str = "medium") -> DataFrame:
@@ -190,25 +194,19 @@ def _steps(df: DataFrame, section: int, step: Column, keys: Sequence[str]) -> Da
 
 
 def risk_steps(risks: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:
-    """Actions for secrets, missing tests and conflicts, read off the risk messages."""
-    message = F.col("message")
-    place = F.regexp_extract(message, r"(?s)^(?:Hard-coded secret in |Hard-coded secret-like value in test/example file )(.*)$", 1)
-    at = F.concat(F.substring_index(place, ":", 1), F.lit(" (line "), F.regexp_extract(place, r"(?s)^[^:]*:(.*)$", 1), F.lit(")"))
-    package = F.regexp_extract(message, r"^Duplicate dependency `([^`]*)`", 1)
-    versions = F.regexp_replace(F.regexp_extract(message, r"conflicting versions: (.*)$", 1), r"\.+$", "")
+    """Actions for secrets, missing tests and conflicts, from what the risks are about."""
+    at = F.concat(F.col("path"), F.lit(" (line "), F.col("line_no").cast("string"), F.lit(")"))
+    source, severity = F.col("source"), F.col("severity")
     step = (
-        F.when(
-            message.startswith("Hard-coded secret in "),
-            F.concat(F.lit("Review and rotate hard-coded credentials in "), at, F.lit(".")),
-        )
+        F.when((source == "secrets") & (severity == "critical"), F.concat(F.lit("Review and rotate hard-coded credentials in "), at, F.lit(".")))
         .when(
-            message.startswith("Hard-coded secret-like value in test/example file "),
+            source == "secrets",
             F.concat(F.lit("Confirm the secret-like value in "), at, F.lit(" is a test fixture, not a live credential.")),
         )
-        .when(message.contains("Missing tests directory"), F.lit("Add a `tests/` directory and cover critical paths."))
+        .when(source == "missing-tests", F.lit("Add a `tests/` directory and cover critical paths."))
         .when(
-            message.startswith("Duplicate dependency `"),
-            F.concat(F.lit("Resolve version conflict for `"), package, F.lit("`: "), versions, F.lit(".")),
+            source == "dependency-conflicts",
+            F.concat(F.lit("Resolve version conflict for `"), F.col("package"), F.lit("`: "), F.col("detail"), F.lit(".")),
         )
     )
     return _steps(risks, 1, step, keys).filter(F.col("step").isNotNull())
@@ -225,11 +223,13 @@ def checklist(
     minimum: str = "medium",
     incremental: bool = False,
     default: str = DEFAULT_STEP,
+    workspace: Workspace | None = None,
 ) -> DataFrame:
     """Ordered actions per repository as (keys, section, step).
 
     Sections: 1 risks, 2 upgrades, 3 frameworks, 4 hotspots, 5 stale paths, 6 stack documentation,
-    7 environment documentation; 8 is the default of a repository without any.
+    7 environment documentation; 8 is the default of a repository without any. With a ``workspace`` the
+    steps are made once for both.
     """
     keys = list(keys)
     parts = [risk_steps(risks, keys)]
@@ -259,6 +259,8 @@ def checklist(
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
+    if workspace is not None:
+        out = workspace.table("steps", out)
     idle = repos.select(*keys).distinct().join(out.select(*keys).distinct(), keys, "left_anti")
     return out.unionByName(_steps(idle, 8, F.lit(default), keys))
 

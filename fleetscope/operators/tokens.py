@@ -15,13 +15,13 @@ HISTORY_MESSAGES = 20
 CHAT_ROLES = ["user", "assistant"]
 
 
-def corpus_tokens(files: DataFrame, key: str = "repo", content: str = "content") -> DataFrame:
-    """Estimated tokens per repository, and of the fleet in the row with ``is_total``.
+def corpus_tokens(files: DataFrame, key: str = "repo", content: str = "content", estimate: Column | None = None) -> DataFrame:
+    """Estimated tokens per repository, and of the fleet in the row with ``is_total``; ``estimate`` names
+    the tokens of a file where they are known.
 
     The rollup runs over one row per repository, not over doubled file rows."""
-    per_key = files.groupBy(key).agg(
-        F.sum(text.token_estimate(F.col(content))).alias("__t"), F.count(F.lit(1)).alias("__n")
-    )
+    counted = text.token_estimate(F.col(content)) if estimate is None else estimate
+    per_key = files.groupBy(key).agg(F.sum(counted).alias("__t"), F.count(F.lit(1)).alias("__n"))
     return per_key.rollup(key).agg(
         F.sum("__t").alias("tokens"), F.sum("__n").alias("files"), (F.grouping(key) == 1).alias("is_total")
     )

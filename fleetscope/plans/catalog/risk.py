@@ -30,12 +30,15 @@ def parts(t: Tables) -> list[DataFrame]:
     found = files(t)
     fixture = F.col("path").rlike("^k[0-9]/")
     return [
-        risks.secret_risks(lines.scan_secrets(found), in_test=fixture),
-        risks.marker_risks(lines.scan_markers(found, markers=MARKER_WORDS)),
+        risks.finding_risks(lines.scan_findings(found, markers=MARKER_WORDS), in_test=fixture),
         risks.missing_tests_risks(risks.missing_tests(found, roots=TEST_ROOTS)),
     ]
 
 
+def reported(rows: DataFrame) -> DataFrame:
+    return rows.select("repo", *risks.REPORTED)
+
+
 #: risks(repo, source, severity, message, confidence), all confidences
 RISKS = f"""
 WITH {SECRETS}, {MARKERS},
@@ -64,12 +67,12 @@ def risk_counts(t: Tables) -> DataFrame:
 
 @QUERIES.query("risk_map", RISKS + "SELECT * FROM risks WHERE confidence IN ('MEDIUM', 'HIGH')")
 def risk_map(t: Tables) -> DataFrame:
-    return risks.risk_map(parts(t), "medium").drop("position")
+    return reported(risks.risk_map(parts(t), "medium"))
 
 
 @QUERIES.query("confidence_filter", RISKS + "SELECT * FROM risks WHERE confidence = 'HIGH'")
 def confidence_filter(t: Tables) -> DataFrame:
-    return risks.risk_map(parts(t), "high").drop("position")
+    return reported(risks.risk_map(parts(t), "high"))
 
 
 @QUERIES.query("risk_search", RISKS + """

@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fleetscope.functions import secrets
 from fleetscope.operators import lines, packages, risks
+from fleetscope.session import Workspace
 
 RISK_COLUMNS = ("severity", "message", "confidence")
 
@@ -59,7 +60,15 @@ class Detector:
     scan: Callable[[Context], DataFrame]
 
 
+def _told(context: Context, kind: str) -> DataFrame | None:
+    """The findings of a kind where a scan has made them already."""
+    found = context.tables.get("findings")
+    return None if found is None else risks.finding_risks(found.filter(F.col("kind") == kind), context.keys)
+
+
 def _secrets(context: Context) -> DataFrame:
+    if (told := _told(context, "secrets")) is not None:
+        return told
     options = context.settings
     found = lines.scan_secrets(
         context["files"], keep=[*context.keys, "path"], cutoff=options.entropy_cutoff, custom=options.secret_patterns
@@ -68,16 +77,21 @@ def _secrets(context: Context) -> DataFrame:
 
 
 def _markers(context: Context) -> DataFrame:
+    if (told := _told(context, "markers")) is not None:
+        return told
     found = lines.scan_markers(context["files"], keep=[*context.keys, "path"], markers=context.settings.markers)
     return risks.marker_risks(found, context.keys)
 
 
 def _line_findings(context: Context) -> DataFrame:
+    """Both kinds of line findings in one pass, or from the table ``findings`` where a scan has made it."""
     options = context.settings
-    found = lines.scan_findings(
-        context["files"], keep=[*context.keys, "path"], markers=options.markers,
-        cutoff=options.entropy_cutoff, custom=options.secret_patterns,
-    )
+    found = context.tables.get("findings")
+    if found is None:
+        found = lines.scan_findings(
+            context["files"], keep=[*context.keys, "path"], markers=options.markers,
+            cutoff=options.entropy_cutoff, custom=options.secret_patterns,
+        )
     return risks.finding_risks(found, context.keys)
 
 
@@ -114,44 +128,59 @@ def resolve(
     return list(out.values())
 
 
-def _checked(detector: Detector, context: Context, probe: bool) -> DataFrame:
+def _shaped(detector: Detector, context: Context) -> DataFrame:
     rows = detector.scan(context)
     missing = {*context.keys, *RISK_COLUMNS} - set(rows.columns)
     if missing:
         raise ValueError(f"columns {sorted(missing)} are missing")
-    shaped = risks.risk_rows(
-        rows, detector.name, F.col("severity"), F.col("message"), F.col("confidence"), context.keys
-    )
-    if probe:
-        shaped.write.format("noop").mode("overwrite").save()
-    return shaped
+    about = {name: name for name in risks.IDENTITY if name in rows.columns}
+    return risks.risk_rows(rows, detector.name, F.col("severity"), F.col("message"), F.col("confidence"), context.keys, **about)
+
+
+@dataclass
+class Outcome:
+    """What detectors have found: the union of their rows, the failures and, where parts were written, the
+    number of rows, both by detector name."""
+
+    rows: DataFrame | None = None
+    failures: dict[str, str] = field(default_factory=dict)
+    counts: dict[str, int] = field(default_factory=dict)
+
+    def __iter__(self):  # noqa: ANN204
+        return iter((self.rows, self.failures))
 
 
-def run(
-    detectors: Sequence[Detector], context: Context, probe_external: bool = False
-) -> tuple[DataFrame | None, dict[str, str]]:
-    """Union of all risk rows, and the failures by detector name.
+def run(detectors: Sequence[Detector], context: Context, workspace: Workspace | None = None) -> Outcome:
+    """Rows and failures of all detectors; one that fails contributes nothing but a warning.
 
-    Spark is lazy: building the plan catches errors of names, types and Python code. With
-    ``probe_external`` detectors that are not built in are also executed once, at the price of a
-    second run, so that one that only fails on the data is left out too.
+    Spark is lazy: building a plan catches errors of names, types and Python code alone. With a ``workspace``
+    each detector writes its own part, once, so that one that fails on the data, even on its last row, is
+    left out whole as well, and the rows of the others are read from their parts.
     """
-    known = {d.name for d in BUILT_IN if d in detectors}
-    out, failures = None, {}
+    built_in = {d.name: d for d in BUILT_IN}
     fused = [d for d in detectors if d in BUILT_IN[:2]]
+    jobs: list[tuple[str, Callable[[], DataFrame]]] = []
     if len(fused) == 2:
         # both read every line: one pass serves them
-        out = _line_findings(context)
+        jobs.append(("secrets, markers", lambda: _line_findings(context)))
         detectors = [d for d in detectors if d not in fused]
-    for detector in detectors:
+    jobs += [(d.name, lambda d=d: d.scan(context) if built_in.get(d.name) == d else _shaped(d, context)) for d in detectors]
+    out = Outcome()
+    for number, (name, build) in enumerate(jobs):
         try:
-            rows = _checked(detector, context, probe_external and detector.name not in known)
+            rows = build()
+            if workspace is not None:
+                seen = Observation(f"rows of {name}")
+                rows = workspace.table(f"risks-{number}", rows.observe(seen, F.count(F.lit(1)).alias("rows")))
+                out.counts[name] = seen.get["rows"]
         except Exception as error:  # noqa: BLE001  one detector must not end the scan
-            failures[detector.name] = f"{type(error).__name__}: {error}"
-            warnings.warn(f"detector {detector.name!r} failed: {failures[detector.name]}", stacklevel=2)
+            out.failures[name] = f"{type(error).__name__}: {error}"
+            warnings.warn(f"detector {name!r} failed: {out.failures[name]}", stacklevel=2)
+            if workspace is not None:
+                workspace.drop(f"risks-{number}")
             continue
-        out = rows if out is None else out.unionByName(rows)
-    return out, failures
+        out.rows = rows if out.rows is None else out.rows.unionByName(rows)
+    return out
 
 
 def describe(detectors: Sequence[Detector]) -> list[dict[str, Any]]:

@@ -19,9 +19,11 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.functions import labels, paths
+from fleetscope.functions import paths
 from fleetscope.operators import drift, fleet, history, lines, ownership, packages, risks, scope, tokens
 from fleetscope.plans import detectors
+from fleetscope.plans.facts import content_facts
+from fleetscope.session import Workspace
 from fleetscope.sources import files as file_source
 from fleetscope.sources import manifests, sinks
 
@@ -40,24 +42,45 @@ class Facts:
 
 @dataclass
 class Scan:
-    """Report tables of a fleet. Every attribute is a DataFrame that is only computed when used."""
+    """Report tables of a fleet. Every attribute is a DataFrame that is only computed when used.
+
+    With a ``workspace`` contents are read once: what is read off them, the visible files, the manifests and the
+    risks are kept as tables, from which counts, status, checklist and payload are made, until it is closed.
+    """
 
     facts: Facts
     settings: detectors.Settings = detectors.Settings()
     external: Iterable[detectors.Detector] = ()
     disabled: Iterable[str] = ()
     as_of: Column | None = None
+    workspace: Workspace | None = None
+
+    # facts ------------------------------------------------------------------------------------------
+
+    def _kept(self, name: str, df: DataFrame) -> DataFrame:
+        return df if self.workspace is None else self.workspace.table(name, df)
+
+    @cached_property
+    def content_facts(self) -> DataFrame:
+        """The one pass over the contents; everything below reads its narrow rows."""
+        return self._kept("facts", content_facts(self.facts.files, self.settings))
+
+    @cached_property
+    def all_files(self) -> DataFrame:
+        """A row per file, with the content of the small files that are read further."""
+        return self.content_facts.filter("line_no = 0").drop("line_no", "kind", "marker", "confidence")
 
     # scope ------------------------------------------------------------------------------------------
 
     @cached_property
     def repos(self) -> DataFrame:
-        return self.facts.files.select("repo").union(self.facts.commits.select("repo")).distinct()
+        return self.all_files.select("repo").union(self.facts.commits.select("repo")).distinct()
 
     @cached_property
     def visible(self) -> DataFrame:
         """Files that no ignore rule hides."""
-        return scope.drop_ignored(self.facts.files, rules=scope.ignore_rules(self.facts.files))
+        rules = scope.ignore_rules(self.all_files)
+        return self._kept("visible", scope.drop_ignored(self.all_files, rules=rules))
 
     @cached_property
     def scanned(self) -> DataFrame:
@@ -66,21 +89,24 @@ class Scan:
 
     @cached_property
     def scope_counts(self) -> DataFrame:
-        return scope.scope_counts(self.facts.files, self.facts.changed)
+        return scope.scope_counts(self.all_files.select("repo", "path"), self.facts.changed)
 
     @cached_property
     def context_files(self) -> DataFrame:
-        return file_source.context_files(self.facts.files)
-
-    # stack ------------------------------------------------------------------------------------------
+        return file_source.context_files(self.all_files)
 
     @cached_property
-    def _near(self) -> DataFrame:
-        return self.scanned
+    def findings(self) -> DataFrame:
+        """Markers and secrets of the scanned text files."""
+        names = self.scanned.filter("is_text").select("repo", "path")
+        found = self.content_facts.filter("kind IS NOT NULL").select("repo", "path", "line_no", "kind", "marker", "confidence")
+        return found.join(names, ["repo", "path"], "left_semi")
+
+    # stack ------------------------------------------------------------------------------------------
 
     @cached_property
     def manifests(self) -> DataFrame:
-        return manifests.read_manifests(self._near)
+        return self._kept("manifests", manifests.read_manifests(self.scanned))
 
     @cached_property
     def packages(self) -> DataFrame:
@@ -92,11 +118,11 @@ class Scan:
 
     @cached_property
     def languages(self) -> DataFrame:
-        return packages.languages(self._near)
+        return packages.languages(self.scanned)
 
     @cached_property
     def frameworks(self) -> DataFrame:
-        return packages.frameworks(self.dependencies, self._near)
+        return packages.frameworks(self.dependencies, self.scanned)
 
     @cached_property
     def stack(self) -> DataFrame:
@@ -106,7 +132,7 @@ class Scan:
     def vulnerabilities(self) -> DataFrame | None:
         if self.facts.advisories is None:
             return None
-        return packages.match_advisories(self.packages, self.facts.advisories)
+        return self._kept("vulnerabilities", packages.match_advisories(self.packages, self.facts.advisories))
 
     # history ----------------------------------------------------------------------------------------
 
@@ -132,7 +158,7 @@ class Scan:
         owned = self.facts.blame.join(wanted, ["repo", "path"], "left_semi")
         counts = ownership.line_counts(owned.withColumn("module", paths.module_key(F.col("path"))), keys)
         tagged = ownership.tag_commits(self.facts.commits.withColumnRenamed("hash", "sha"))
-        signed = self.visible.filter(paths.eligible_source(F.col("path")) & labels.inline_signature(F.col("content")))
+        signed = self.visible.filter("signed")
         return ownership.module_ownership(
             ownership.top_contributors(ownership.shares(ownership.owned_lines(counts, keys), keys), keys),
             ownership.ai_lines(counts, tagged, keys, inline_files=signed),
@@ -146,14 +172,14 @@ class Scan:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return drift.documents(self.facts.files)
+        return drift.documents(self.visible)
 
     @cached_property
     def _paths_checked(self) -> DataFrame:
         counted = drift.reference_counts(lines.path_references(self.docs))
         names = list(packages.MANIFEST_LANGUAGES)
-        found = self._near.filter(paths.basename(F.col("path")).isin(names)).select("repo", "path")
-        return drift.checked_references(counted, drift.existing_paths(self.facts.files), found)
+        found = self.scanned.filter(paths.basename(F.col("path")).isin(names)).select("repo", "path")
+        return drift.checked_references(counted, drift.existing_paths(self.all_files), found)
 
     @cached_property
     def _stack_checked(self) -> DataFrame:
@@ -162,13 +188,15 @@ class Scan:
 
     @cached_property
     def _env_gaps(self) -> DataFrame:
-        examples = self.facts.files.filter(F.col("path").isin(drift.ENV_EXAMPLES))
+        examples = self.all_files.filter(F.col("path").isin(drift.ENV_EXAMPLES))
         return drift.env_gaps(lines.env_definitions(examples, "content"), lines.env_references(self.docs))
 
     @cached_property
     def drift(self) -> DataFrame:
         return drift.drift_items(
-            drift.path_items(self._paths_checked), drift.stack_items(self._stack_checked), drift.env_items(self._env_gaps)
+            drift.path_items(self._paths_checked), drift.stack_items(self._stack_checked), drift.env_items(
+                self._env_gaps.join(drift.env_example(self.all_files), "repo"), example=F.col("example")
+            )
         )
 
     @cached_property
@@ -187,9 +215,10 @@ class Scan:
     # risks ------------------------------------------------------------------------------------------
 
     @cached_property
-    def _detected(self) -> tuple[DataFrame | None, dict[str, str]]:
+    def _detected(self) -> detectors.Outcome:
         tables = {
-            "files": scope.text_files(self.scanned),
+            "files": scope.text_files(self.facts.files.join(self.scanned.select("repo", "path"), ["repo", "path"], "left_semi")),
+            "findings": self.findings,
             "requirements": manifests.conflict_requirements(self.scanned),
             "touches": self.facts.touches,
             "commits": self.facts.commits,
@@ -201,26 +230,31 @@ class Scan:
             detectors.Detector(d.name, d.description, self._missing_tests) if d.name == "missing-tests" else d
             for d in detectors.BUILT_IN
         ]
-        return detectors.run(detectors.resolve(self.external, self.disabled, built_in), context)
+        return detectors.run(detectors.resolve(self.external, self.disabled, built_in), context, self.workspace)
 
     def _missing_tests(self, context: detectors.Context) -> DataFrame:
         """Over all files of a repository: the folder counts even where nothing in it is scanned."""
-        return risks.missing_tests_risks(risks.missing_tests(self.facts.files))
+        return risks.missing_tests_risks(risks.missing_tests(self.all_files))
 
     @property
     def failures(self) -> dict[str, str]:
-        return self._detected[1]
+        return self._detected.failures
 
     @cached_property
-    def risks(self) -> DataFrame:
+    def all_risks(self) -> DataFrame:
+        """Risks of all sources and confidences; with a workspace the table that everything below reads."""
         parts = [risks.manifest_risks(manifests.manifest_errors(self.manifests))]
-        if self._detected[0] is not None:
-            parts.insert(0, self._detected[0])
+        if self._detected.rows is not None:
+            parts.insert(0, self._detected.rows)
         if self.vulnerabilities is not None:
             parts.append(risks.vulnerability_risks(self.vulnerabilities))
         else:
             parts.append(risks.skipped_check_risks(self.repos))
-        return risks.risk_map(parts, self.settings.min_confidence)
+        return self._kept("risks", risks.risk_map(parts, "low"))
+
+    @cached_property
+    def risks(self) -> DataFrame:
+        return risks.risk_map([self.all_risks], self.settings.min_confidence)
 
     @cached_property
     def risk_counts(self) -> DataFrame:
@@ -235,14 +269,14 @@ class Scan:
     def checklist(self) -> DataFrame:
         return risks.checklist(
             self.repos, self.risks, self.vulnerabilities, self.frameworks, self.hotspots, self.drift,
-            minimum=self.settings.min_confidence, incremental=self.facts.changed is not None,
+            minimum=self.settings.min_confidence, incremental=self.facts.changed is not None, workspace=self.workspace,
         )
 
     # volumes and fleet ------------------------------------------------------------------------------
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return tokens.corpus_tokens(scope.countable_files(self.scanned))
+        return tokens.corpus_tokens(self.scanned.filter("tokens IS NOT NULL"), estimate=F.col("tokens"))
 
     @cached_property
     def hotspot_matrix(self) -> DataFrame:
@@ -262,7 +296,7 @@ class Scan:
 
     @cached_property
     def tiers(self) -> DataFrame:
-        signals = fleet.infra_signals(self.facts.files).groupBy("repo").agg(F.array_sort(F.collect_set("signal")).alias("signals"))
+        signals = fleet.infra_signals(self.all_files).groupBy("repo").agg(F.array_sort(F.collect_set("signal")).alias("signals"))
         none = F.array().cast("array<string>")
         services = self.stack.select("repo", "frameworks").join(signals, "repo", "left")
         return fleet.service_tiers(services.withColumn("signals", F.coalesce("signals", none)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings an operator user should start a cluster session with. None of the operators needs
 #: them for right results; they let AQE split hot partitions and size the shuffles at run time.
@@ -42,3 +44,32 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return folder
+
+
+class Workspace:
+    """Tables that a long computation keeps in the shared folder while it runs: each is computed once, and a
+    lost executor loses none. :meth:`close`, or the end of a ``with`` block, removes them."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        self.spark = spark
+        self.folder = f"{checkpoint_dir(spark, folder).rstrip('/')}/workspace-{uuid.uuid4().hex}"
+
+    def table(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` written as ``name`` and read back."""
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str = "") -> None:
+        """Removes a table, or all of them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def close(self) -> None:
+        self.drop()
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()

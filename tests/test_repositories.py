@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import warnings
+from pathlib import Path
 from datetime import datetime, timedelta
 
 import pytest
@@ -13,6 +15,7 @@ from fleetscope.functions.advisories import OSV_SCHEMA
 from fleetscope.operators import drift, fleet, lines, ownership, packages, risks, scope, snapshot, tokens
 from fleetscope.plans import detectors
 from fleetscope.plans.scan import Facts, Scan
+from fleetscope.session import Workspace
 from fleetscope.sources import advisories as advisory_source
 from fleetscope.sources import files as file_source
 from fleetscope.sources import gitlog, manifests, sinks, workspace
@@ -295,7 +298,7 @@ def test_tiers_and_line(spark):
     assert line == ["Frontend: React (a) | Django, Vue (e)", "Backend: Flask (b)", "Infra: Terraform (c)", "Shared: (no stack detected) (d)"]
 
 
-def test_detectors(spark):
+def test_detectors(spark, tmp_path):
     files = table(spark, [("r", "a.py", "# TODO\n"), ("r", "b.py", 'key = "abcdefghij0123456789"')])
     good = detectors.Detector("own", "d", lambda c: c["files"].select("repo", F.lit("info").alias("severity"), "path", F.col("path").alias("message"), F.lit("HIGH").alias("confidence")))
     bad = detectors.Detector("bad", "d", lambda c: c["files"].select("nothing"))
@@ -306,11 +309,21 @@ def test_detectors(spark):
     with warnings.catch_warnings(record=True) as seen:
         warnings.simplefilter("always")
         chosen = detectors.resolve([good, bad, thin, late, taken], ["dependency-conflicts", "missing-tests"])
-        out, failures = detectors.run(chosen, context, probe_external=True)
+        workspace = Workspace(spark, str(tmp_path))
+        done = detectors.run(chosen, context, workspace)
+    out, failures = done
     assert [d.name for d in chosen] == ["secrets", "markers", "own", "bad", "thin", "late"]
     assert set(failures) == {"bad", "thin", "late"}
-    assert len(seen) == 4
+    assert len(seen) == 4 and done.counts == {"secrets, markers": 2, "own": 2}
+    kept = Path(workspace.folder.removeprefix("file:"))
+    assert len(list(kept.glob("risks-*"))) == 2
+    lazy = detectors.run(chosen[:3], context)
+    assert lazy.counts == {} and sorted(r.source for r in lazy.rows.collect()) == ["markers", "own", "own", "secrets"]
     assert sorted(r.source for r in out.collect()) == ["markers", "own", "own", "secrets"]
+    alone = detectors.run(detectors.resolve(disabled=["markers", "missing-tests", "dependency-conflicts"]), context)
+    workspace.close()
+    assert not kept.exists()
+    assert [(r.source, r.path, r.line_no) for r in alone.rows.collect()] == [("secrets", "b.py", 1)]
     for broken in ({"entropy_cutoff": 0}, {"max_hotspots": 0}, {"secret_patterns": [("x", "SURE")]}):
         with pytest.raises(ValueError):
             detectors.Settings(**broken)
@@ -318,11 +331,14 @@ def test_detectors(spark):
 
 def test_checklist_default_and_order(spark):
     repos = table(spark, [("r",), ("idle",)], "repo string")
-    found = table(spark, [("r", "Hard-coded secret in a.py:3"), ("r", "Missing tests directory (`tests/`)."), ("r", "Duplicate dependency `x` with conflicting versions: 1, 2.")], "repo string, message string")
+    secrets = table(spark, [("r", "a:b.py", 3, "HIGH"), ("r", "tests/a.py", 4, "HIGH")], "repo string, path string, line_no int, confidence string")
+    conflicts = table(spark, [("r", "x", ["1", "2"])], "repo string, package string, versions array<string>")
+    missing = table(spark, [("r", True)], "repo string, missing_tests boolean")
+    found = risks.risk_map([risks.secret_risks(secrets), risks.conflict_risks(conflicts), risks.missing_tests_risks(missing)])
     steps = risks.checklist(repos, found)
     assert rows_of(steps, "repo", "section", "step") == [
         ("idle", 8, "Review the sections above and validate the project setup."), ("r", 1, "Add a `tests/` directory and cover critical paths."),
-        ("r", 1, "Resolve version conflict for `x`: 1, 2."), ("r", 1, "Review and rotate hard-coded credentials in a.py (line 3)."),
+        ("r", 1, "Confirm the secret-like value in tests/a.py (line 4) is a test fixture, not a live credential."), ("r", 1, "Resolve version conflict for `x`: 1, 2."), ("r", 1, "Review and rotate hard-coded credentials in a:b.py (line 3)."),
     ]
 
 
@@ -341,7 +357,8 @@ def test_files_from_disk(spark, tmp_path):
     assert got.content == "\n".join(str(n) for n in range(30))
 
 
-def test_whole_scan(spark, tmp_path):
+@pytest.mark.parametrize("kept", [False, True])
+def test_whole_scan(spark, tmp_path, kept):
     files = table(spark, [
         ("web", "package.json", '{"dependencies": {"react": "18.2.0", "lodash": "4.17.20"}, "devDependencies": {"react": "17.0.2"}}'),
         ("web", "src/app.ts", 'const apiKey = "abcdefghij0123456789"\n// FIXME\n'), ("web", "README.md", "Built with Vue. See `src/app.ts` and `src/gone.ts`.\nUses $API_URL here"),
@@ -356,7 +373,7 @@ def test_whole_scan(spark, tmp_path):
     blame = table(spark, [("web", "src/app.ts", 1, "Ann", "c1"), ("web", "src/app.ts", 2, "Ann", "c1")] + [("api", "src/main.py", n, "Bo", "c2") for n in range(30)], "repo string, path string, line_no int, author string, sha string")
     osv = tmp_path / "osv.json"
     osv.write_text(json.dumps({"id": "A-1", "summary": "bad", "affected": [{"package": {"name": "lodash", "ecosystem": "npm"}, "versions": ["4.17.20"], "ranges": [{"events": [{"fixed": "4.17.21"}]}]}]}))
-    scan = Scan(Facts(files, commits, touches, blame, spark.read.schema(OSV_SCHEMA).json(str(osv))), detectors.Settings(min_confidence="low"))
+    scan = Scan(Facts(files, commits, touches, blame, spark.read.schema(OSV_SCHEMA).json(str(osv))), detectors.Settings(min_confidence="low"), workspace=Workspace(spark, str(tmp_path / "kept")) if kept else None)
     assert rows_of(scan.risk_counts, "repo", "critical", "warning", "info") == [("api", 0, 1, 0), ("web", 1, 3, 1)]
     assert {r.message for r in scan.risks.filter("repo = 'web'").collect()} >= {
         "Hard-coded secret in src/app.ts:1", "FIXME in src/app.ts:2", "A-1 in `lodash`: bad (fix: 4.17.21)", "Duplicate dependency `react` with conflicting versions: 17.0.2, 18.2.0.",
@@ -380,6 +397,20 @@ def test_whole_scan(spark, tmp_path):
     listed = json.loads(back.filter("repo = 'web' and section = 'risks'").first().payload)
     assert len(listed) == 5
     assert scan.failures == {}
+    assert rows_of(scan.tokens.filter("NOT is_total"), "repo", "files") == [("api", 4), ("web", 5)]
+    if kept:
+        folder = Path(scan.workspace.folder.removeprefix("file:"))
+        made = {p.name for p in folder.iterdir()}
+        assert {"facts", "visible", "manifests", "risks", "vulnerabilities", "steps"} <= made
+        contents = re.search(r"#\d+", files.select("content")._jdf.queryExecution().optimizedPlan().toString()).group()
+        for df in (scan.risk_counts, scan.status, scan.checklist, scan.unified_risks, scan.payload(["risks", "checklist", "risk_counts"])):
+            # One pass over the contents made the facts; nothing above them reads contents again.
+            assert not re.search(rf"content{contents}\b", df._jdf.queryExecution().optimizedPlan().toString())
+        again = Scan(scan.facts, scan.settings)
+        assert re.search(rf"content{contents}\b", again.risk_counts._jdf.queryExecution().optimizedPlan().toString())
+        scan.workspace.close()
+        assert not folder.exists()
+        return
     part = Scan(Facts(files, commits, touches, blame, changed=table(spark, [("web", "src/app.ts")], "repo string, path string")))
     assert rows_of(part.risks.filter("source = 'secrets'"), "repo", "severity") == [("web", "critical")]
     assert rows_of(part.scope_counts, "repo", "files_scanned") == [("api", 0), ("web", 1)]
