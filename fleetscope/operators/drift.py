@@ -258,19 +258,21 @@ def checked_references(
     counted: DataFrame,
     existing: DataFrame,
     manifests: DataFrame | None = None,
+    listed: DataFrame | None = None,
     repo: str = "repo",
     source: str = "source",
     catalog: int = CATALOG_MANIFESTS,
 ) -> DataFrame:
-    """Adds ``valid``; drops the missing manifest names of sources that list several of them.
+    """Adds ``valid``; drops the well-known file names of sources that list several missing ones.
 
-    A path is valid when it exists or when its name is the name of a scanned manifest. The existing
-    paths, which are many more than the referenced ones, are cut down to those before they are made
-    distinct.
+    A path is valid when it exists or when its name is the name of a scanned manifest. ``listed`` are the
+    references that make a list, also those in fences (default: ``counted``). The existing paths, which are many
+    more than the referenced ones, are cut down to those before they are made distinct.
     """
-    asked = counted.select(repo, "path").distinct()
+    every = counted if listed is None else counted.withColumn("__own", F.lit(True)).unionByName(listed.withColumn("__own", F.lit(False)))
+    asked = every.select(repo, "path").distinct()
     here = existing.select(repo, "path").join(asked, [repo, "path"], "left_semi").distinct().withColumn("__here", F.lit(True))
-    joined = counted.join(here, [repo, "path"], "left").withColumn("__name", F.lower(paths.basename(F.col("path"))))
+    joined = every.join(here, [repo, "path"], "left").withColumn("__name", F.lower(paths.basename(F.col("path"))))
     if manifests is None:
         valid = F.col("__here").isNotNull()
     else:
@@ -278,19 +280,20 @@ def checked_references(
         joined = joined.join(names.withColumn("__manifest", F.lit(True)), [repo, "__name"], "left")
         valid = F.col("__here").isNotNull() | F.col("__manifest").isNotNull()
     known_name = ~F.contains("path", F.lit("/")) & F.lower("path").isin(paths.KNOWN_FILENAMES)
+    own = F.lit(True) if listed is None else F.col("__own")
     judged = joined.select(
-        repo, source, "path", "occurrences", valid.alias("valid"), known_name.alias("__known")
+        repo, source, "path", "occurrences", valid.alias("valid"), known_name.alias("__known"), own.alias("__own")
     )
     lists = (
-        judged.filter(F.col("__known") & ~F.col("valid"))
+        judged.filter(F.col("__known") & ~F.col("valid") & (F.lit(listed is None) | ~F.col("__own")))
         .groupBy(repo, source)
         .agg(F.sum("occurrences").alias("__n"))
         .filter(F.col("__n") >= catalog)
         .select(repo, source, F.lit(True).alias("__list"))
     )
-    return judged.join(lists, [repo, source], "left").filter(
+    return judged.filter("__own").join(lists, [repo, source], "left").filter(
         ~(F.coalesce("__list", F.lit(False)) & F.col("__known"))
-    ).drop("__known", "__list")
+    ).drop("__known", "__list", "__own")
 
 
 def path_ratio(checked: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:

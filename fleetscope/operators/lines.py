@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions import paths, secrets
 from fleetscope.functions.labels import quote_regex
-from fleetscope.functions.text import lines, strip
+from fleetscope.functions.text import let, lines, strip
 from fleetscope.operators.ordered import with_running_last
 
 # Fixed values.
@@ -24,7 +24,10 @@ ROOTED_PATH = (
 )
 #: (pattern, group) of every way prose names a path.
 REFERENCE_PATTERNS = [(BACKTICK, 1), (LINK_TARGET, 1), (ROOTED_PATH, 0)]
-FENCED_BLOCK = r"(?ms)^```.*?^```"
+FENCE = r"(?md)^```"
+FENCE_LENGTH = 3
+# Noncharacters that mark matches; texts lose them.
+_CUT, _END = "\ufdd2", "\ufdd3"
 ENV_DEFINITION = r"(?mU)^(?:export\s+)?([A-Z][A-Z0-9_]*)\s*="
 ENV_CALL = (
     r"(?:process\.env\.|os\.environ\[['\"]|os\.environ\.get\(['\"]|"
@@ -134,6 +137,29 @@ def scan_findings(
     return numbered.filter(may_hold_finding(line, name, markers)).select(*keep, "line_no", F.inline(found))
 
 
+def _offsets(text: Column, pattern: str) -> tuple[Column, Column]:
+    """The pieces of a text cut before each match of ``pattern``, every match marked at its end, and where in the
+    text the pieces begin; the first piece is what stands before any match."""
+    marked = F.regexp_replace(text, pattern, f"{_CUT}$0{_END}")
+    pieces = F.split(marked, _CUT)
+    sizes = F.transform(pieces, lambda piece, i: F.length(piece) - F.when(i > 0, 1).otherwise(0))
+    start = F.aggregate(sizes, F.array(F.lit(0)), lambda at, size: F.concat(at, F.array(F.element_at(at, -1) + size)))
+    return pieces, start
+
+
+def fence_starts(text: Column) -> Column:
+    """Where the code fences of a text begin."""
+    pieces, start = _offsets(text, FENCE)
+    return F.slice(start, F.lit(2), F.size(pieces) - 1)
+
+
+def in_fence(offset: Column, fences: Column) -> Column:
+    """Whether an offset lies in a block between two fences. Fences pair from the top; the last of an odd number
+    opens nothing. What begins in the fence itself is outside."""
+    before = F.size(F.filter(fences, lambda at: at + FENCE_LENGTH <= offset))
+    return (before % 2 == 1) & F.coalesce(offset < F.get(fences, before), F.lit(False))
+
+
 def path_references(
     df: DataFrame,
     text: str = "text",
@@ -141,11 +167,36 @@ def path_references(
     patterns: Sequence[tuple[str, int]] = REFERENCE_PATTERNS,
     skip_fenced: bool = True,
 ) -> DataFrame:
-    """Raw path references, duplicates kept; those inside paired code fences are left out."""
-    body = F.regexp_replace(F.col(text), FENCED_BLOCK, "```\n```") if skip_fenced else F.col(text)
-    found = [F.regexp_extract_all(body, F.lit(pattern), F.lit(group)) for pattern, group in patterns]
-    every = found[0] if len(found) == 1 else F.concat(*found)
-    return df.select(*keep, F.explode(every).alias("raw")).withColumn("raw", strip(F.col("raw")))
+    """Raw path references, duplicates kept; those that begin inside paired code fences are left out."""
+    content = F.col(text)
+    every = [F.regexp_extract_all(content, F.lit(pattern), F.lit(group)) for pattern, group in patterns]
+    if skip_fenced:
+        fences = F.when(F.contains(content, F.lit("```")), fence_starts(F.translate(content, _CUT + _END, "")))
+        rows = df.select(*keep, content.alias(text), fences.alias("__fences"))
+        # Texts without a pair of fences, which are most, take the plain way.
+        every = [
+            F.when(F.size("__fences") > 1, _outside(F.translate(content, _CUT + _END, ""), pattern, group)).otherwise(plain)
+            for (pattern, group), plain in zip(patterns, every, strict=True)
+        ]
+    else:
+        rows = df
+    found = every[0] if len(every) == 1 else F.concat(*every)
+    return rows.select(*keep, F.explode(found).alias("raw")).withColumn("raw", strip(F.col("raw")))
+
+
+def _outside(content: Column, pattern: str, group: int) -> Column:
+    """Matches that begin outside the pairs of ``__fences``."""
+
+    def judged(cut: Column) -> Column:
+        def match(piece: Column, i: Column) -> Column:
+            whole = F.substring_index(piece, _END, 1)
+            return F.struct(F.regexp_extract(whole, pattern, group).alias("raw"), F.get(cut["start"], i).alias("at"))
+
+        matches = F.slice(F.transform(cut["pieces"], match), F.lit(2), F.size(cut["pieces"]))
+        return F.transform(F.filter(matches, lambda m: ~in_fence(m["at"], F.col("__fences"))), lambda m: m["raw"])
+
+    pieces, start = _offsets(content, pattern)
+    return let(F.struct(pieces.alias("pieces"), start.alias("start")), judged)
 
 
 def env_definitions(df: DataFrame, text: str = "text", keep: Sequence[str] = ("repo",)) -> DataFrame:

@@ -176,10 +176,10 @@ class Scan:
 
     @cached_property
     def _paths_checked(self) -> DataFrame:
-        counted = drift.reference_counts(lines.path_references(self.docs))
+        counted, listed = (drift.reference_counts(lines.path_references(self.docs, skip_fenced=skip)) for skip in (True, False))
         names = list(packages.MANIFEST_LANGUAGES)
         found = self.scanned.filter(paths.basename(F.col("path")).isin(names)).select("repo", "path")
-        return drift.checked_references(counted, drift.existing_paths(self.all_files), found)
+        return drift.checked_references(counted, drift.existing_paths(self.all_files), found, listed)
 
     @cached_property
     def _stack_checked(self) -> DataFrame:

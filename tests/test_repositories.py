@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import re
 import warnings
 from pathlib import Path
@@ -74,6 +75,25 @@ def test_one_pass_finds_the_same(spark):
     assert rows_of(risks.finding_risks(lines.scan_findings(files)), *apart.columns) == rows_of(apart, *apart.columns)
 
 
+def test_fences_against_offsets(spark):
+    """Matches by their offsets in the whole text, fences paired from the top."""
+    rng = random.Random(6)
+    bits = ["```", "```py\n", "\n```\n", "\n```", "`a/b.py`", "`x`", "[t](docs/é.md)", "[q\n](two\nlines)", "src/app/z.ts", "🙂 ", "\n", " ", "``", "text", "\r", "\u2028```"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(150)] + ["", None, "\ufdd2`a`\ufdd3 ```"]
+    rooted = r"(?<![\w./])(?:\./)?(?:src|lib|app|apps|packages|components|pages|services|api|backend|frontend|docs|tests?|__tests__|config|scripts|public|static|assets)(?:/[\w.-]+)+/?"
+    plain = [(r"`([^`\n]+)`", 1, 0), (r"\[[^\]]*\]\(([^)]+)\)", 1, 0), (rooted, 0, re.IGNORECASE)]
+    want = []
+    for n, text in enumerate(texts):
+        text = re.sub("[\ufdd2\ufdd3]", "", text or "")
+        fences = [(m.start(), m.end()) for m in re.finditer(r"^```", text, re.MULTILINE)]
+        spans = [(fences[i][1], fences[i + 1][0]) for i in range(0, len(fences) - 1, 2)]
+        for pattern, group, flags in plain:
+            want += [(n, m.group(group).strip()) for m in re.finditer(pattern, text, flags) if not any(a <= m.start() < b for a, b in spans)]
+    df = table(spark, list(enumerate(texts)), "n int, text string")
+    got = [(r.n, r.raw) for r in lines.path_references(df, keep=["n"]).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 300
+
+
 def test_references_outside_fences(spark):
     doc = "See `src/a.py` and [b](docs/b.md).\n```sh\n`src/hidden.py`\n```\nrun lib/x.py now\n```\nopen src/tail.py"
     docs = table(spark, [("r", "README.md", doc)], "repo string, source string, text string")
