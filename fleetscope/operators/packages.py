@@ -320,12 +320,5 @@ def stack_summary(
         F.coalesce("languages", none).alias("languages"),
         F.coalesce("frameworks", none).alias("frameworks"),
         F.coalesce("dependencies", F.lit(0)).alias("dependencies"),
-    )
-
-
-def empty_repos(repos: DataFrame, files: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:
-    """Every repository with the flag that it has no files."""
-    held = files.select(*keys).distinct().withColumn("__held", F.lit(True))
-    return repos.select(*keys).distinct().join(held, list(keys), "left").select(
-        *keys, F.col("__held").isNull().alias("is_empty")
+        (F.col("languages").isNull() & F.col("frameworks").isNull() & F.col("dependencies").isNull()).alias("is_empty"),
     )

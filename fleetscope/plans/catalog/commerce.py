@@ -57,6 +57,11 @@ def ownership_lines(t: Tables) -> DataFrame:
     return ownership.owned_lines(counts(t), ["module"])
 
 
+@QUERIES.query("module_totals", f"WITH {BLAME} SELECT module, count(*) AS line_count, count(DISTINCT sha) AS commits FROM blame GROUP BY module")
+def module_totals(t: Tables) -> DataFrame:
+    return ownership.module_totals(counts(t), ["module"])
+
+
 SHARES = f"""
 {BLAME},
 counted AS (SELECT module, author, count(*) AS lines FROM blame GROUP BY ALL),

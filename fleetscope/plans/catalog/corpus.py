@@ -124,6 +124,50 @@ def corpus_tokens(t: Tables) -> DataFrame:
     return counted.select(F.coalesce("source", F.lit("*")).alias("repo"), "tokens", "files", "is_total")
 
 
+@QUERIES.query("countable_tokens", f"""
+SELECT source AS repo, CAST(sum({TOKENS.format('text')}) AS BIGINT) AS tokens, count(*) AS files FROM documents
+WHERE n_chars % 7 NOT IN (0, 1, 2) AND NOT contains(text, chr(0)) GROUP BY source""")
+def countable_tokens(t: Tables) -> DataFrame:
+    """Documents named like reports of the tool and like binary files, which do not count, among others."""
+    kind = F.col("n_chars") % 7
+    name = F.when(kind == 0, "out/FLEETSCOPE.md").when(kind == 1, "FLEETSCOPE-SYSTEM.json").when(kind == 2, "x/y.PDF").otherwise("notes.md")
+    named = t("documents").select(F.col("source").alias("repo"), name.alias("path"), F.col("text").alias("content"))
+    return tokens.corpus_tokens(scope.countable_files(named)).filter("NOT is_total").select("repo", "tokens", "files")
+
+
+# path, line and expected confidence; {x} is a run of 24 hexadecimal digits of the document, {u} the same in upper case
+CREDENTIALS = [
+    ("a.py", 'key = "AKIA{u16}"', "HIGH"),
+    ("a.py", "auth_token = 'sk-{x}'", "HIGH"),
+    ("a.py", 'TOKEN="ghp_{x}{x}"', "HIGH"),
+    ("a.py", 'api_key = "github_pat_{x}"', "HIGH"),
+    ("a.py", "secret = 'AIza{x}{x11}'", "HIGH"),
+    ("a.py", 'bearer = "xoxb-{x}"', "HIGH"),
+    ("a.py", 'credential = "eyJ{x}.{x}."', "HIGH"),
+    ("a.py", 'classname = "sk-{x}"', None),
+    ("a.py", 'icon_key_path = "sk-{x}"', None),
+    ("alembic/versions/1.py", 'revision = "sk-{x}"', None),
+    ("db/migrations/2.py", 'down_revision_key = "sk-{x}"', "HIGH"),
+    ("a.py", 'key = "some:namespaced-value-{x}"', None),
+    ("a.py", 'key = f"sk-{x}{brace}"', None),
+    ("a.py", 'key = "short"', None),
+]
+
+
+@QUERIES.query("credential_formats", "SELECT doc_id, kind, CASE WHEN kind IN (" + ", ".join(str(n) for n, c in enumerate(CREDENTIALS) if c[2]) + """) THEN 'HIGH' END AS confidence
+FROM documents, (SELECT CAST(unnest(range(""" + str(len(CREDENTIALS)) + ")) AS INTEGER) AS kind)")
+def credential_formats(t: Tables) -> DataFrame:
+    """Known key formats, excluded names, ids of migrations, namespaced values, templates, all with digits of the document."""
+    digits = F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 24)
+    cases = []
+    for n, (path, line, _) in enumerate(CREDENTIALS):
+        text = F.replace(F.replace(F.lit(line), F.lit("{x11}"), F.substring(digits, 1, 11)), F.lit("{x}"), digits)
+        text = F.replace(F.replace(text, F.lit("{u16}"), F.upper(F.substring(digits, 1, 16))), F.lit("{brace}"), F.lit("{name}"))
+        cases.append(F.struct(F.lit(n).alias("kind"), F.lit(path).alias("path"), text.alias("line")))
+    rows = t("documents").select("doc_id", F.inline(F.array(*cases)))
+    return rows.select("doc_id", "kind", secrets.line_confidence(F.col("line"), F.col("path")).alias("confidence"))
+
+
 PREVIEW = r"""
 WITH parts AS (
     SELECT doc_id, source, lang, text,

@@ -112,6 +112,11 @@ def manifest_errors(t: Tables) -> DataFrame:
     return manifests.manifest_errors(manifests.read_manifests(files(t)))
 
 
+@QUERIES.query("go_modules", f"WITH {PARTS} SELECT repo, manifest, 'm' || k AS module, '1.22' AS go_version FROM parts WHERE kind = 3")
+def go_modules(t: Tables) -> DataFrame:
+    return manifests.go_metadata(files(t))
+
+
 # ecosystem, name, specification, expected version and exactness; {s} is the part's size
 SPECS = [
     ("npm", "n", "^1.{s}.0", "1.{s}.0", False),

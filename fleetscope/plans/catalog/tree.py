@@ -110,15 +110,17 @@ lang AS (SELECT repo, string_agg(DISTINCT CASE name WHEN 'package.json' THEN 'Ja
          FROM tree WHERE name IN ('package.json', 'go.mod') GROUP BY repo),
 fw AS (SELECT DISTINCT repo, 'Django' AS frameworks FROM tree WHERE name = 'manage.py'),
 deps AS (SELECT source AS repo, count(DISTINCT lang) AS dependencies FROM documents GROUP BY source)
-SELECT repo, coalesce(languages, '') AS languages, coalesce(frameworks, '') AS frameworks, dependencies
-FROM deps LEFT JOIN lang USING (repo) LEFT JOIN fw USING (repo)""")
+SELECT repo, coalesce(languages, '') AS languages, coalesce(frameworks, '') AS frameworks, dependencies, false AS is_empty
+FROM deps LEFT JOIN lang USING (repo) LEFT JOIN fw USING (repo)
+UNION ALL SELECT 'idle' || n_nationkey, '', '', 0, true FROM nation""")
 def stack_summary(t: Tables) -> DataFrame:
     tree = files(t)
     deps = t("documents").select(F.col("source").alias("repo"), F.col("lang").alias("dependency")).distinct()
+    idle = t("nation").select(F.concat(F.lit("idle"), F.col("n_nationkey").cast("string")).alias("repo"))
     out = packages.stack_summary(
-        tree, packages.languages(tree), packages.frameworks(deps, tree), deps
+        tree.select("repo").union(idle), packages.languages(tree), packages.frameworks(deps, tree), deps
     )
-    return out.select("repo", F.array_join("languages", ",").alias("languages"), F.array_join("frameworks", ",").alias("frameworks"), "dependencies")
+    return out.select("repo", F.array_join("languages", ",").alias("languages"), F.array_join("frameworks", ",").alias("frameworks"), "dependencies", "is_empty")
 
 
 @QUERIES.query("context_files", r"""
@@ -174,3 +176,26 @@ def workspace_members(t: Tables) -> DataFrame:
     below = scope.under_prefixes(tree, rooted).groupBy("repo", "name", "prefix").agg(F.count(F.lit(1)).alias("files"))
     single = tree.join(members.filter("prefix IS NULL"), "repo").groupBy("repo", "name").agg(F.count(F.lit(1)).alias("files"))
     return below.unionByName(single.withColumn("prefix", F.lit("")))
+
+
+#: Patterns per source, by the last digit of its name.
+GLOBS = {0: ["*/9*"], 1: ["apps/*/[!0-4]*", "docs/?"], 2: ["nothing"], 3: []}
+
+
+@QUERIES.query("glob_match", f"""
+WITH {TREE},
+asked AS (SELECT *, CAST(substr(repo, 4) AS INTEGER) % 4 AS kind FROM tree)
+SELECT repo, path, CASE kind WHEN 0 THEN regexp_matches(path, '^.*/9.*$') WHEN 1 THEN regexp_matches(path, '^(apps/.*/[^0-4].*|docs/.)$') ELSE false END AS hit FROM asked""")
+def glob_match(t: Tables) -> DataFrame:
+    """Paths against the globs of their own repository, some of which have none."""
+    kind = F.substr("repo", F.lit(4)).cast("int") % 4
+    patterns = None
+    for n, globs in GLOBS.items():
+        listed = F.array(*[F.lit(g) for g in globs]).cast("array<string>")
+        patterns = (F if patterns is None else patterns).when(kind == n, listed)
+    return files(t).select("repo", "path", paths.matches_any_glob(F.col("path"), patterns).alias("hit"))
+
+
+@QUERIES.query("shallow_files", f"WITH {TREE} SELECT repo, path FROM tree WHERE length(path) - length(replace(path, '/', '')) <= 1")
+def shallow_files(t: Tables) -> DataFrame:
+    return scope.within_depth(files(t), 1).select("repo", "path")

@@ -412,8 +412,8 @@ def test_whole_scan(spark, tmp_path, kept):
     sinks.write_reports(scan.payload(["risks", "stack"]), str(out))
     back = spark.read.json(str(out))
     stacks = {r.repo: json.loads(r.payload)[0] for r in back.filter("section = 'stack'").collect()}
-    assert stacks["api"] == {"languages": ["Python", "Rust"], "frameworks": ["Flask"], "dependencies": 1}
-    assert stacks["web"] == {"languages": ["JavaScript/TypeScript"], "frameworks": ["React"], "dependencies": 2}
+    assert stacks["api"] == {"languages": ["Python", "Rust"], "frameworks": ["Flask"], "dependencies": 1, "is_empty": False}
+    assert stacks["web"] == {"languages": ["JavaScript/TypeScript"], "frameworks": ["React"], "dependencies": 2, "is_empty": False}
     listed = json.loads(back.filter("repo = 'web' and section = 'risks'").first().payload)
     assert len(listed) == 5
     assert scan.failures == {}
