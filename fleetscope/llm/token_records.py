@@ -22,21 +22,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm.shared import cut, text_slices
+from fleetscope.llm.shared import cut, open_store, text_slices
 from fleetscope.operators.ordered import with_running_sum
 
-#: Words with their ids that a task keeps; a full store is emptied.
-CACHED_WORDS = 400_000
+#: Words, and parts of words, with their ids in a generation of the store that a worker process keeps.
+CACHED_WORDS = 600_000
 CACHED_LENGTH = 64
 #: Stands for a null doc_id in an index.
 NULL_ID = -(1 << 63)
-_BLANKS = re.compile(r"[ \t\n\r]+")
-# Fixed value: the vocabulary's own split, for words of printable ASCII.
-_PLAIN, _SPLIT = re.compile(r"[!-~]+"), re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Bytes of texts in a shard, about, where there are more than one for each partition of a shuffle.
+SHARD_BYTES = 1 << 29
+# The vocabulary's own split, for words of printable ASCII and Latin letters without a form of their own
+# when lower-cased or composed.
+_PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+")
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u017e0-9]+")
 
 
 def _crc_tables() -> np.ndarray:
@@ -51,7 +53,7 @@ _CRC = _crc_tables()
 
 
 def _advance(crcs: np.ndarray, zeros: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
-    """CRC registers after ``zeros`` more zero bytes: linear in the bits, so four table lookups."""
+    """CRC registers after ``zeros`` more zero bytes: linear in the bits, so two table lookups."""
     if zeros not in known:
         bits = (np.uint32(1) << np.arange(32, dtype=np.uint32)).astype(np.uint32)
         if zeros == 1:
@@ -59,31 +61,34 @@ def _advance(crcs: np.ndarray, zeros: int, known: dict[int, np.ndarray] = {}) ->
         else:
             half = _advance(bits, zeros // 2)
             moved = _advance(half, zeros // 2)
-        tables = np.zeros((4, 256), dtype=np.uint32)
-        for byte in range(4):
-            for bit in range(8):
-                tables[byte, (np.arange(256) >> bit) & 1 == 1] ^= moved[8 * byte + bit]
+        tables = np.zeros((2, 1 << 16), dtype=np.uint32)
+        for side in range(2):
+            for bit in range(16):
+                tables[side, (np.arange(1 << 16) >> bit) & 1 == 1] ^= moved[16 * side + bit]
         known[zeros] = tables
-    tables = known[zeros]
-    return (
-        tables[0][crcs & np.uint32(255)]
-        ^ tables[1][(crcs >> np.uint32(8)) & np.uint32(255)]
-        ^ tables[2][(crcs >> np.uint32(16)) & np.uint32(255)]
-        ^ tables[3][crcs >> np.uint32(24)]
-    )
+    low, high = known[zeros]
+    return low[crcs & np.uint32(0xFFFF)] ^ high[crcs >> np.uint32(16)]
+
+
+def _pairs(known: list[np.ndarray] = []) -> np.ndarray:  # noqa: B006
+    """The register after each pair of bytes, the first one in the low half of its index."""
+    if not known:
+        pair = np.arange(1 << 16, dtype=np.uint32)
+        known.append(_advance(_CRC[pair & np.uint32(255)], 1) ^ _CRC[pair >> np.uint32(8)])
+    return known[0]
 
 
 def crc32c(contents: list[bytes]) -> np.ndarray:
     """CRC-32C of each of ``contents``. Those that need the same power of two of bytes are folded
-    together: the register of each byte alone, then of pairs, pairs of pairs and so on."""
+    together: the register of each pair of bytes alone, then of two pairs, four and so on."""
     out = np.zeros(len(contents), dtype=np.uint32)
     sizes = np.array([len(c) for c in contents], dtype=np.int64)
-    widths = np.array([max(1, 1 << (n - 1).bit_length()) for n in sizes.tolist()], dtype=np.int64)
+    widths = np.array([max(2, 1 << (n - 1).bit_length()) for n in sizes.tolist()], dtype=np.int64)
     for width in np.unique(widths).tolist():
         rows = np.flatnonzero(widths == width)
         # Leading zero bytes leave a zero register.
         block = b"".join([contents[r].rjust(width, b"\0") for r in rows.tolist()])
-        registers, step = _CRC[np.frombuffer(block, dtype=np.uint8)].reshape(len(rows), width), 1
+        registers, step = _pairs()[np.frombuffer(block, dtype="<u2")].reshape(len(rows), width // 2), 2
         while registers.shape[1] > 1:
             registers, step = _advance(registers[:, 0::2], step) ^ registers[:, 1::2], step * 2
         out[rows] = registers[:, 0]
@@ -117,10 +122,6 @@ def unframe(records: list[bytes]) -> list[bytes]:
     return payloads
 
 
-def _store(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri) if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def _runs(table: list[list[int]], limit: int = 1 << 20) -> Iterator[list[list[int]]]:
     """Index rows in runs whose payloads take about ``limit`` bytes."""
     run, held = [], 0
@@ -134,57 +135,124 @@ def _runs(table: list[list[int]], limit: int = 1 << 20) -> Iterator[list[list[in
         yield run
 
 
+# The normalizer and pre-tokenizer under which the ids of a text are those of its words.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable ones for themselves, the others numbered from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = str.maketrans({chr(b): letter for b, letter in _byte_letters().items()})
+
+
+class _Store(dict):
+    """Values kept by :meth:`make`, in two generations: when the younger one is full it becomes the older one, so
+    what is asked for again and again stays."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict = {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHED_LENGTH:
+            if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class _Parts(_Store):
+    """Ids of the parts that the vocabulary's own split makes of words, by the library's merges."""
+
+    def __init__(self, tokenizer, width: int) -> None:
+        super().__init__()
+        self.merge = tokenizer.model.tokenize
+        self.coded = [i.to_bytes(width, "little") for i in range(min(tokenizer.get_vocab_size(), 1 << (8 * width)))]
+
+    def make(self, part: str) -> bytes:
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        try:
+            return b"".join([self.coded[token.id] for token in self.merge(letters)])
+        except IndexError:
+            raise OverflowError("an id does not fit the width") from None
+
+
+class _WordIds(_Store):
+    """Ids of words in UTF-8."""
+
+    def __init__(self, tokenizer, width: int) -> None:
+        super().__init__()
+        self.tokenizer, self.width, self.parts = tokenizer, width, _Parts(tokenizer, width)
+
+    def make(self, word: bytes) -> bytes:
+        text = word.decode()
+        if text.isascii() and text.isalpha():
+            return self.parts[text.lower()]
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join([self.parts[part] for part in _SPLIT.findall(text.lower())])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes()
+
+
 class WordEncoder:
-    """``tokenizers`` over whole texts. Blanks split words before anything else in this vocabulary, so
-    the ids of a text are those of its blank-separated words, which are kept once encoded."""
+    """``tokenizers`` over whole texts. Where the file's normalizer and pre-tokenizer are those above, blanks
+    split words before anything else, so the ids of a text are those of its blank-separated words, which are kept
+    once encoded; with any other file texts are encoded whole."""
 
     def __init__(self, tokenizer: str, width: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(tokenizer), f"<u{width}"
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _fresh(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of words, many in one call: the library numbers the words that its ids come from."""
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
-            coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            owners = coded.word_ids
-            if None in owners:
-                parts = [self.tokenizer.encode(word, add_special_tokens=False).ids for word in part]
-                yield from ((word, np.array(ids, dtype=self.kind).tobytes()) for word, ids in zip(part, parts, strict=True))
-                continue
-            ids = np.array(coded.ids, dtype=self.kind)
-            ends = np.cumsum(np.bincount(np.array(owners, dtype=np.int64), minlength=len(part))).tolist()
-            yield from ((word, ids[lo:hi].tobytes()) for word, lo, hi in zip(part, [0, *ends], ends, strict=False))
-
-    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of words. Plain ones are split here as the vocabulary splits them, as their parts repeat
-        more than they do; the library encodes the parts, and all other words whole."""
-        plain = {word: _SPLIT.findall(word.lower()) for word in words if _PLAIN.fullmatch(word) and "<|" not in word}
-        parts = set().union(*plain.values()).difference(self.parts)
-        if len(self.parts) + len(parts) > CACHED_WORDS:
-            self.parts.clear()
-            parts = set().union(*plain.values())
-        self.parts.update(self._fresh(list(parts)))
-        known = self.parts
-        yield from ((word, b"".join([known[p] for p in own])) for word, own in plain.items())
-        yield from self._fresh([word for word in words if word not in plain])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_BLANKS.split(text) for text in texts]
-        known, distinct = self.known, set().union(*split)
-        fresh = [word for word in distinct if word not in known]
-        if len(known) + len(fresh) > CACHED_WORDS:
-            known.clear()
-            fresh = list(distinct)
-        extra = {}
-        for word, ids in self._words(fresh):
-            (known if len(word) <= CACHED_LENGTH else extra)[word] = ids
-        if extra:
-            return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in split]
-        return [b"".join([known[w] for w in words]) for words in split]
+        with open(tokenizer, "rb") as source:
+            described = json.load(source)
+        special = [token["content"] for token in described.get("added_tokens", [])]
+        by_words = (
+            described.get("normalizer") == _NORMALIZER and described.get("pre_tokenizer") == _PRE_TOKENIZER
+            and described["model"]["type"] == "BPE" and all(s.startswith("<|") and not re.search(r"\s", s) for s in special)
+        )
+        self.known = _WordIds(self.tokenizer, width) if by_words else None
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts in UTF-8, as integers in little-endian order."""
+        if self.known is None:
+            return [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, dtype=self.kind).tobytes() for t in texts]
+        return [b"".join(map(self.known.__getitem__, text.split())) for text in texts]
+
+
+_encoders: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder(tokenizer: str, width: int) -> WordEncoder:
+    """The encoder of this process, which keeps its words from task to task."""
+    if (tokenizer, width) not in _encoders:
+        _encoders.clear()
+        _encoders[tokenizer, width] = WordEncoder(tokenizer, width)
+    return _encoders[tokenizer, width]
 
 
 def write_records(
@@ -203,35 +271,37 @@ def write_records(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     last = np.array([end_id], dtype=f"<u{width}").tobytes()
     if shards is None:
-        shards = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        held = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        shards = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // SHARD_BYTES))
     ordered = rows.withColumn("salt", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "salt").sortWithinPartitions("doc_id", "salt", "text").drop("salt")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, store, path, name = None, None, None, f"{uuid.uuid4().hex}"
-        index, total, ids, sink = [], 0, 0, None
+        encode, name, sinks = None, uuid.uuid4().hex, []
+        records = total = ids = 0
         for whole in batches:
             for batch in text_slices(whole, 1):
-                if sink is None and batch.num_rows:
-                    encoder = WordEncoder(tokenizer, width)
-                    store, path = _store(folder)
+                if not batch.num_rows:
+                    continue
+                if not sinks:
+                    encode = encoder(tokenizer, width).encode
+                    store, path = open_store(folder)
                     store.create_dir(path, recursive=True)
-                    sink = store.open_output_stream(f"{path}/{name}.records")
-                payloads = [ids + last for ids in encoder.encode(batch.column(1).to_pylist())]
-                sink.write(b"".join(frame(payloads)))
-                for doc, payload in zip(batch.column(0).to_pylist(), payloads, strict=True):
-                    index.append((total, len(payload), NULL_ID if doc is None else doc))
-                    total += len(payload) + 16
-                    ids += len(payload) // width
-        if sink is None:
-            return
-        sink.close()
-        with store.open_output_stream(f"{path}/{name}.index") as out:
-            out.write(json.dumps({"width": width, "records": len(index)}).encode() + b"\n")
-            out.write(np.array(index, dtype="<i8").tobytes())
-        yield pa.RecordBatch.from_pydict(
-            {"file": [f"{name}.records"], "index": [f"{name}.index"], "records": [len(index)], "ids": [ids]},
-            schema=pa.schema([("file", pa.string()), ("index", pa.string()), ("records", pa.int64()), ("ids", pa.int64())]),
-        )
+                    sinks = [store.open_output_stream(f"{path}/{name}.{kind}") for kind in ("records", "index")]
+                    sinks[1].write(json.dumps({"width": width}).encode() + b"\n")
+                payloads = [coded + last for coded in encode(batch.column(1).cast(pa.binary()).to_pylist())]
+                sinks[0].write(b"".join(frame(payloads)))
+                sizes = np.array([len(p) for p in payloads], dtype="<i8")
+                ends = total + np.cumsum(sizes + 16)
+                entries = np.stack([ends - sizes - 16, sizes, batch.column(0).fill_null(NULL_ID).to_numpy()], axis=1)
+                sinks[1].write(entries.astype("<i8").tobytes())
+                records, total, ids = records + len(payloads), int(ends[-1]), ids + int(sizes.sum()) // width
+        for sink in sinks:
+            sink.close()
+        if sinks:
+            yield pa.RecordBatch.from_pydict(
+                {"file": [f"{name}.records"], "index": [f"{name}.index"], "records": [records], "ids": [ids]},
+                schema=pa.schema([("file", pa.string()), ("index", pa.string()), ("records", pa.int64()), ("ids", pa.int64())]),
+            )
 
     written = ordered.mapInArrow(write, "file string, index string, records long, ids long")
     return cut(written.withColumn("shard", F.spark_partition_id()).select("shard", "file", "index", "records", "ids"))
@@ -252,7 +322,7 @@ def read_records(spark: SparkSession, folder: str, shards: DataFrame) -> DataFra
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = _store(folder)
+        store, path = open_store(folder)
         for batch in batches:
             for shard, file, index, base in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 with store.open_input_stream(f"{path}/{index}") as source:

@@ -392,6 +392,33 @@ def test_records(frame, spark, tmp_path):
     assert token_records.write_records(frame(docs).limit(0), folder, path, 1).count() == 0
 
 
+def test_words_of_any_kind():
+    """Words against the library's ids of whole texts, also with another tokenizer file."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    pools = [string.printable, "abcXYZ'", "éÉßÀĀŁłŒœŸ×÷ſİıŉ", "漢字🙂ΣσςИ", "²½٣́̈", "'stvemld'", "<|endoftext|>"]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(60))) for _ in range(600)]
+    texts += ["<|endoftext|>", "a<|startoftext|>b", "İstanbul ΣΑΣ ŉ", "a\x1cb\xa0c\u2003d\x85e\x0bf\x0cg", *[t or "" for t in ODD]]
+    for file, width in (("word_bpe_49k.json", 2), ("byte_bpe_50k.json", 4)):
+        public, words = Tokenizer.from_file(public_tokenizers.path(file)), token_records.WordEncoder(public_tokenizers.path(file), width)
+        assert (words.known is not None) == (file == "word_bpe_49k.json")
+        for _ in range(2):  # the second time from the store
+            for text, got in zip(texts, words.encode([t.encode() for t in texts]), strict=True):
+                assert np.frombuffer(got, f"<u{width}").tolist() == public.encode(text, add_special_tokens=False).ids, repr(text)
+    with pytest.raises(OverflowError):
+        token_records.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), 1).encode([b"hello world"])
+
+
+def test_full_store(monkeypatch):
+    monkeypatch.setattr(token_records, "CACHED_WORDS", 5)
+    encoder = token_records.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    texts = [prose(i, 40).encode() for i in range(20)]
+    plain = token_records.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    assert [encoder.encode([t])[0] for t in texts] == plain.encode(texts)
+    assert all(len(store) <= 5 for store in (encoder.known, encoder.known.older, encoder.known.parts, encoder.known.parts.older))
+
+
 def test_record_frames():
     assert token_records.crc32c([b"123456789", b"", b"\x00" * 32, b"\xff" * 32]).tolist() == [0xE3069283, 0, 0x8A9136AA, 0x62A8AB43]
     payloads = [bytes(range(n % 256)) * 3 for n in range(40)]
