@@ -18,8 +18,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     input, four fifths of it by a checksum of the id, as in the query of the operator."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     dictionaries = language_id.train_dictionaries(docs.filter(~F.coalesce(held_out, F.lit(False))))
-    judged = language_id.identify_language(docs, dictionaries, lang="__lang", score="__score", accepted="__accepted")
-    return judged.filter("__accepted").select(*[F.col(f"`{c}`") for c in docs.columns])
+    accepted = shared.free_name(docs.columns, "accepted")
+    judged = language_id.identify_language(docs, dictionaries, accepted=accepted)
+    return judged.filter(F.col(accepted)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
