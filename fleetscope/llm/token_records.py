@@ -212,8 +212,11 @@ class _WordIds(_Store):
 
     def make(self, word: bytes) -> bytes:
         text = word.decode()
-        if text.isascii() and text.isalpha():
-            return self.parts[text.lower()]
+        if text.isascii():
+            if text.isalpha():
+                return self.parts[text.lower()]
+            if text[-1] in ".,;:!?" and text[:-1].isalpha():
+                return self.parts[text[:-1].lower()] + self.parts[text[-1]]
         if _PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join([self.parts[part] for part in _SPLIT.findall(text.lower())])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes()
