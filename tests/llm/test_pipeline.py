@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 from check import compare, connect
+from pyspark.sql import functions as F
 from test_operators import ODD, brute_components, edited, prose, shingles
 
 import corpus_pipeline
@@ -56,6 +57,22 @@ def test_stages(spark, folder):
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in clean.collect()) and len(want) < docs.count()
 
 
+CLASHES = ["accepted", "__accepted", "lang_pred", "__lang", "score", "items_found", "component_id", "node", "token", "recipe", "rank", "row", "__kept", "n_tokens", "ids_sha256"]
+
+
+def test_stages_with_clashing_columns(spark, folder):
+    """Columns called like those that the operators add change no decision."""
+    plain = docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.withColumns({name: F.lit(False) for name in CLASHES})
+    for name, stage in corpus_pipeline.STAGES:
+        want = stage(spark, plain, folder)
+        got = stage(spark, docs, folder)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got.columns == docs.columns, name
+        rows = lambda df: sorted(str((r.doc_id, r.text if "text" in df.columns else r.ids_sha256)) for r in df.collect())
+        assert rows(got) == rows(want), name
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     ids = {r.doc_id for r in out.collect()}
