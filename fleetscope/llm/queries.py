@@ -39,9 +39,13 @@ def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "toxic")
     chosen = shared.bounded_sample(known, toxicity.TRAINING_ROWS, "doc_id", "toxic")
     sample = shared.cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    held = F.pmod(F.xxhash64("text"), F.lit(toxicity.HELD_OUT)) == 0
+    limit = toxicity.toxic_limit(toxicity.fit_ordinal(toxicity.severity_grades(sample.filter(~held))), sample.filter(held))
     model = toxicity.fit_ordinal(toxicity.severity_grades(sample))
     scored = toxicity.score_severity(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", "severity", F.round("severity").cast("int").alias("grade"), (F.col("severity") >= toxicity.TOXIC_FROM).alias("toxic"))
+    toxic = F.col("severity") >= limit
+    grade = F.when(toxic, F.greatest(F.lit(1), F.round("severity").cast("int"))).when(~toxic, 0)
+    return scored.select("doc_id", "severity", grade.alias("grade"), toxic.alias("toxic"))
 
 
 def decontamination_query(spark: SparkSession, folder: str) -> DataFrame:

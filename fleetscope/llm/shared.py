@@ -46,9 +46,10 @@ def bounded_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
     if count <= rows:
         return df
     edge = -(1 << 63) + int((rows * 1.05 + 300) / count * (1 << 64))
-    hashed = df.withColumn("__hash", F.xxhash64(*columns))
-    near = hashed.filter(F.col("__hash") < F.lit(min(edge, (1 << 63) - 1)))
-    return near.orderBy("__hash", *columns).limit(rows).drop("__hash")
+    name = free_name(df.columns, "hash")
+    hashed = df.withColumn(name, F.xxhash64(*columns))
+    near = hashed.filter(F.col(name) < F.lit(min(edge, (1 << 63) - 1)))
+    return near.orderBy(name, *columns).limit(rows).drop(name)
 
 
 def free_name(taken: list[str], wanted: str) -> str:

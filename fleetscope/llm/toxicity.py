@@ -23,8 +23,10 @@ LEAST_ROWS = 5
 RIDGE = 1.0
 #: Conjugate gradient steps that one Newton step may take.
 INNER_STEPS = 200
-#: Expected severity from which a document is toxic.
+#: Expected severity from which a document is toxic at the latest; see :func:`toxic_limit`.
 TOXIC_FROM = 0.5
+#: One labelled row in so many is held out to choose that limit.
+HELD_OUT = 5
 WORD_PATTERN = r"[^\p{L}]+"
 
 
@@ -49,21 +51,42 @@ def words_in(text):
 def severity_grades(labelled: DataFrame, toxic: str = "toxic", text: str = "text") -> DataFrame:
     """Grades for tables that only say toxic or not: 0 where not; else 1, or 2 where a larger share of
     the words than in the middle toxic row are words that mark toxic rows. A word marks them if it
-    is in at least :data:`LEAST_ROWS` of them and in none of the others.
+    is in at least :data:`LEAST_ROWS` of them and in fewer than one row in twenty of the others for each of them. The
+    second grade is thus made of words that are features of the model too; labels alone tell the first.
 
-    Adds ``grade``; null where the label or text is null. Counts cover all labelled rows.
+    Adds ``grade``; null where the label or text is null. Counts cover the rows given.
     """
-    rows = labelled.withColumn("__all", words_in(text))
-    seen = rows.filter(F.col(toxic).isNotNull()).select(F.explode("__all").alias("word"), toxic).groupBy("word").agg(
-        F.count_if(F.col(toxic) > 0).alias("bad"), F.count_if(F.col(toxic) <= 0).alias("good")
+    every, part = free_name(labelled.columns, "words"), free_name(labelled.columns, "share")
+    rows = labelled.withColumn(every, words_in(text))
+    seen = rows.filter(F.col(toxic).isNotNull()).select(F.explode(every).alias("word"), F.col(toxic).alias("toxic")).groupBy("word").agg(
+        F.count_if(F.col("toxic") > 0).alias("bad"), F.count_if(F.col("toxic") <= 0).alias("good")
     )
     marks = seen.filter((F.col("bad") >= LEAST_ROWS) & (F.col("bad") > 20 * F.col("good"))).orderBy(F.desc("bad"), "word").limit(FEATURES)
     listed = [r.word for r in marks.collect()]
-    share = F.size(F.array_intersect("__all", F.split(F.lit(" ".join(listed)), " "))) / F.greatest(F.size("__all"), F.lit(1))
-    rows = rows.withColumn("__share", share)
-    middle = rows.filter(F.col(toxic) > 0).agg(F.percentile_approx("__share", 0.5).alias("m")).first().m or 0.0
-    grade = F.when(F.col(toxic).isNull() | F.col(text).isNull(), F.lit(None)).when(F.col(toxic) <= 0, 0).when(F.col("__share") > middle, 2).otherwise(1)
-    return rows.withColumn("grade", grade.cast("int")).drop("__all", "__share")
+    share = F.size(F.array_intersect(every, F.split(F.lit(" ".join(listed)), " "))) / F.greatest(F.size(every), F.lit(1))
+    rows = rows.withColumn(part, share)
+    middle = rows.filter(F.col(toxic) > 0).agg(F.percentile_approx(part, 0.5).alias("m")).first().m or 0.0
+    grade = F.when(F.col(toxic).isNull() | F.col(text).isNull(), F.lit(None)).when(F.col(toxic) <= 0, 0).when(F.col(part) > middle, 2).otherwise(1)
+    return rows.withColumn("grade", grade.cast("int")).drop(every, part)
+
+
+def toxic_limit(model: OrdinalModel, held: DataFrame, toxic: str = "toxic", text: str = "text", rows: int = TRAINING_ROWS) -> float:
+    """The expected severity from which a text counts as toxic: the one with the best F1 on labelled rows that the
+    model has not seen, in the middle between two of their severities; :data:`TOXIC_FROM` at most, and where
+    ``held`` lacks either kind. At most ``rows`` rows come to the driver."""
+    known = held.select(F.col(text).alias("text"), (F.col(toxic) > 0).alias("toxic")).filter("text IS NOT NULL AND toxic IS NOT NULL")
+    scored = score_severity(bounded_sample(known, rows, "text", "toxic"), model).select("severity", "toxic").collect()
+    severity, bad = np.array([r.severity for r in scored]), np.array([r.toxic for r in scored], dtype=bool)
+    if not bad.any() or bad.all():
+        return TOXIC_FROM
+    order = np.argsort(severity)
+    severity, bad = severity[order], bad[order]
+    hits = bad.sum() - np.concatenate([[0], np.cumsum(bad)])[:-1]  # toxic rows from each place on
+    best = 2 * hits / (np.arange(len(bad), 0, -1) + bad.sum())
+    best[np.concatenate([[False], severity[1:] == severity[:-1]])] = -1
+    place = int(np.flatnonzero(best == best.max())[-1])
+    below = severity[place - 1] if place else 0.0
+    return float(min(TOXIC_FROM, (below + severity[place]) / 2))
 
 
 def fit_ordinal(

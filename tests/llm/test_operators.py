@@ -106,6 +106,39 @@ def test_toxicity(frame, spark):
     assert {(r.grade, r.toxic) for r in grades.collect()} == {(0, 0), (1, 1), (2, 1), (None, 1), (None, None)}
 
 
+def test_toxic_limit(spark):
+    """The limit with the best F1 over all limits, and held-out recall and precision."""
+    rng = random.Random(2)
+    model = toxicity.OrdinalModel(["bad", "mild"], np.array([3.0, 1.0]), np.array([1.5, 3.0]))
+    pool = ["bad mild", "bad", "mild", "nothing"]
+    rows = [(rng.choice(pool[:3] if toxic else pool[2:] * 4 + pool[:1]), int(toxic)) for toxic in [rng.random() < 0.3 for _ in range(300)]]
+    held = spark.createDataFrame([*rows, (None, 1), ("x", None)], "text string, toxic int")
+    limit = toxicity.toxic_limit(model, held)
+    severity = {t: float(model.expected(np.array([3.0 * ("bad" in t) + ("mild" in t)]))[0]) for t in pool}
+
+    def f1(at):
+        hits = sum(1 for t, y in rows if y and severity[t] >= at)
+        return 2 * hits / (sum(1 for t, _ in rows if severity[t] >= at) + sum(y for _, y in rows))
+
+    assert limit <= toxicity.TOXIC_FROM and f1(limit) == max(f1(at / 200) for at in range(101))
+    for one_kind in (held.filter("toxic = 1"), held.filter("toxic = 0"), held.limit(0)):
+        assert toxicity.toxic_limit(model, one_kind) == toxicity.TOXIC_FROM
+
+
+def test_toxicity_of_held_out_rows(spark):
+    rng = random.Random(12)
+    marked = lambda i, bad: " ".join(rng.sample([*prose(i, 40 + i % 200).split(), *rng.sample(["awful", "nasty", "vile", "rotten", "foul"], bad)], k=40 + i % 200 + bad))
+    rows = [(i, marked(i, 4 * (i % 7 == 0)), int(i % 7 == 0)) for i in range(1400)]
+    df = spark.createDataFrame([(*r, "x", "x", "x") for r in rows], "doc_id long, text string, toxic int, words string, share string, hash string")
+    model = toxicity.fit_ordinal(toxicity.severity_grades(df.filter("doc_id < 800")))
+    limit = toxicity.toxic_limit(model, df.filter("doc_id BETWEEN 800 AND 999"))
+    got = toxicity.score_severity(df.filter("doc_id >= 1000"), model).collect()
+    caught = [r.severity >= limit for r in got if r.toxic]
+    assert sum(caught) / len(caught) >= 0.9 and sum(r.severity >= limit for r in got if not r.toxic) <= 3
+    graded = toxicity.severity_grades(df)
+    assert graded.columns == [*df.columns, "grade"]
+
+
 # --- 2 decontamination ---------------------------------------------------------------------------
 
 
