@@ -15,6 +15,8 @@ from fleetscope.llm.shared import free_name, text_slices
 #: Bytes of a language's dictionary, and texts they are taken from.
 DICTIONARY_BYTES = 96 << 10
 TRAINING_TEXTS = 192
+#: Sub-keys over which a language's texts are dealt while its sample is drawn.
+SAMPLE_SALTS = 64
 #: Characters compressed at once: a longer text is compressed in blocks, so that each of them meets the
 #: dictionary and not its own earlier part.
 BLOCK_CHARS = 2_000
@@ -40,8 +42,12 @@ def train_dictionaries(
     share = max(1, size // texts)
     start = F.greatest(F.lit(1), ((F.length("text") - share) / 2).cast("int"))
     pieces = rows.select("lang", F.xxhash64("text").alias("hash"), F.substring("text", start, F.lit(share)).alias("piece"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    least = pieces.select("lang", "hash").distinct().withColumn("rank", rank).filter(F.col("rank") <= texts)
+    least = pieces.select("lang", "hash", F.pmod("hash", F.lit(SAMPLE_SALTS)).alias("salt")).distinct()
+    # The least of a language are among the least of its sub-keys, so one task sees a bounded number of rows.
+    for keys in (["lang", "salt"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("hash"))
+        least = least.withColumn("rank", rank).filter(F.col("rank") <= texts)
+    least = least.drop("salt")
     # At most ``texts`` narrow rows a language, so they can go to every task.
     chosen = pieces.join(F.broadcast(least), ["lang", "hash"]).select("lang", "rank", "piece").distinct().orderBy("lang", "rank", "piece").collect()
     found: dict[str, list[bytes]] = {}
