@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +77,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+def open_store(uri: str) -> tuple:
     """The file system of a path as Spark names it, and the path there; executors open it by themselves."""
+    import pyarrow.fs as pafs  # takes memory that only writers and readers of files need
+
     known = re.sub(r"^file:/(?!/)", "file:///", re.sub(r"^s3[an]:", "s3:", uri))
     return pafs.FileSystem.from_uri(known if re.match(r"[a-z][a-z0-9+.-]*:", known) else f"file://{known}")
