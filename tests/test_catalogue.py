@@ -14,7 +14,7 @@ from fleetscope.plans.catalog import CATALOGUE
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 #: Findings that 200 documents do not hold; the larger tables do.
-RARE = {"secret_scan", "classify_values", "risk_search"}
+RARE = {"secret_scan", "classify_values", "risk_search", "diff_findings"}
 
 
 @pytest.fixture(scope="module")

@@ -9,7 +9,7 @@ import pytest
 from fleetscope.plans.catalog import CATALOGUE
 
 FOLDER = "/root/testdata/sf0.001"
-PYTHON_ALLOWED = {"manifest_packages": "MapInPandas", "manifest_dependencies": "MapInPandas", "manifest_errors": "MapInPandas", "text_entropy": "ArrowEvalPython"}
+PYTHON_ALLOWED = {"manifest_packages": "MapInPandas", "risk_union": "MapInPandas", "manifest_dependencies": "MapInPandas", "manifest_errors": "MapInPandas", "text_entropy": "ArrowEvalPython"}
 
 
 @pytest.fixture(scope="module")
