@@ -62,3 +62,11 @@ def test_only_checked_sides_are_broadcast():
         source = file.read_text()
         assert "broadcast(" not in source, file
         assert ".collect()" not in source and "localCheckpoint" not in source, file
+
+
+@pytest.mark.parametrize(
+    "name", ["ownership_lines", "module_totals", "ownership_shares", "top_contributors", "ai_line_share", "module_ownership"]
+)
+def test_blame_lines_are_dealt_over_a_fixed_number_of_tasks(plan, name):
+    """Adaptive execution would join partitions up to a size in bytes, of which the counts take many times as much."""
+    assert re.search(r"hashpartitioning\(l_orderkey#\d+L?, 256\), REPARTITION_BY_NUM", plan(name))
