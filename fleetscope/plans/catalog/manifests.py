@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions import versions
+from fleetscope.operators.ordered import FEW_DEALT, deal
 from fleetscope.plans.catalog.base import Registry, Tables
 from fleetscope.sources import manifests
 
@@ -39,7 +40,9 @@ BROKEN = {"package.json": '{"dependencies": {"d', "composer.json": '{"require":
 
 
 def files(t: Tables) -> DataFrame:
-    """``repo, path, content``; parts of sizes 11, 22, 33 and 44 are broken where the format can be."""
+    """``repo, path, content``; parts of sizes 11, 22, 33 and 44 are broken where the format can be.
+
+    Parts are dealt first: a part is a few bytes, its manifest takes far longer to make and to parse."""
     key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     kind = F.col("p_partkey") % len(TEMPLATES)
     content: Column | None = None
@@ -50,7 +53,8 @@ def files(t: Tables) -> DataFrame:
             text = F.when(F.col("p_size") % 11 == 0, F.lit(BROKEN[file])).otherwise(text)
         content = (F if content is None else content).when(kind == n, text)
         name = (F if name is None else name).when(kind == n, F.lit(file))
-    return t("part").select(
+    parts = deal(t("part").select("p_partkey", "p_size", "p_brand"), ["p_partkey"], FEW_DEALT)
+    return parts.select(
         F.col("p_brand").alias("repo"), F.concat(F.lit("m"), key, F.lit("/"), name).alias("path"), content.alias("content")
     )
 

@@ -230,9 +230,17 @@ def read_manifests(files: DataFrame, repo: str = "repo", path: str = "path", con
     return plain.unionByName(parsed)
 
 
+def _listed(manifests: DataFrame, columns: list[str], structs: Column) -> DataFrame:
+    """One row per struct of a list. The outer generator has no test for empty lists added to it, which would
+    parse every manifest once more, and where the file is read."""
+    marked = F.transform(structs, lambda s: F.struct(s.alias("s"), F.lit(True).alias("__there")))
+    return manifests.select(*columns, F.inline_outer(marked)).filter("__there").select(*columns, "s.*")
+
+
 def dependencies(manifests: DataFrame, repo: str = "repo") -> DataFrame:
     """Distinct dependency names per repository."""
-    return manifests.select(repo, F.explode("entries.dependency").alias("dependency")).distinct()
+    names = F.transform("entries", lambda e: F.struct(e["dependency"].alias("dependency")))
+    return _listed(manifests, [repo], names).distinct()
 
 
 def packages(manifests: DataFrame, repo: str = "repo") -> DataFrame:
@@ -241,7 +249,7 @@ def packages(manifests: DataFrame, repo: str = "repo") -> DataFrame:
         F.filter("entries", lambda e: e["spec"].isNotNull()),
         lambda e: versions.package_spec(e["ecosystem"], e["name"], e["spec"]),
     )
-    return manifests.select(repo, "manifest", F.inline(F.filter(parsed, lambda p: p.isNotNull())))
+    return _listed(manifests, [repo, "manifest"], F.filter(parsed, lambda p: p.isNotNull()))
 
 
 def go_metadata(files: DataFrame, repo: str = "repo", path: str = "path", content: str = "content") -> DataFrame:
