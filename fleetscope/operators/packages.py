@@ -182,7 +182,9 @@ def versions_in_ranges(versions: DataFrame, ranges: DataFrame, keys: Sequence[st
         (F.max(F.when(F.col("end") == "first", F.col("place"))) + 1).alias("first"), F.max(F.when(F.col("end") == "last", F.col("place"))).alias("last")
     )
     inside = spans.filter("first <= last").select(*keys, "range", F.explode(F.sequence("first", "last")).alias("place"))
-    return inside.join(placed.filter("end IS NULL").select(*keys, "place", version), [*keys, "place"]).select(*keys, version, "range.*")
+    # Asked for the range as well, so that both sides have the same columns and read one shuffle.
+    found = placed.filter("end IS NULL AND range IS NULL").select(*keys, "place", version)
+    return inside.join(found, [*keys, "place"]).select(*keys, version, "range.*")
 
 
 def match_advisories(
@@ -212,7 +214,9 @@ def match_advisories(
     ).filter("ecosystem IS NOT NULL AND __package IS NOT NULL")
     used = packages.select(repo, "ecosystem", "name", "version", "exact", _package_key(F.col("ecosystem"), F.col("name")).alias("__package"))
     seen = used.select(*keys, "version").filter("version IS NOT NULL").distinct()
-    keyed = seen.withColumn("key", version_key(F.col("ecosystem"), F.col("version")))
+    # Made by a generator, so that no filter on the key is moved below the distinct and reads every row's version.
+    key = F.struct(version_key(F.col("ecosystem"), F.col("version")).alias("key"))
+    keyed = seen.select("*", F.inline_outer(F.array(key)))
     ranges = named.select(*keys, *found, F.inline(adv.affected_intervals(F.col("ecosystem"), F.col("ranges")))).distinct()
     ranged = versions_in_ranges(keyed, ranges, keys).select(*keys, "version", *found)
     listed = named.select(*keys, F.explode(F.array_distinct("versions")).alias("version"), *found)

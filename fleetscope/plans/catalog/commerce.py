@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions.advisories import AFFECTED
 from fleetscope.operators import drift, fleet, history, ownership, packages
-from fleetscope.operators.ordered import deal
+from fleetscope.operators.ordered import FEW_DEALT, deal
 from fleetscope.plans.catalog.base import Registry, Tables
 from fleetscope.sources import gitlog
 
@@ -271,7 +271,8 @@ def advisories(t: Tables) -> DataFrame:
     event = lambda introduced, fixed: F.struct(introduced.alias("introduced"), fixed.alias("fixed"), none.alias("last_affected"), none.alias("limit"))
     events = F.array(event(F.lit("0"), none), event(none, fixed))
     eco = F.when(key % 3 == 0, "npm").otherwise("PyPI")
-    return t("part").select(
+    parts = deal(t("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), ["p_partkey"], FEW_DEALT)
+    return parts.select(
         F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("ADV-"), key.cast("string"))).alias("id"),
         F.when(size % 7 == 0, " ").otherwise(F.col("p_name")).alias("summary"),
         F.concat(F.lit("\n"), F.col("p_brand"), F.lit("\nmore")).alias("details"),
@@ -350,7 +351,9 @@ AFFECTS = [
 
 
 def ranged_advisories(t: Tables) -> DataFrame:
-    """An OSV record per part, two for some; all of them also name a range of commits, which counts for nothing."""
+    """An OSV record per part, two for some; all of them also name a range of commits, which counts for nothing.
+
+    Parts are dealt first: a part is a few bytes, its records take far longer to make and to read."""
     text = lambda v: F.lit(v).cast("string")
     event = lambda e: F.struct(*[text(v).alias(n) for v, n in zip(e, ("introduced", "fixed", "last_affected", "limit"), strict=True)])
     commits = F.struct(F.lit("GIT").alias("type"), F.array(event(("0", None, None, None))).alias("events"))
@@ -364,7 +367,8 @@ def ranged_advisories(t: Tables) -> DataFrame:
         chosen = (F if chosen is None else chosen).when(F.col("kind") == n, F.array(one).cast(AFFECTED))
     kinds = F.array_distinct(F.array(F.col("p_size") % 8, F.col("p_size") % 5)).cast("array<int>")
     none = F.lit(None).cast("string")
-    return t("part").select("p_partkey", "p_size", F.explode(kinds).alias("kind")).select(
+    parts = deal(t("part").select("p_partkey", "p_size"), ["p_partkey"], FEW_DEALT)
+    return parts.select("p_partkey", "p_size", F.explode(kinds).alias("kind")).select(
         F.concat_ws("-", F.lit("ADV"), key.cast("string"), F.col("kind").cast("string")).alias("id"), F.lit("words").alias("summary"), none.alias("details"),
         F.array().cast("array<string>").alias("aliases"), F.array().cast("array<struct<type:string,score:string>>").alias("severity"),
         F.struct(F.when(F.col("kind") % 2 == 0, "HIGH").otherwise("LOW").alias("severity")).alias("database_specific"), chosen.alias("affected"),

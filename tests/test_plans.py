@@ -70,3 +70,19 @@ def test_only_checked_sides_are_broadcast():
 def test_blame_lines_are_dealt_over_a_fixed_number_of_tasks(plan, name):
     """Adaptive execution would join partitions up to a size in bytes, of which the counts take many times as much."""
     assert re.search(r"hashpartitioning\(l_orderkey#\d+L?, 256\), REPARTITION_BY_NUM", plan(name))
+
+
+@pytest.mark.parametrize("name", ["vulnerability_ranges", "vulnerability_join", "manifest_dependencies", "manifest_packages"])
+def test_costly_rows_of_small_tables_are_dealt(plan, name):
+    assert re.search(r"hashpartitioning\(p_partkey#\d+L?, 64\), REPARTITION_BY_NUM", plan(name))
+
+
+@pytest.mark.parametrize("name", ["manifest_dependencies", "manifest_packages"])
+def test_manifests_are_parsed_once(plan, name):
+    assert not [line for line in plan(name).splitlines() if re.match(r"[ :+-]*Filter ", line) and "try_parse_json" in line]
+
+
+def test_version_keys_are_made_of_distinct_versions(plan):
+    """A filter on the key below the distinct would read the version of every package row."""
+    below = [line for line in plan("vulnerability_ranges").splitlines() if re.match(r"[ :+-]*Filter ", line) and "l_partkey" in line]
+    assert below and not [line for line in below if "alpha" in line]
