@@ -6,12 +6,15 @@ file of the same source.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.operators import drift, lines, packages, risks, scope
 from fleetscope.plans.catalog import commerce, manifests, risk, stream
 from fleetscope.plans.catalog.base import Registry, Tables
+from fleetscope.session import Workspace
 from fleetscope.sources import gitlog
 from fleetscope.sources import manifests as manifest_source
 
@@ -290,10 +293,12 @@ UNION ALL SELECT s.repo, 8, 'Review the sections above and validate the project
 WHERE s.repo NOT IN (SELECT repo FROM steps)
 UNION ALL SELECT DISTINCT source, 8, 'Review the sections above and validate the project setup.' FROM documents WHERE source NOT IN (SELECT repo FROM steps)""")
 def checklist_sections(t: Tables) -> DataFrame:
-    """All sections: risks with conflicts, upgrades, frameworks, files of a diff, stale paths, stack, environment, and the default."""
+    """All sections: risks with conflicts, upgrades, frameworks, files of a diff, stale paths, stack, environment, and the
+    default. The steps are made once, as a table in the shared folder, which stays for the result."""
     named = t("documents").select(F.col("source").alias("repo"), "lang")
     works = named.filter("lang <> 'en'").select("repo", F.col("lang").alias("framework")).distinct()
     spots = named.filter("lang = 'en'").groupBy("repo", F.col("lang").alias("path")).agg(F.count("*").alias("changes"))
     found = risks.risk_map([*risk.parts(t), risks.conflict_risks(conflicts(t))], "medium")
     repos = named.select("repo").union(t("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))).distinct()
-    return risks.checklist(repos, found, risk.flagged(t), works, spots, drift_rows(t), incremental=True)
+    kept = Workspace(t.spark, tempfile.mkdtemp(prefix="steps-"))
+    return risks.checklist(repos, found, risk.flagged(t), works, spots, drift_rows(t), incremental=True, workspace=kept)
