@@ -222,6 +222,33 @@ def test_passages_are_removed_whole(frame):
     assert all(copied[d - 10] in x and len(x.split()) <= len(copied[d - 10].split()) + 4 for d, x in removed)
 
 
+def test_passages_of_windows_and_whole_paragraphs(frame):
+    """A line that is a window of another document is found."""
+    shingles = lambda text: shingling.shingles_at(shingling.words_of(pa.array([text])).hashes)
+    docs = []
+    for seed in range(18000, 19000):
+        line = prose(seed, 24)
+        alone = f"{prose(seed + 1000, 60)}\n\n{line}\n\n{prose(seed + 2000, 60)}"
+        inside = f"{prose(seed + 3000, 60)} {line} {prose(seed + 4000, 60)}"
+        if 60 in passages.anchors(shingles(inside)) and not set(range(50, 71)) & set(passages.anchors(shingles(alone)).tolist()):
+            docs += [(2 * len(docs), alone), (2 * len(docs) + 1, inside)]
+    assert len(docs) >= 4
+    assert {r["doc_id"] for r in rows_of(passages.repeated_passages(frame(docs)))} == {d for d, _ in docs}
+
+
+def test_passages_fetch_only_what_may_be_similar(frame, monkeypatch):
+    """Bitmaps tell unlike paragraphs of a bucket apart before any text moves; large buckets give the same stretches."""
+    fetched, contents = [], passages._contents
+    monkeypatch.setattr(passages, "_contents", lambda docs, wanted, places: fetched.append(wanted.count()) or contents(docs, wanted, places))
+    docs = [(i, f"{prose(40000 + i, 8)} {prose(41000 + i % 40, 30)} {prose(42000 + i, 8)}") for i in range(120)]
+    docs += [(1000 + i, edited(prose(43000, 60), i, 30)) for i in range(12)]
+    got = {tuple(r) for r in rows_of(passages.repeated_passages(frame(docs)))}
+    monkeypatch.setattr(passages, "BUCKET_ROWS", 2)
+    large = {tuple(r) for r in rows_of(passages.repeated_passages(frame(docs)))}
+    assert got == large and got
+    assert 2 * fetched[0] < fetched[1]
+
+
 def test_anchor_guarantee():
     rng = np.random.default_rng(1)
     for _ in range(200):
