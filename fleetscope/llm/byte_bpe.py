@@ -1,4 +1,4 @@
-"""Byte-level BPE, encoding and decoding, by merges found in a segment tree."""
+"""Byte-level BPE, encoding and decoding; merges of short pieces are found by a scan, of long ones in a segment tree."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ from fleetscope.llm.shared import free_name, text_slices
 CACHED_PIECES = 400_000
 #: Longer pieces are not kept.
 CACHED_LENGTH = 64
+#: Bytes up to which the least pair of a piece is found by a scan. Any number gives the same ids.
+SCANNED_BYTES = 128
 _NONE = 1 << 62
 
 
@@ -27,12 +29,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one piece. Leaf ``i`` of the tree holds ``rank * n + i`` of the token at byte ``i`` joined
-    with the next live token, so the root is the leftmost pair of least rank; a merge updates the leaves
-    of the merged token, of the one before, and of the one that went."""
+    """Ids of one piece."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
+    return _merge_scanned(piece, ranks) if len(piece) <= SCANNED_BYTES else _merge_tree(piece, ranks)
+
+
+def _merge_scanned(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """``pairs[i]`` is the rank of ``tokens[i]`` joined with the next one; the first of least rank merges."""
+    rank, n = ranks.get, len(piece)
+    tokens = [piece[i : i + 1] for i in range(n)]
+    pairs = [rank(piece[i : i + 2], _NONE) for i in range(n - 1)]
+    while pairs and (least := min(pairs)) != _NONE:
+        i = pairs.index(least)
+        tokens[i] = token = tokens[i] + tokens.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank(token + tokens[i + 1], _NONE)
+        if i:
+            pairs[i - 1] = rank(tokens[i - 1] + token, _NONE)
+    return [ranks[token] for token in tokens]
+
+
+def _merge_tree(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Leaf ``i`` of the tree holds ``rank * n + i`` of the token at byte ``i`` joined with the next live
+    token, so the root is the leftmost pair of least rank; a merge updates the leaves of the merged token,
+    of the one before, and of the one that went."""
     n = len(piece)
     token = [piece[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))

@@ -9,6 +9,7 @@ import hashlib
 import random
 import re
 import string
+import sys
 import zlib
 
 import numpy as np
@@ -401,6 +402,22 @@ def test_byte_bpe(frame):
     assert [small.encode(t or "").tolist() for t in texts] == [public.encode_ordinary(t or "") for t in texts]
 
 
+def test_short_pieces_are_scanned(monkeypatch):
+    """A short piece takes a call or two of Python functions, not some for each merge; a long one meets the same ids."""
+    rng = random.Random(6)
+    ranks = byte_bpe.read_ranks(RANKS)
+    pieces = ["".join(rng.choices("aehinorst\u00e9", k=rng.randrange(6, 90))).encode() for _ in range(300)] + [b"a" * 61, b"abab" * 20]
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+    try:
+        scanned = [byte_bpe.merge_piece(piece, ranks) for piece in pieces]
+    finally:
+        sys.setprofile(None)
+    assert len(calls) <= 2 * len(pieces)
+    monkeypatch.setattr(byte_bpe, "SCANNED_BYTES", 0)
+    assert [byte_bpe.merge_piece(piece, ranks) for piece in pieces] == scanned
+
+
 # --- 7 n-gram Jaccard join -----------------------------------------------------------------------
 
 
