@@ -50,6 +50,8 @@ def _crc_tables() -> np.ndarray:
 
 
 _CRC = _crc_tables()
+#: Bytes whose register is looked up by pairs at once, a power of two. Any number from four on gives the same checksums.
+_BLOCK = 16
 
 
 def _advance(crcs: np.ndarray, zeros: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
@@ -70,28 +72,40 @@ def _advance(crcs: np.ndarray, zeros: int, known: dict[int, np.ndarray] = {}) ->
     return low[crcs & np.uint32(0xFFFF)] ^ high[crcs >> np.uint32(16)]
 
 
-def _pairs(known: list[np.ndarray] = []) -> np.ndarray:  # noqa: B006
-    """The register after each pair of bytes, the first one in the low half of its index."""
+def _pairs(known: list[np.ndarray] = []) -> list[np.ndarray]:  # noqa: B006
+    """The register after a block of zero bytes but for one pair, for each pair of the block and its values, the first
+    byte in the low half of the index."""
     if not known:
         pair = np.arange(1 << 16, dtype=np.uint32)
-        known.append(_advance(_CRC[pair & np.uint32(255)], 1) ^ _CRC[pair >> np.uint32(8)])
-    return known[0]
+        last = [_advance(_CRC[pair & np.uint32(255)], 1) ^ _CRC[pair >> np.uint32(8)]]
+        while len(last) < _BLOCK // 2:
+            last.append(_advance(last[-1], 2))
+        known[:] = last[::-1]
+    return known
 
 
 def crc32c(contents: list[bytes]) -> np.ndarray:
-    """CRC-32C of each of ``contents``. Those that need the same power of two of bytes are folded
-    together: the register of each pair of bytes alone, then of two pairs, four and so on."""
+    """CRC-32C of each of ``contents``. Those that need as many blocks, four to eight times a power of two or fewer, are
+    folded together: the register of each block alone, then of two blocks, four and so on, and the few that are left
+    one after another."""
     out = np.zeros(len(contents), dtype=np.uint32)
     sizes = np.array([len(c) for c in contents], dtype=np.int64)
-    widths = np.array([max(2, 1 << (n - 1).bit_length()) for n in sizes.tolist()], dtype=np.int64)
-    for width in np.unique(widths).tolist():
-        rows = np.flatnonzero(widths == width)
+    counts = [-(-n // _BLOCK) for n in sizes.tolist()]
+    counts = np.array([-(-n >> (bits := max(0, n.bit_length() - 3))) << bits for n in counts], dtype=np.int64)
+    for count in np.unique(counts[counts > 0]).tolist():
+        rows = np.flatnonzero(counts == count)
         # Leading zero bytes leave a zero register.
-        block = b"".join([contents[r].rjust(width, b"\0") for r in rows.tolist()])
-        registers, step = _pairs()[np.frombuffer(block, dtype="<u2")].reshape(len(rows), width // 2), 2
-        while registers.shape[1] > 1:
+        block = b"".join([contents[r].rjust(count * _BLOCK, b"\0") for r in rows.tolist()])
+        pairs = np.frombuffer(block, dtype="<u2").reshape(len(rows), count, _BLOCK // 2)
+        registers, step = np.zeros((len(rows), count), dtype=np.uint32), _BLOCK
+        for place, table in enumerate(_pairs()):
+            registers ^= table[pairs[:, :, place]]
+        while registers.shape[1] % 2 == 0:
             registers, step = _advance(registers[:, 0::2], step) ^ registers[:, 1::2], step * 2
-        out[rows] = registers[:, 0]
+        folded = registers[:, 0]
+        for column in range(1, registers.shape[1]):
+            folded = _advance(folded, step) ^ registers[:, column]
+        out[rows] = folded
     start, power = np.full(len(contents), 0xFFFFFFFF, dtype=np.uint32), 1
     while (sizes >= power).any():
         start, power = np.where(sizes & power, _advance(start, power), start), power * 2
@@ -212,11 +226,11 @@ class _WordIds(_Store):
 
     def make(self, word: bytes) -> bytes:
         text = word.decode()
-        if text.isascii():
-            if text.isalpha():
-                return self.parts[text.lower()]
-            if text[-1] in ".,;:!?" and text[:-1].isalpha():
-                return self.parts[text[:-1].lower()] + self.parts[text[-1]]
+        mark = text[-1] if text[-1] in ".,;:!?" else ""
+        letters = text[:-1] if mark else text
+        if letters.isalpha() and (letters.isascii() or _PLAIN.fullmatch(letters)):
+            ids = self.parts[letters.lower()]
+            return ids + self.parts[mark] if mark else ids
         if _PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join([self.parts[part] for part in _SPLIT.findall(text.lower())])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes()
