@@ -250,6 +250,81 @@ def test_passages_fetch_only_what_may_be_similar(frame, monkeypatch):
     assert 2 * fetched[0] < fetched[1]
 
 
+def test_passages_move_many_rows_of_a_band_at_once(frame, monkeypatch):
+    """A row that is dealt holds all that a task has of a part; what a task holds at once gives the same meetings."""
+    docs = [(i, f"{prose(50000 + i, 30)} {prose(51000 + i % 3, 30)}\n{prose(52000 + i % 40, 25)}") for i in range(160)]
+    rows = frame(docs, extra=False).coalesce(2)
+    units = passages._units(rows)
+    for first, count in ((1, 1), (passages.BANDS + 2, 2)):
+        packed = passages._packed(units, first, count, 3).collect()
+        got = np.concatenate([np.frombuffer(r["rows"], dtype=np.int64).reshape(-1, 3 + passages._BITMAP) for r in packed])
+        place = first % passages.BANDS
+        keyed = units.filter((F.col("whole") == (first >= passages.BANDS)) & (F.size("keys") > 0))
+        columns = [F.explode(F.slice("keys", place + 1, count)), "content", F.col("n").cast("long"), *[f"bits{i}" for i in range(passages._BITMAP)]]
+        assert sorted(map(tuple, got.tolist())) == sorted(tuple(r) for r in keyed.select(*columns).collect())
+        assert len(packed) <= 2 * 3 < len(got) / 20
+    monkeypatch.setattr(passages, "BUCKET_ROWS", 2)
+    whole = {tuple(r) for r in passages._meetings(units, 75, 0, 1).collect()}
+    monkeypatch.setattr(passages, "_HELD_ROWS", 5)
+    assert whole == {tuple(r) for r in passages._meetings(units, 75, 0, 1).collect()} and {r[0] is None for r in whole} == {True, False}
+
+
+def test_passages_words_around_and_extension():
+    """Words around paragraphs and extensions of many texts at once, against a walk over the words of each."""
+    rng, reach = random.Random(8), passages._AROUND_WORDS
+    base = f"{prose(60, 50)} {'é ' * 70}{prose(61, 60)}"
+    texts = [base, "", "one two", edited(base, 1, 30), f"ü {base}", prose(62, 24), "x " * 90, edited(f"{base} {base}", 2, 70)]
+    found = passages._Texts(pa.array(["skipped", *texts]).slice(1))
+    spans = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for t in texts]
+    words = [[t[a:b] for a, b in s] for t, s in zip(texts, spans, strict=True)]
+    hashes = {w: int(h) for t in texts for w, h in zip(t.split(), shingling.words_of(pa.array([t])).hashes, strict=True)}
+    at = [(r, lo, lo + rng.randrange(24, 40)) for r in range(len(texts)) for lo in range(0, max(0, len(words[r]) - 40), 3)]
+    row, lo, hi = np.array(at).T
+    content = passages._hashes_of(pa.array([texts[r][spans[r][a][0] : spans[r][b - 1][1]] for r, a, b in at])).copy()
+    content[5] += 1
+    start, end = (np.array(x) for x in zip(*[(spans[r][a][0], spans[r][b - 1][1]) for r, a, b in at], strict=True))
+    known, first, last = found.find(row, start, end, content)
+    assert known.tolist() == [i for i in range(len(at)) if i != 5]
+    assert not len(found.find(row, start + 10**6, end, content)[0]) and not len(found.find(row, start, end + 10**6, content)[0])
+    assert (first - found.offsets[row[known]] == lo[known]).all() and (last - found.offsets[row[known]] == hi[known]).all()
+
+    def around(r, a, b):
+        runs = [tuple(words[r][i : i + 5]) for i in range(len(words[r]) - 4)]
+        fresh = [i for i in range(len(words[r])) if not 0 < i < len(runs) or runs[i] != runs[i - 1]]
+        back, on = [i for i in fresh if i < a], [i for i in fresh if i >= b]
+        return words[r][back[-reach] if len(back) >= reach else 0 : a], words[r][b : on[reach] if len(on) > reach else len(words[r])]
+
+    sides = found.around(row[known], first, last)
+    got = [[np.frombuffer(x, dtype=np.uint64).tolist() for x in side.to_pylist()] for side in sides]
+    want = [around(*at[i]) for i in known]
+    assert [list(x) for x in zip(*got, strict=True)] == [[[hashes[w] for w in part] for part in pair] for pair in want]
+
+    other = rng.sample(range(len(known)), len(known))
+    stays = [at[known[rng.randrange(len(known))]] if rng.random() < 0.5 else None for _ in known]
+    outside = [s if s and (s[2] <= at[i][1] or s[1] >= at[i][2]) else None for s, i in zip(stays, known, strict=True)]
+    units = {
+        "start": start[known], "before": sides[0].take(pa.array(other)), "after": sides[1].take(pa.array(other)),
+        "stays_start": np.array([spans[at[i][0]][min(s[1], len(spans[at[i][0]]) - 1)][0] if s else -1 for s, i in zip(outside, known, strict=True)]),
+        "stays_end": np.array([spans[at[i][0]][min(s[2], len(spans[at[i][0]])) - 1][1] if s else -1 for s, i in zip(outside, known, strict=True)]),
+    }
+    longer = [x - found.offsets[row[known]] for x in found.extend(row[known], first, last, units)]
+    for k, i in enumerate(known):
+        (r, a, b), (before, after), s = at[i], want[other[k]], outside[k]
+        least = s[2] if s and start[i] >= units["stays_end"][k] else 0
+        most = s[1] if s and start[i] < units["stays_end"][k] else len(words[r])
+        back = next((j for j, (x, y) in enumerate(zip(words[r][least:a][::-1], before[::-1], strict=False)) if x != y), min(max(0, a - least), len(before)))
+        on = next((j for j, (x, y) in enumerate(zip(words[r][b:most], after, strict=False)) if x != y), min(max(0, most - b), len(after)))
+        assert (longer[0][k], longer[1][k]) == (a - back, b + on)
+
+
+def test_passages_common_shingles():
+    texts = [prose(i % 7, 30 + i) for i in range(20)] + ["x " * 60, "x y " * 40]
+    x, y = (np.array(c) for c in zip(*[(i, j) for i in range(22) for j in range(22)], strict=True))
+    got = passages._common(shingling.words_of(pa.array(texts)), x, y)
+    sets = [shingles(t) for t in texts]
+    assert [tuple(g) for g in np.stack(got, axis=1).tolist()] == [(len(sets[i] & sets[j]), len(sets[i]), len(sets[j])) for i, j in zip(x, y, strict=True)]
+
+
 def test_anchor_guarantee():
     rng = np.random.default_rng(1)
     for _ in range(200):
