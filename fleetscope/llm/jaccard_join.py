@@ -101,10 +101,10 @@ def _frequent(survey: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
         if room < 0:
             break
         least = row.level
-    found = totals.filter(F.col("level") >= least).collect()
-    values = np.array([r.shingle for r in found], dtype=np.int64).view(np.uint64)
+    found = totals.filter(F.col("level") >= least).select("shingle", "level").toArrow()
+    values = found.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(values)
-    return values[order], np.array([r.level for r in found], dtype=np.uint8)[order]
+    return values[order], found.column("level").to_numpy().astype(np.uint8)[order]
 
 
 def _postings(rows: DataFrame, values: np.ndarray, levels: np.ndarray, percent: int) -> DataFrame:

@@ -195,3 +195,21 @@ def test_parts_bound_groups_and_lose_nothing(spark):
     assert sum(r["count"] for r in sizes) == 5000
     assert max(r["count"] for r in sizes) < 200
     assert {r.k for r in sizes} == {"hot", "cold"}
+
+
+def test_repeated_groups_are_never_broadcast(spark):
+    """Groups within the limit of broadcasts are sent once, not in 32 copies; those above it are not sent, nor where
+    the columns that are read would fit."""
+    rows = spark.range(50).withColumnRenamed("id", "k").withColumn("v", F.col("k") * 7)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "100000")
+    try:
+        for count, sent in ((3_000, True), (20_000, False), (7_000, False)):
+            groups = spark.range(count).selectExpr("id AS k", "id + 1 AS n", "id + 2 AS m")
+            joined = ordered.join_groups(rows, groups, ["k"], F.col("v"), how="left").drop("m")
+            plan = joined._jdf.queryExecution().sparkPlan().toString()
+            assert ("BroadcastHashJoin" in plan, "Generate" in plan or "Expand" in plan) == (sent, not sent)
+            assert sorted((r.k, r.v, r.n) for r in joined.collect()) == [(k, 7 * k, k + 1) for k in range(50)]
+    finally:
+        spark.conf.set(limit, before)
