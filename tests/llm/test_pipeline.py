@@ -89,3 +89,11 @@ def test_empty(spark, folder, tmp_path):
 def test_query(spark, name):
     ok, note = compare(spark, connect(FOLDER), QUERIES[name], FOLDER)
     assert ok, note
+
+
+def test_near_stage_broadcasts_no_repeated_rows(spark, folder):
+    """Sets that fit a broadcast join as they are, not in a copy for each sub-key."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = corpus_pipeline.near_stage(spark, docs, folder)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert not any(repeated in plan for repeated in ("Generate", "Expand", "__salt"))
